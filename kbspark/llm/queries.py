@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.llm import bpe
+from kbspark.llm import bpe, mixing, simhash
 
-_MODULES = (bpe,)
+_MODULES = (simhash, bpe, mixing)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
