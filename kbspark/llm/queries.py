@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.llm import bpe, mixing, repeats, simhash
+from kbspark.llm import bpe, mixing, repeats, simhash, toxicity
 
-_MODULES = (simhash, bpe, repeats, mixing)
+_MODULES = (toxicity, simhash, bpe, repeats, mixing)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
