@@ -153,7 +153,16 @@ def _train(rows: np.ndarray, cols: np.ndarray, n: int, k: int, y: np.ndarray, st
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return b, w
+    # the penalty draws scores to the middle; one factor and one shift undo that
+    x, factor, shift = np.bincount(rows, w[cols], n) + b, 1.0, 0.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(factor * x + shift, -40, 40)))
+        d = np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([((p - y) * x).sum() + (factor - 1), (p - y).sum() + shift * 0.1])
+        hess = np.array([[(d * x * x).sum() + 1, (d * x).sum()], [(d * x).sum(), d.sum() + 0.1]])
+        factor, shift = np.array([factor, shift]) - np.linalg.solve(hess, grad)
+        factor = float(np.clip(factor, 0.2, 5))
+    return factor * b + shift, factor * w
 
 
 def fit(sample: list[tuple[np.ndarray, int, bool, bool]]) -> tuple[Classifier, LabelModel]:
