@@ -4,25 +4,58 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kbspark.llm.bpe import encode_documents
+from kbspark.llm import bpe, mixing, repeats, simhash, toxicity
 from kbspark.llm.common import materialize
 
+#: Fitted scores, XXH64, byte-wise repeats and BPE are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier takes for toxic go; it is fitted on these documents' labels outside the held-out fold."""
+    model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, the one of smallest doc_id."""
+    return simhash.keep_one_of_each(docs).select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur twice go from the texts; a character cut in two goes too, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts stay as they are."""
+    left = repeats.remove_repeats(docs, keep_bytes=True)
+    kept = F.when(F.col("n_removed") > 0, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(F.col("text"))
+    cut = left.withColumn("_text", kept).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.withColumn("n_chars", n_chars).withColumn("text", F.col("_text")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix to target weights takes it, from not at all to three times."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: token counts and digests of every text that is left."""
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token counts and digests of the byte-level BPE of every text that is left, each decoded again."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_copies),
+    ("suffix-array dedup", drop_repeats),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, "stage")

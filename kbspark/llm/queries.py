@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.llm import bpe, mixing, pivots, repeats, simhash, toxicity
+from kbspark.llm import bpe, mixing, pivots, repeats, simhash, toxicity, warc
 
-_MODULES = (toxicity, simhash, bpe, repeats, pivots, mixing)
+_MODULES = (toxicity, simhash, bpe, repeats, pivots, warc, mixing)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
