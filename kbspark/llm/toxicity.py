@@ -23,16 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bounds of what is fitted: labelled and unlabelled rows, drawn by a hash of doc_id from all rows outside the held-out fold.
-FIT_LABELLED = 12_000
-FIT_OTHER = 4_000
+FIT_LABELLED = 9_000
+FIT_OTHER = 2_000
 
 #: Voters of each kind and the entries they share; the deviation from chance that an entry needs.
 LEXICONS = PATTERNS = 12
 ENTRIES = 240
 VOTER_Z = 5.0
 
-#: The deviation that a feature of the classifier needs between the posterior labels.
-FEATURE_Z = 3.5
+#: The deviation and the lift that a feature of the classifier needs between the posterior labels.
+FEATURE_Z = 4.5
+FEATURE_LIFT = 4
 
 #: How many times as common an entry must be among toxic rows as among clean ones.
 LEAST_LIFT = 8
@@ -43,7 +44,7 @@ BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 
 #: Penalty on squared weights.
-RIDGE = 1e-3
+RIDGE = 1e-4
 
 #: Correlation from which two voters count as repeating each other.
 SAME = 0.3
@@ -179,7 +180,12 @@ def fit(sample: list[tuple[np.ndarray, int, bool, bool]]) -> tuple[Classifier, L
         rate = (n_pos + 0.5) / (n_pos + n_neg + 5)
         return Classifier(float(np.log(rate / (1 - rate))), {}), LabelModel()
     rows = np.repeat(np.arange(len(sample)), [len(r[0]) for r in sample])
-    vocabulary, cols = np.unique(np.concatenate([r[0] for r in sample]), return_inverse=True)
+    every = np.concatenate([r[0] for r in sample])
+    vocabulary, cols, times = np.unique(every, return_inverse=True, return_counts=True)
+    # what only one or two rows have can stand out nowhere
+    often = times >= 3
+    seen = often[cols]
+    rows, cols, vocabulary = rows[seen], (np.cumsum(often) - 1)[cols[seen]], vocabulary[often].astype(np.int64)
     k = len(vocabulary)
     pos, neg = np.bincount(cols[label[rows] == 1], minlength=k), np.bincount(cols[label[rows] == 0], minlength=k)
     z = np.where((pos + 0.5) / n_pos >= LEAST_LIFT * (neg + 0.5) / n_neg, _surprise(pos, neg, n_pos, n_neg), 0)
@@ -197,8 +203,9 @@ def fit(sample: list[tuple[np.ndarray, int, bool, bool]]) -> tuple[Classifier, L
     post = model.posterior(votes)
     # the classifier: features that the posterior labels set apart
     p = np.bincount(cols, post[rows], k)
-    z = _surprise(p, np.bincount(cols, minlength=k) - p, post.sum(), len(post) - post.sum())
-    use = np.flatnonzero(np.abs(z) >= FEATURE_Z)
+    q, n_p, n_q = np.bincount(cols, minlength=k) - p, post.sum(), len(post) - post.sum()
+    # only what speaks for the class: common words that lean a little to either side would add up in long texts
+    use = np.flatnonzero((_surprise(p, q, n_p, n_q) >= FEATURE_Z) & ((p + 0.5) / (n_p + 1) >= FEATURE_LIFT * (q + 0.5) / (n_q + 1)))
     at = np.full(k, -1)
     at[use] = np.arange(len(use))
     on = at[cols] >= 0
@@ -211,11 +218,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, marks, capitals = [], [], []
         for x in batch.column("text"):
             text = x.as_py()
-            found.append(np.unique(np.fromiter((f for w in words_of(text) for f in features_of_word(w)), np.int64)))
+            found.append(np.unique(np.fromiter((f for w in words_of(text) for f in features_of_word(w)), np.uint32)).view(np.int32))
             a, b = shouts(text)
             marks.append(a)
             capitals.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column("toxic"), pa.array(marks, pa.bool_()), pa.array(capitals, pa.bool_())], names=["features", "toxic", "marks", "capitals"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("toxic"), pa.array(marks, pa.bool_()), pa.array(capitals, pa.bool_())], names=["features", "toxic", "marks", "capitals"])
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Classifier:
@@ -230,11 +237,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     drawn = ids.withColumn("draw", draw).where(F.col("draw") < max(share)).join(marks, "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
     drawn = drawn.where(F.when(F.col("toxic") >= 0, F.col("draw") < share[0]).otherwise(F.col("draw") < share[1])).select("text", "toxic")
-    got = drawn.mapInArrow(_extract, "features array<bigint>, toxic int, marks boolean, capitals boolean").toArrow().combine_chunks()
+    got = drawn.mapInArrow(_extract, "features array<int>, toxic int, marks boolean, capitals boolean").toArrow().combine_chunks()
     # in an order of their own, so that reruns agree whatever the partitions
     rows = []
     for chunk in got.to_batches():
-        flat, offsets = chunk.column("features").flatten().to_numpy(), chunk.column("features").offsets.to_numpy()
+        flat, offsets = chunk.column("features").flatten().to_numpy().view(np.uint32), chunk.column("features").offsets.to_numpy()
         offsets = offsets - offsets[0]
         rows += [(flat[a:b], *rest) for a, b, rest in zip(offsets, offsets[1:], zip(*(chunk.column(c).to_pylist() for c in ("toxic", "marks", "capitals"))))]
     rows.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))
