@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.llm import bpe, html, mixing, pivots, repeats, simhash, toxicity, warc
+from kbspark.llm import bpe, html, mixing, ngrams, pivots, repeats, simhash, toxicity, warc
 
-_MODULES = (toxicity, simhash, bpe, repeats, pivots, warc, html, mixing)
+_MODULES = (toxicity, simhash, bpe, ngrams, repeats, pivots, warc, html, mixing)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
