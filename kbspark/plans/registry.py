@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+from kbspark.plans import text  # noqa: E402,F401  each module registers its queries
