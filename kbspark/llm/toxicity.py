@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bounds of what is fitted: labelled and unlabelled rows, drawn by a hash of doc_id from all rows outside the held-out fold.
-FIT_LABELLED = 9_000
-FIT_OTHER = 2_000
+FIT_LABELLED = 6_000
+FIT_OTHER = 1_500
 
 #: Voters of each kind and the entries they share; the deviation from chance that an entry needs.
 LEXICONS = PATTERNS = 12
@@ -179,9 +179,9 @@ def fit(sample: list[tuple[np.ndarray, int, bool, bool]]) -> tuple[Classifier, L
     if n_pos < 2 or n_neg < 2:
         rate = (n_pos + 0.5) / (n_pos + n_neg + 5)
         return Classifier(float(np.log(rate / (1 - rate))), {}), LabelModel()
-    rows = np.repeat(np.arange(len(sample)), [len(r[0]) for r in sample])
-    every = np.concatenate([r[0] for r in sample])
-    vocabulary, cols, times = np.unique(every, return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sample), dtype=np.int32), [len(r[0]) for r in sample])
+    vocabulary, cols, times = np.unique(np.concatenate([r[0] for r in sample]), return_inverse=True, return_counts=True)
+    cols = cols.astype(np.int32)
     # what only one or two rows have can stand out nowhere
     often = times >= 3
     seen = often[cols]
@@ -239,11 +239,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     drawn = drawn.where(F.when(F.col("toxic") >= 0, F.col("draw") < share[0]).otherwise(F.col("draw") < share[1])).select("text", "toxic")
     got = drawn.mapInArrow(_extract, "features array<int>, toxic int, marks boolean, capitals boolean").toArrow().combine_chunks()
     # in an order of their own, so that reruns agree whatever the partitions
-    rows = []
+    rows, chunk, flat, offsets = [], None, None, None
     for chunk in got.to_batches():
         flat, offsets = chunk.column("features").flatten().to_numpy().view(np.uint32), chunk.column("features").offsets.to_numpy()
         offsets = offsets - offsets[0]
-        rows += [(flat[a:b], *rest) for a, b, rest in zip(offsets, offsets[1:], zip(*(chunk.column(c).to_pylist() for c in ("toxic", "marks", "capitals"))))]
+        rows += [(flat[a:b].copy(), *rest) for a, b, rest in zip(offsets, offsets[1:], zip(*(chunk.column(c).to_pylist() for c in ("toxic", "marks", "capitals"))))]
+    del got, chunk, flat, offsets
+    pa.default_memory_pool().release_unused()
     rows.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))
     return fit(rows)[0]
 
