@@ -131,7 +131,7 @@ def causes(found: DataFrame) -> DataFrame:
     said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
     long = found.withColumn("text", F.explode(said))
     raws = F.filter(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x)) == F.col("text"))
-    vote = long.withColumn("raw", F.explode(F.transform(raws, F.trim))).groupBy("scope_equipment", "mode", "text", "raw").agg(F.sum("n").alias("votes"))
+    vote = long.withColumn("raw", F.explode(F.transform(raws, lambda x: F.trim(x)))).groupBy("scope_equipment", "mode", "text", "raw").agg(F.sum("n").alias("votes"))
     label = vote.groupBy("scope_equipment", "mode", "text").agg(F.min_by("raw", F.struct(-F.col("votes"), F.col("raw"))).alias("label"))
     basis = [F.max(F.when(F.col("category") == c, F.col("weight"))).alias(c) for c in CATEGORIES]
     agg = long.groupBy("scope_equipment", "mode", "text").agg(F.sum("n").alias("records"), F.sum(F.col("weight") * F.col("n")).alias("weight"), F.max("weight").alias("similarity"), *basis)

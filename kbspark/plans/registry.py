@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from kbspark.plans import corpus, mining, text  # noqa: E402,F401  each module registers its queries
+from kbspark.plans import corpus, mining, preparation, text  # noqa: E402,F401  each module registers its queries
