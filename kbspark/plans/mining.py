@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -115,13 +117,13 @@ def _(spark, d):
 
 
 CAUSE_QUERIES = {
-    "g10_causes": ("text, label, records, scope_records, CAST(similarity AS DOUBLE) AS similarity", ["text", "label", "records", "scope_records", F.col("similarity").cast("double").alias("similarity")]),
-    "g11_support": ("text, round(support_percent, 6) AS support_percent", ["text", F.round("support_percent", 6).alias("support_percent")]),
-    "g14_confidence": ("text, CAST(CASE WHEN records >= 5 AND scope_records >= 4 THEN 0.9 WHEN records >= 3 AND scope_records >= 2 THEN 0.6 WHEN records >= 1 THEN 0.3 ELSE 0 END AS DOUBLE) AS confidence", ["text", "confidence"]),
-    "g15_occurrence_rate": ("text, round(least(1.0, records / scope_records), 9) AS occurrence_rate", ["text", F.round("occurrence_rate", 9).alias("occurrence_rate")]),
+    "g10_causes": ("text, label, records, scope_records, CAST(similarity AS DOUBLE) AS similarity",) * 2,
+    "g11_support": ("text, round(support_percent, 6) AS support_percent",) * 2,
+    "g14_confidence": ("text, CAST(CASE WHEN records >= 5 AND scope_records >= 4 THEN 0.9 WHEN records >= 3 AND scope_records >= 2 THEN 0.6 WHEN records >= 1 THEN 0.3 ELSE 0 END AS DOUBLE) AS confidence", "text, confidence"),
+    "g15_occurrence_rate": ("text, round(least(1.0, records / scope_records), 9) AS occurrence_rate", "text, round(occurrence_rate, 9) AS occurrence_rate"),
 }
-for _name, (_sql, _cols) in CAUSE_QUERIES.items():
-    query(_name, with_tables(f"@{CAUSE} SELECT scope_equipment, mode, {_sql} FROM ca"))(lambda spark, d, cols=_cols: M.causes(found(spark, d)).select("scope_equipment", "mode", *cols))
+for _name, (_sql, _expr) in CAUSE_QUERIES.items():
+    query(_name, with_tables(f"@{CAUSE} SELECT scope_equipment, mode, {_sql} FROM ca"))(lambda spark, d, e=_expr: M.causes(found(spark, d)).selectExpr("scope_equipment", "mode", *re.split(r", (?![^()]*\))", e)))
 
 RANKED = f"{CAUSE}, rk AS (SELECT *, row_number() OVER (PARTITION BY scope_equipment, mode ORDER BY round(support_percent, 9) DESC, label, text) AS rank, support_percent / sum(support_percent) OVER (PARTITION BY scope_equipment, mode) AS share FROM ca)"
 
