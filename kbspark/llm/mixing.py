@@ -126,5 +126,63 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The same rows for DuckDB, with the constants above.
+SQL_OP10 = """
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM s
+), r AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+         sum(cap) OVER o - cap AS before_cap, sum(weight) OVER o - weight AS before_weight
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), v AS (
+  SELECT *, (total - before_cap) / (weights - before_weight) AS lv FROM r
+), l AS (
+  SELECT arg_min(lv, cap / weight) FILTER (cap >= lv * weight) AS level FROM v
+), t AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target,
+         greatest(CAST(ceil(source_size / 1000000) AS BIGINT), 1) AS shards, CAST(round(total / 16) AS BIGINT) AS seats
+  FROM v, l
+), f AS (
+  SELECT *, CASE WHEN sum(target) OVER () > 0 THEN target / sum(target) OVER () * seats ELSE 0 END AS fair, count(*) OVER () AS n FROM t
+), b AS (
+  SELECT *, greatest(CAST(floor(fair) - ceil(fair * n / greatest(seats * 2, 1)) - 2 AS BIGINT), 0) AS sure,
+         CAST(floor(fair) + ceil(fair * n / greatest(seats * 2, 1)) + 2 AS BIGINT) AS upto FROM f
+), q AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source NULLS LAST, k) AS place, seats - (SELECT sum(sure) FROM b) AS open
+  FROM (SELECT *, unnest(range(sure + 1, upto + 1)) AS k FROM b WHERE target > 0)
+), g AS (
+  SELECT b.source, b.source_size, b.target, b.shards, b.sure + (SELECT count(*) FROM q WHERE q.source IS NOT DISTINCT FROM b.source AND place <= open) AS quota FROM b
+), x AS (
+  SELECT d.*, g.source_size, g.target, g.quota, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7') AS drawn, g.shards FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), y AS (
+  SELECT *, CAST('0x' || substr(drawn, 1, 8) AS BIGINT) % shards AS shard FROM x
+), h AS (
+  SELECT source, shard, quota, CAST(sum(size) AS BIGINT) AS shard_size FROM y GROUP BY ALL
+), hf AS (
+  SELECT *, CASE WHEN sum(shard_size) OVER p > 0 THEN shard_size / sum(shard_size) OVER p * quota ELSE 0 END AS fair, count(*) OVER p AS n FROM h WINDOW p AS (PARTITION BY source)
+), hb AS (
+  SELECT *, greatest(CAST(floor(fair) - ceil(fair * n / greatest(quota * 2, 1)) - 2 AS BIGINT), 0) AS sure, CAST(floor(fair) + ceil(fair * n / greatest(quota * 2, 1)) + 2 AS BIGINT) AS upto FROM hf
+), ho AS (
+  SELECT *, quota - sum(sure) OVER (PARTITION BY source) AS open FROM hb
+), hq AS (
+  SELECT source, shard, open, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k - 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(sure + 1, upto + 1)) AS k FROM ho WHERE shard_size > 0)
+), hw AS (
+  SELECT source, shard, count(*) AS more FROM hq WHERE place <= open GROUP BY ALL
+), z AS (
+  SELECT y.*, ho.shard_size, least((ho.sure + coalesce(hw.more, 0)) * 16, ho.shard_size * 3) AS words
+  FROM y JOIN ho ON y.source IS NOT DISTINCT FROM ho.source AND y.shard = ho.shard
+  LEFT JOIN hw ON hw.source IS NOT DISTINCT FROM ho.source AND hw.shard = ho.shard
+), e AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY drawn, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start,
+         CASE WHEN shard_size > 0 THEN CAST(words // shard_size AS BIGINT) ELSE 0 END AS rounds FROM z
+)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + least(greatest(words - rounds * shard_size - start, 0), size) AS BIGINT) AS taken FROM e
+"""
+
 QUERIES = {"op10_mixing": op10_mixing}
-SQL: dict[str, str] = {}
+SQL = {"op10_mixing": SQL_OP10}
