@@ -128,9 +128,9 @@ for _name, (_sql, _expr) in CAUSE_QUERIES.items():
 RANKED = f"{CAUSE}, rk AS (SELECT *, row_number() OVER (PARTITION BY scope_equipment, mode ORDER BY round(support_percent, 9) DESC, label, text) AS rank, support_percent / sum(support_percent) OVER (PARTITION BY scope_equipment, mode) AS share FROM ca)"
 
 
-@query("g12_shares", with_tables(f"@{RANKED} SELECT scope_equipment, mode, text, round(share, 6) AS share FROM rk"))
+@query("g12_shares", with_tables(f"@{RANKED} SELECT scope_equipment, mode, text, round(share, 9) AS share FROM rk"))
 def _(spark, d):
-    return M.rank_causes(M.causes(found(spark, d))).select("scope_equipment", "mode", "text", F.round("share", 6).alias("share"))
+    return M.rank_causes(M.causes(found(spark, d))).select("scope_equipment", "mode", "text", F.round("share", 9).alias("share"))
 
 
 @query("h1_rank_causes", with_tables(f"@{RANKED} SELECT 'cause-' || scope_equipment || '-' || mode || '-' || CASE WHEN rank < 10 THEN '0' ELSE '' END || rank AS cause_id, label FROM rk"))
