@@ -46,7 +46,7 @@ def split_plain(text: str, size: int = SIZE, overlap: int | None = None) -> list
         n = estimate(a)
         if held and (weight + n > size or sum(map(len, held)) + len(a) > size * 40):
             out.append("".join(held))
-            while held and (weight > overlap or weight + n > size):
+            while held and (weight > overlap or weight + n > size or sum(map(len, held)) > overlap * 40):
                 weight -= estimate(held.pop(0))
         held.append(a)
         weight += n
