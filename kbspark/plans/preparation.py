@@ -377,13 +377,21 @@ def stream(spark, d, name):
     return spark.readStream.schema(logical(spark, d, name).schema).option("pathGlobFilter", "*").parquet(f"{d}/{name}.parquet*")
 
 
+def shared(spark) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+
+
 def drained(frame, mode: str):
-    """Run a stream until its input is read, into a table under the shared folder or in memory, and give its rows."""
+    """Run a stream until its input is read, into files of the shared folder, and read them back."""
     spark = frame.sparkSession
-    name = f"out_{uuid.uuid4().hex}"
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    folder = shared(spark)
+    out = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").start(f"{folder}/rows")
+    else:  # each micro-batch is the whole result and replaces the one before
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
 
 
 @query("m5_live_progress", "SELECT user_id AS job_id, arg_max(event_id, ts) AS processed FROM events GROUP BY user_id")
@@ -407,7 +415,7 @@ def _(spark, d):
 
 @query("m1_incremental_chunks")
 def _(spark, d):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")) + f"/inc-{uuid.uuid4().hex}"
+    folder = shared(spark)
     docs = stream(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
     J.incremental_chunks(docs, lambda b: D.chunk(b, "source_id", "text"), f"{folder}/chunks", f"{folder}/checkpoint").awaitTermination()
     return J.latest_chunks(spark, f"{folder}/chunks")
