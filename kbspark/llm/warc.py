@@ -114,11 +114,11 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store(spark: SparkSession, archive: Archive, path: str) -> tuple[DataFrame, DataFrame]:
-    """Read an archive's files into two tables under path: headers (one row per record) and payloads (one row per digest, the bytes checked against it)."""
+    """Read an archive's files into two tables under path: headers (one row per record) and payloads (one row per response record, the bytes checked against its digest)."""
     files = spark.read.format("binaryFile").load(archive.path).select("content")
     files.mapInArrow(_records, "page_id string, record_type string, refers_to string, payload_digest string, headers binary, http binary, payload binary").write.option("compression", "zstd").parquet(f"{path}/records")
     records = spark.read.parquet(f"{path}/records")
-    # copies below LEAST bytes are few and short; the table of payloads holds each digest once
+    # payloads below LEAST bytes can repeat here; reconstruct takes each digest once
     bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("payload_digest")))
     checked = records.where("record_type = 'response'").select("payload_digest", F.when(F.sha2("payload", 256) == F.col("payload_digest"), F.col("payload")).otherwise(bad.cast("binary")).alias("payload"))
     return records.drop("payload"), checked
