@@ -1,24 +1,41 @@
-"""Connected components over an edge table."""
+"""Lineage cuts, row numbers and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_set: set[str] = set()
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset, and gets a temporary one."""
+    got = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
+    if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        got = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(got)
+    return got.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names in spark.checkpoint.dir; a temporary one is set only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.applicationId not in _set:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        _set.add(sc.applicationId)
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, order: list[Column], to: str) -> DataFrame:
+    """Add the place of each row in an order as a long, from 1. Rows are dealt by ranges of the order and numbered within them; only the sizes of the partitions meet in one place."""
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__part", F.spark_partition_id())
+    ranged = ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return ranged.join(F.broadcast(before), "__part").withColumn(to, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """id, root of every node: the smallest id it is linked to. nodes: id; edges: a, b.
 

@@ -6,20 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.graph import components
+from kbspark.operators.graph import checkpointed, components, numbered
 
 # fixed values: similarity categories from the finest, and their weights
 CATEGORIES = ["same_equipment", "same_model", "same_type_and_maker", "same_type", "same_sub_class", "same_class"]
 WEIGHTS = [1.0, 0.8, 0.6, 0.45, 0.30, 0.15]
-# fixed values: action categories in order of priority, with their English keywords
+# fixed values: action categories in order of priority, with their keywords
 ACTIONS = [
-    ("replace", "replace renew"), ("repair", "repair fix rework"), ("bypass", "bypass"), ("parameter_change", "parameter_change"),
-    ("calibrate", "calibrat"), ("align", "align"), ("adjust", "adjust regulate"), ("tighten", "tighten torque"),
-    ("connect", "connect wiring wire"), ("disconnect", "disconnect"), ("lubricate", "lubricat grease oil"), ("clean", "clean wash"),
-    ("measure", "measure meter"), ("test", "test trial"), ("reset", "reset"), ("configure", "configure program"),
-    ("restore", "restore"), ("check", "check"), ("inspect", "inspect visual"),
-]
-INFLECTIONS = ["", "ing", "es", "ed", "d", "s"]
+    ("replace", ["تعویض", "جایگزین", "replace", "renew"]),
+    ("repair", ["تعمیر", "repair", "اصلاح", "بازسازی", "fix", "rework"]),
+    ("bypass", ["bypass", "بای پس", "بایپس", "میانبر"]),
+    ("parameter_change", ["تغییر پارامتر", "parameter change", "پارامتر عوض"]),
+    ("calibrate", ["کالیبر", "calibrat"]),
+    ("align", ["تراز", "هم محور", "هممحور", "align"]),
+    ("adjust", ["تنظیم", "adjust", "رگلاژ", "regulate"]),
+    ("tighten", ["سفت", "محکم", "tighten", "torque", "آچار"]),
+    ("connect", ["اتصال", "وصل", "سیم کشی", "سیمکشی", "connect", "wiring", "wire"]),
+    ("disconnect", ["قطع", "جدا", "disconnect"]),
+    ("lubricate", ["روغن", "گریس", "lubricat", "grease", "oil"]),
+    ("clean", ["تمیز", "نظافت", "clean", "شستشو", "wash"]),
+    ("measure", ["اندازه", "measure", "مولتی", "کولیس", "meter", "گیج"]),
+    ("test", ["تست", "آزمایش", "test", "trial"]),
+    ("reset", ["ریست", "reset"]),
+    ("configure", ["configure", "program", "برنامه", "نرم افزار"]),
+    ("restore", ["بازگردان", "restore", "احیا", "برگردان"]),
+    ("check", ["چک", "کنترل", "بررسی", "check"]),
+    ("inspect", ["بازدید", "مشاهده", "بازبینی", "inspect", "visual"]),
+]
+# fixed values: endings that an ASCII keyword may have; the conjunction that may be attached in front of a word
+INFLECTIONS = ["ing", "es", "ed", "d", "s"]
+AND = "و"
+# fixed values: sentences that only close a record, those among them that say tested and handed over or tested, and markers inside longer sentences
+CLOSURES = ["تحویل شد", "تحویل گردید", "تحویل گرفته شد", "تست شد", "تست و تحویل شد", "مشکل رفع شد", "برطرف گردید"]
+TEST_HANDOVER, TEST_ONLY, HANDOVER = "تست و تحویل شد", "تست شد", "تحویل"
+TEST_HANDOVER_INSIDE = "تست و تحویل"
+OUTCOMES = ["برطرف شد", "برطرف گردید"]
+# fixed values: words of the guide instruction: what ends the replaced part, what denies completion, the verbs, the sentence
+STOPS = ["انجام", "شد", "شده", "شود", "گردید", "گردد", "می", "میشود", "میشد", "نشد", "نمیشد", "که", "و", "تست", "تحویل", "آزمایش", "مشکل", "برطرف"]
+DONE, NOT_DONE, NOT_DONE_PAIRS = "انجام", ["نمیشد", "نشد"], ["نمی شد", "نمی شود", "نمی گردد", "نمی گردید"]
+REPLACE_WORD, ADJUST_WORDS = "تعویض", ["تنظیم", "رگلاژ"]
+INSTRUCTION = ["در صورت عدم ", "، ", " بررسی و در صورت لزوم ", " گردد."]
+SHORT = 10
 LEX_SHARE, TECH_SHARE, LEAST_SCORE, LEAST_LEX = 0.7, 0.3, 0.55, 0.35
 
 
@@ -29,22 +56,78 @@ def consensus(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(*[F.mode(value(c), True).alias(c) for c in fields])
 
 
-def equipment_pairs(trees: DataFrame) -> DataFrame:
-    """a, b, rank, category, weight of every pair of codes that agree on a level; the finest level counts.
+#: Keys of the levels, from the finest; a null key agrees with nothing.
+LEVELS = [["code"], ["t5"], ["t4", "t3"], ["t3"], ["t2"], ["t1"]]
+
+
+def with_weight(rows: DataFrame) -> DataFrame:
+    """Add category and weight of a rank."""
+    at = F.col("rank") + 1
+    return rows.withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), at)).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), at).cast("decimal(18,6)"))
+
+
+def equipment_pairs(trees: DataFrame, coarsest: str = "same_class") -> DataFrame:
+    """a, b, rank, category, weight of every pair of codes that agree on a level down to `coarsest`; the finest level counts.
 
     trees: code, t1 to t5. One equi-join per level; pairs without agreement
     weigh nothing and are never made. A model alone is enough for same_model.
+    The pairs of a level grow with the square of its groups, so this is for
+    levels of small groups; partner_counts and evidence do without pairs.
     """
-    levels = [["code"], ["t5"], ["t4", "t3"], ["t3"], ["t2"], ["t1"]]
     found = None
-    for rank, keys in enumerate(levels):
+    for rank, keys in enumerate(LEVELS[: CATEGORIES.index(coarsest) + 1]):
         a = trees.select(F.col("code").alias("a"), *[F.col(k).alias(f"_{k}") for k in keys])
         b = trees.select(F.col("code").alias("b"), *[F.col(k).alias(f"_{k}") for k in keys])
         one = a.join(b, [f"_{k}" for k in keys]).select("a", "b", F.lit(rank).alias("rank"))
         found = one if found is None else found.unionByName(one)
-    best = found.groupBy("a", "b").agg(F.min("rank").alias("rank"))
-    at = F.col("rank") + 1
-    return best.withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), at)).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), at).cast("decimal(18,6)"))
+    return with_weight(found.groupBy("a", "b").agg(F.min("rank").alias("rank")))
+
+
+def _signed_keys() -> list[tuple[tuple[str, ...], list[tuple[int, int]]]]:
+    """Column sets, and with which sign the count of partners that agree on all of them enters which rank.
+
+    What agrees on a level and on none finer is counted by inclusion and
+    exclusion over the finer levels: a rank has as many partners as its own
+    level, less those that also agree on a finer one, and so on.
+    """
+    terms: dict[tuple[str, ...], dict[int, int]] = {}
+    for rank, own in enumerate(LEVELS):
+        # of the finer levels, those that another finer one implies say nothing new
+        finer = [x for x in LEVELS[:rank] if not any(set(y) < set(x) for y in LEVELS[:rank])] if rank > 1 else LEVELS[:rank]
+        finer = [["t5"] if x == ["code"] else x for x in finer] if rank > 1 else finer
+        finer = [list(x) for x in dict.fromkeys(map(tuple, finer))]
+        for bits in range(1 << len(finer)):
+            some = [x for i, x in enumerate(finer) if bits >> i & 1]
+            columns = ("code",) if ["code"] in [own, *some] else tuple(sorted({c for x in [own, *some] for c in x}))
+            at = terms.setdefault(columns, {})
+            at[rank] = at.get(rank, 0) + (-1) ** len(some)
+    return [(k, [(r, n) for r, n in v.items() if n]) for k, v in terms.items() if any(v.values())]
+
+
+def _level_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row per column set of _signed_keys in which no key is null: the set's number, the digest of its values, and the kept columns."""
+    sets = [columns for columns, _ in _signed_keys()]
+    one = [F.when(F.concat(*[F.col(c).cast("string") for c in columns]).isNotNull(), F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *columns).alias("key"))) for i, columns in enumerate(sets)]
+    return rows.select(*keep, F.explode(F.array_compact(F.array(*one))).alias("_k")).select(*keep, "_k.*")
+
+
+def _own_model(trees: DataFrame) -> DataFrame:
+    """A code without a model counts as the only one of its own, so that it is told apart from its partners."""
+    return trees.withColumn("t5", F.coalesce("t5", F.concat(F.lit("\0"), F.col("code").cast("string"))))
+
+
+def _signs(spark) -> DataFrame:
+    """level, rank, sign: a table of a few dozen rows."""
+    return F.broadcast(spark.createDataFrame([(i, r, n) for i, (_, ranks) in enumerate(_signed_keys()) for r, n in ranks], "level int, rank int, sign int"))
+
+
+def partner_counts(trees: DataFrame) -> DataFrame:
+    """code, category, weight, codes: how many codes (itself included) stand in each category to a code, without making a pair."""
+    keys = _level_keys(_own_model(trees), "code")
+    sizes = keys.groupBy("level", "key").agg(F.count("*").alias("n"))
+    x = keys.join(sizes, ["level", "key"]).join(_signs(trees.sparkSession), "level")
+    n = x.groupBy("code", "rank").agg(F.sum(F.col("n") * F.col("sign")).alias("codes")).where("codes > 0")
+    return with_weight(n).select("code", "category", "weight", "codes")
 
 
 def inverse_frequency(wordings: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -76,18 +159,43 @@ def weighted_jaccard(wa: Column, wb: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(shared / every)
 
 
+def prefix(parts: Column, least: float) -> Column:
+    """The first of the parts (structs of order, key and weight, rarest first) without which the rest weighs less than `least` of the whole.
+
+    Two sets whose Jaccard reaches `least` share that much of either's weight,
+    so the rarest part they share is among these in both.
+    """
+    weigh = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x["weight"])
+    rest = lambda a, i: weigh(F.slice(a, i + 1, F.size(a)))
+    return bound(parts, lambda a: F.transform(F.filter(a, lambda x, i: rest(a, i) >= least * weigh(a) - 1e-9), lambda x: x["key"]))
+
+
+def _rarest(sets: DataFrame, column: str, weight: Column) -> DataFrame:
+    """id and parts of each set, the rarest first; weight may use df and n."""
+    each = sets.select("id", F.explode(column).alias("key"))
+    df = each.groupBy("key").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sets.agg(F.count("*").alias("n"))))
+    return each.join(df, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "key", weight.alias("weight")))).alias("parts"))
+
+
+def similar_candidates(w: DataFrame, least: float) -> DataFrame:
+    """a < b of wordings (id, tokens, grams) whose weighted token or gram Jaccard can reach `least`: those that share a rare key. Both sets empty is a key of its own."""
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    keys = [_rarest(w, c, x).select("id", F.explode(prefix(F.col("parts"), least)).alias("key")).select("id", F.concat(F.lit(f"{c}:"), "key").alias("key")) for c, x in (("tokens", idf), ("grams", F.lit(1.0)))]
+    index = keys[0].unionByName(keys[1]).unionByName(w.where((F.size("grams") == 0) | (F.size("tokens") == 0)).select("id", F.when(F.size("grams") == 0, "").otherwise(" ").alias("key")))
+    return index.alias("x").join(index.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def fuzzy_pairs(wordings: DataFrame, tech: Column | None = None) -> DataFrame:
     """a, b, lex, score of pairs of wordings (id, text, tags) that belong together.
 
     lex is the larger of the weighted token and the 3-gram Jaccard. Pairs that
-    could reach the threshold share a token or a gram, so an inverted index of
-    both finds all of them; texts without tokens share one key. Wordings with
-    different non-empty tags stay apart. tech: a column over x and y rows, 0 if none.
+    could reach the threshold share one of their rarest tokens or grams, so an
+    index of those alone finds all of them. Wordings with different non-empty
+    tags stay apart. tech: a column over x and y rows, 0 if none.
     """
-    w = weighted_sets(wordings)
-    keys = F.when(F.size("grams") == 0, F.array(F.lit(""))).otherwise(F.array_union(F.transform("tokens", lambda t: F.concat(F.lit("t:"), t)), F.transform("grams", lambda g: F.concat(F.lit("g:"), g))))
-    index = w.select("id", F.explode(keys).alias("key"))
-    pairs = index.alias("x").join(index.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    w = checkpointed(weighted_sets(wordings))
+    least = (LEAST_SCORE - (TECH_SHARE if tech is not None else 0)) / LEX_SHARE
+    pairs = similar_candidates(w, max(least, LEAST_LEX if tech is not None else 0))
     j = pairs.join(w.alias("x"), F.col("a") == F.col("x.id")).join(w.alias("y"), F.col("b") == F.col("y.id"))
     lex = F.greatest(weighted_jaccard(F.col("x.weights"), F.col("y.weights")), jaccard(F.col("x.grams"), F.col("y.grams")))
     apart = (F.size("x.tags") > 0) & (F.size("y.tags") > 0) & ~F.arrays_overlap("x.tags", "y.tags")
@@ -104,20 +212,30 @@ def cluster(wordings: DataFrame, pairs: DataFrame) -> DataFrame:
 def number_clusters(clusters: DataFrame) -> DataFrame:
     """root, mode_id, label, aliases: clusters numbered by their smallest raw text, labelled by the most frequent one. clusters: root, raw, n."""
     one = clusters.groupBy("root").agg(F.min("raw").alias("first_raw"), F.min_by("raw", F.struct(-F.col("n"), F.col("raw"))).alias("label"), F.sort_array(F.collect_set("raw")).alias("aliases"))
-    return one.withColumn("mode_id", F.format_string("FM-%04d", F.row_number().over(Window.orderBy("first_raw", "root"))))
+    return numbered(one, [F.col("first_raw"), F.col("root")], "_place").withColumn("mode_id", F.format_string("FM-%04d", "_place")).drop("_place")
 
 
-def evidence(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """scope_equipment, mode, equipment, cause, mechanism, n, weight, category.
+def evidence(records: DataFrame, trees: DataFrame) -> DataFrame:
+    """scope_equipment, mode, cause, mechanism, category, weight, n.
 
     A scope is an equipment with a mode; its evidence are records of the mode
-    on equipment of weight above zero. Records are counted by equipment, cause
-    and mechanism first, so a common mode meets few rows, not all its records.
+    on equipment of weight above zero. Records are counted by mode, cause and
+    mechanism for each level key of their equipment, and a scope adds up the
+    counts of its own keys with signs, so no pair of equipment is ever made:
+    a class of any size is one count per mode, cause and mechanism. trees has
+    one row per code; records of a code without a tree have only that code.
     """
-    cells = records.where("mode is not null").groupBy("mode", "equipment", "cause", "mechanism").agg(F.count("*").alias("n"))
-    scopes = cells.select(F.col("equipment").alias("scope_equipment"), "mode").distinct()
-    p = pairs.select(F.col("a").alias("scope_equipment"), F.col("b").alias("equipment"), "weight", "category")
-    return scopes.join(p, "scope_equipment").join(cells, ["mode", "equipment"])
+    r = records.where("mode is not null").select("mode", F.col("equipment").alias("code"), "cause", "mechanism")
+    cells = r.groupBy("code", "mode", "cause", "mechanism").agg(F.count("*").alias("n")).join(trees.select("code", "t1", "t2", "t3", "t4", "t5"), "code", "left")
+    cells = checkpointed(_own_model(cells))
+    # what a key's records say travels as one array, and meets the other keys of a scope in the scope's own partition
+    counted = _level_keys(cells, "mode", "cause", "mechanism", "n").groupBy("level", "key", "mode", "cause", "mechanism").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("level", "key", "mode").agg(F.collect_list(F.struct("cause", "mechanism", "n")).alias("said"))
+    scopes = _level_keys(cells.select("code", "mode", "t1", "t2", "t3", "t4", "t5").distinct(), "code", "mode")
+    met = scopes.join(counted, ["level", "key", "mode"]).select("code", "mode", "level", "said").repartition("code", "mode")
+    met = met.join(_signs(records.sparkSession), "level").select(F.col("code").alias("scope_equipment"), "mode", "rank", "sign", F.explode("said").alias("s"))
+    out = met.groupBy("scope_equipment", "mode", "s.cause", "s.mechanism", "rank").agg(F.sum(F.col("s.n") * F.col("sign")).alias("n")).where("n > 0")
+    return with_weight(out).drop("rank")
 
 
 def causes(found: DataFrame) -> DataFrame:
@@ -125,17 +243,21 @@ def causes(found: DataFrame) -> DataFrame:
 
     An evidence record speaks for its cause and for its mechanism, one text
     once. label: the most frequent spelling, smallest of equal ones; support
-    percent: share of the scope's weight; confidence from the counts.
+    percent: share of the scope's weight; confidence from the counts. The
+    evidence is folded twice, by spelling and by text; the scope's totals come
+    from windows over the few causes that are left.
     """
-    total = found.groupBy("scope_equipment", "mode").agg(F.sum("n").alias("scope_records"), F.sum(F.col("weight") * F.col("n")).alias("scope_weight"))
-    said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
-    long = found.withColumn("text", F.explode(said))
-    raws = F.filter(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x)) == F.col("text"))
-    vote = long.withColumn("raw", F.explode(F.transform(raws, lambda x: F.trim(x)))).groupBy("scope_equipment", "mode", "text", "raw").agg(F.sum("n").alias("votes"))
-    label = vote.groupBy("scope_equipment", "mode", "text").agg(F.min_by("raw", F.struct(-F.col("votes"), F.col("raw"))).alias("label"))
-    basis = [F.max(F.when(F.col("category") == c, F.col("weight"))).alias(c) for c in CATEGORIES]
-    agg = long.groupBy("scope_equipment", "mode", "text").agg(F.sum("n").alias("records"), F.sum(F.col("weight") * F.col("n")).alias("weight"), F.max("weight").alias("similarity"), *basis)
-    out = agg.join(label, ["scope_equipment", "mode", "text"]).join(total, ["scope_equipment", "mode"])
+    scope = ["scope_equipment", "mode"]
+    spelt = F.transform(F.filter(F.array("cause", "mechanism"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.lower(F.trim(x)).alias("text"), F.trim(x).alias("raw")))
+    # the null text carries the record itself to the scope's totals; a text said twice by a record counts once
+    said = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("raw"), F.lit(1).alias("once"))), F.transform(spelt, lambda x, i: F.struct(x["text"].alias("text"), x["raw"].alias("raw"), F.when((i == 1) & (x["text"] == F.get(spelt, 0)["text"]), 0).otherwise(1).alias("once"))))
+    basis = [F.max(F.when((F.col("category") == c) & (F.col("once") == 1), F.col("weight"))).alias(c) for c in CATEGORIES]
+    long = found.withColumn("s", F.explode(said)).select(*scope, "category", "weight", "n", "s.*")
+    raws = long.groupBy(*scope, "text", "raw").agg(F.sum("n").alias("votes"), F.sum(F.col("n") * F.col("once")).alias("records"), F.sum(F.col("weight") * F.col("n") * F.col("once")).alias("weight"), F.max(F.when(F.col("once") == 1, F.col("weight"))).alias("similarity"), *basis)
+    texts = raws.groupBy(*scope, "text").agg(F.sum("records").alias("records"), F.sum("weight").alias("weight"), F.max("similarity").alias("similarity"), F.min_by("raw", F.struct(-F.col("votes"), F.col("raw"))).alias("label"), *[F.max(c).alias(c) for c in CATEGORIES])
+    w = Window.partitionBy(*scope)
+    total = lambda c: F.max(F.when(F.col("text").isNull(), F.col(c))).over(w)
+    out = texts.withColumns({"scope_records": total("records"), "scope_weight": total("weight")}).where("text is not null")
     percent = F.when(F.col("scope_weight") > 0, F.lit(100.0) * F.col("weight").cast("double") / F.col("scope_weight").cast("double")).otherwise(0.0)
     band = F.when((F.col("records") >= 5) & (F.col("scope_records") >= 4), 0.9).when((F.col("records") >= 3) & (F.col("scope_records") >= 2), 0.6).when(F.col("records") >= 1, 0.3).otherwise(0.0)
     rate = F.when(F.col("scope_records") > 0, F.least(F.lit(1.0), F.col("records") / F.col("scope_records"))).otherwise(0.0)
@@ -151,57 +273,166 @@ def rank_causes(found: DataFrame) -> DataFrame:
     return x.withColumn("cause_id", F.concat_ws("-", F.lit("cause"), F.col("scope_equipment").cast("string"), F.col("mode"), F.format_string("%02d", F.col("rank"))))
 
 
+def _pattern(keywords: list[str]) -> str:
+    """For words set apart by single blanks: one keyword (ASCII ones with an ending, any with the conjunction in front), or a phrase word by word."""
+    ends = f"(?:{'|'.join(INFLECTIONS)})?"
+    one = [k + (ends if k.isascii() else "") for k in keywords if " " not in k]
+    return "|".join([f" {AND}?(?:{'|'.join(one)}) ", *[f" {k} " for k in keywords if " " in k]])
+
+
+def spaced(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def match_categories(sentence: Column) -> Column:
-    """All action categories of a sentence in order of priority: a keyword, or one with an English ending."""
-    words = T.tokens(F.lower(sentence))
-    hits = []
-    for name, keys in ACTIONS:
-        forms = [k + e for k in keys.split() for e in INFLECTIONS]
-        hits.append(F.when(F.arrays_overlap(words, F.array(*map(F.lit, forms))), F.lit(name)))
-    return F.array_compact(F.array(*hits))
+    """All action categories of a sentence in order of priority."""
+    every = _pattern([k for _, keys in ACTIONS for k in keys])
+    hits = lambda line: F.array_compact(F.array(*[F.when(line.rlike(_pattern(keys)), F.lit(name)) for name, keys in ACTIONS]))
+    # most sentences hold no keyword at all, which one pattern tells
+    return bound(spaced(T.tokens(F.lower(sentence))), lambda line: F.when(line.rlike(every), hits(line)).otherwise(F.array().cast("array<string>")))
+
+
+def role_of(category: Column) -> Column:
+    return F.when(category.isin("measure", "test", "check", "inspect"), "diagnostic").when(category.isNull(), "observation").otherwise("corrective")
+
+
+def guide_instruction(sentence: Column) -> Column:
+    """The instruction that a sentence on a replacement that could not be done, an adjustment, and a test with handover stands for; null for any other."""
+
+    def build(words: Column) -> Column:
+        at = F.array_position(words, REPLACE_WORD)
+        part = F.get(words, at.cast("int"))
+        replaced = F.when(part.isNull() | part.isin(STOPS), F.lit(REPLACE_WORD)).otherwise(F.concat(F.lit(REPLACE_WORD + " "), part))
+        verb = F.get(F.filter(words, lambda w: w.isin(ADJUST_WORDS)), 0)
+        component = F.get(words, F.array_position(words, verb).cast("int") - 2)
+        undone = F.array_contains(words, DONE) & (F.arrays_overlap(words, F.array(*map(F.lit, NOT_DONE))) | spaced(words).rlike("|".join(f" {x} " for x in NOT_DONE_PAIRS)))
+        usable = verb.isNotNull() & component.isNotNull() & ~component.isin(STOPS) & ~component.isin(ADJUST_WORDS)
+        text = F.concat(F.lit(INSTRUCTION[0]), replaced, F.lit(INSTRUCTION[1]), component, F.lit(INSTRUCTION[2]), verb, F.lit(INSTRUCTION[3]))
+        return F.when((at > 0) & undone & usable, text)
 
+    kinds = match_categories(sentence)
+    shape = bound(kinds, lambda k: (F.get(k, 0) == "replace") & F.array_contains(k, "adjust"))
+    return F.when(sentence.contains(TEST_HANDOVER_INSIDE) & shape, bound(T.tokens(F.lower(sentence)), build))
 
-def action_role(sentence: Column) -> Column:
-    first = F.get(match_categories(sentence), 0)
-    return F.when(first.isin("measure", "test", "check", "inspect"), "diagnostic").when(first.isNull(), "observation").otherwise("corrective")
 
+def history_marks(sentence: Column, category: Column) -> Column:
+    """Verifications and events of a sentence: kind, type, linked (to the sentence's action). A sentence that only closes the record stands alone; markers count in sentences with an action."""
+    mark = lambda kind, what, linked: F.struct(F.lit(kind).alias("kind"), F.lit(what).alias("type"), F.lit(linked).alias("linked"))
+    none = F.array().cast("array<struct<kind: string, type: string, linked: boolean>>")
+    event = F.when(sentence.contains(HANDOVER), F.array(mark("event", "handover", False))).otherwise(F.array(mark("event", "outcome", False)))
+    alone = F.when(sentence == TEST_ONLY, F.array(mark("verification", "test", False))).when(sentence == TEST_HANDOVER, F.array(mark("verification", "test", False), mark("event", "handover", False))).otherwise(event)
+    handed = F.when(sentence.contains(TEST_HANDOVER_INSIDE), F.array(mark("verification", "test", True), mark("event", "handover", True))).otherwise(none)
+    solved = F.when(sentence.contains(OUTCOMES[0]) | sentence.contains(OUTCOMES[1]), F.array(mark("verification", "outcome", True))).otherwise(none)
+    return F.when(sentence.isin(CLOSURES), alone).when(category.isNotNull(), F.concat(handed, solved)).otherwise(none)
 
-def actions(records: DataFrame) -> DataFrame:
-    """scope (equipment, mode), text, frequency, exemplar, category, role of repeated sentences; a test or measurement after a corrective sentence of the same record is a verification.
 
-    records: record_id, equipment, mode, repair_text.
+def sentence_rows(records: DataFrame) -> DataFrame:
+    """record_id, equipment, mode, pos, original, sentence (normalized), category: one row per sentence of repair_text, records without a mode left out."""
+    s = records.where("mode is not null").select("record_id", "equipment", "mode", F.posexplode(T.sentences(F.col("repair_text"))))
+    s = s.select("record_id", "equipment", "mode", "pos", F.col("col").alias("original"), T.normalize(F.col("col")).alias("sentence")).where("sentence <> ''")
+    return checkpointed(s.withColumn("category", F.get(match_categories(F.col("sentence")), 0)))  # read several times by what follows
+
+
+def admitted(sentences: DataFrame, records: DataFrame, trees: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The sentences that can be actions: closures are history, and a sentence under SHORT characters needs a known term.
+
+    Known are the terms of the equipment's own tree, the words of the aliases,
+    and what the makers' equipment (t4) names in its trees and says twice or
+    more in its repair texts. trees: code, t1 to t5.
     """
-    s = records.where("mode is not null").select("record_id", "equipment", "mode", F.posexplode(T.sentences(F.col("repair_text")))).withColumnRenamed("col", "sentence").withColumn("role", action_role(F.col("sentence")))
+    s = sentences.where(~F.col("sentence").isin(CLOSURES))
+    short = s.where(F.char_length("sentence") < SHORT).withColumn("term", F.explode(F.array_distinct(T.tokens(F.lower("sentence")))))
+    names = F.flatten(F.array(*[T.tokens(T.normalize(F.col(c))) for c in ("t1", "t2", "t3", "t4", "t5")]))
+    tree = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"), F.explode(F.array_distinct(names)).alias("term")).distinct()
+    maker = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"))
+    # only terms that stand in a maker's trees can be induced, so only those are counted in the texts
+    said = records.join(maker, "equipment").select("maker", F.explode(T.tokens(T.normalize(F.col("repair_text")))).alias("term"))
+    induced = said.join(tree.select("maker", "term").distinct(), ["maker", "term"]).groupBy("maker", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    words = sorted({w for kv in (aliases or {}).items() for x in kv for w in x.split()})
+    key = short.join(maker, "equipment", "left")
+    by_tree = key.join(tree.select("equipment", "term"), ["equipment", "term"], "left_semi")
+    by_maker = key.join(induced.select("maker", "term"), ["maker", "term"], "left_semi")
+    by_alias = key.where(F.col("term").isin(words))
+    known = by_tree.select("record_id", "pos").unionByName(by_maker.select("record_id", "pos")).unionByName(by_alias.select("record_id", "pos")).distinct()
+    known = known.withColumn("_known", F.lit(True))
+    return s.join(known, ["record_id", "pos"], "left").where((F.char_length("sentence") >= SHORT) | F.col("_known")).select(s.columns)
+
+
+def with_roles(sentences: DataFrame) -> DataFrame:
+    """Add role; a test or measurement after a corrective sentence of the record is a verification."""
+    s = sentences.withColumn("role", role_of(F.col("category")))
     before = Window.partitionBy("record_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     after = F.coalesce(F.max((F.col("role") == "corrective").cast("int")).over(before), F.lit(0)) == 1
-    first = F.get(match_categories(F.col("sentence")), 0)
-    s = s.withColumn("role", F.when(after & first.isin("test", "measure"), "verification").otherwise(F.col("role"))).withColumn("category", first)
-    g = s.groupBy("equipment", "mode", F.lower("sentence").alias("text")).agg(F.count_distinct("record_id").alias("frequency"), F.min_by("sentence", F.struct("record_id", "pos")).alias("exemplar"), F.first("category").alias("category"), F.mode("role", True).alias("role"))
+    return s.withColumn("role", F.when(after & F.col("category").isin("test", "measure"), "verification").otherwise(F.col("role")))
+
+
+def actions(sentences: DataFrame) -> DataFrame:
+    """equipment, mode, text, frequency, exemplar, category, role, n, action_id of repeated sentences; a test or measurement after a corrective sentence of the same record is a verification.
+
+    sentences: admitted rows of sentence_rows.
+    """
+    g = with_roles(sentences).groupBy("equipment", "mode", F.lower("sentence").alias("text")).agg(F.count_distinct("record_id").alias("frequency"), F.min_by("original", F.struct("record_id", "pos")).alias("exemplar"), F.first("category").alias("category"), F.mode("role", True).alias("role"))
     w = Window.partitionBy("equipment", "mode").orderBy(F.desc("frequency"), "exemplar", "text")
-    n = F.row_number().over(w)
-    return g.withColumn("n", n).withColumn("action_id", F.concat_ws("-", F.lit("action"), F.col("equipment").cast("string"), F.col("mode"), F.format_string("%03d", n)))
+    return g.withColumn("n", F.row_number().over(w)).withColumn("action_id", F.concat_ws("-", F.lit("action"), F.col("equipment").cast("string"), F.col("mode"), F.format_string("%03d", "n")))
+
+
+def number_marks(sentences: DataFrame, acts: DataFrame) -> DataFrame:
+    """mark_id, kind, type, record_id, equipment, mode, original, action_id: verifications and events numbered per scope and kind, those that stand alone first, then linked ones with their action."""
+    m = sentences.withColumn("m", F.explode(history_marks(F.col("sentence"), F.col("category")))).select("record_id", "equipment", "mode", "pos", "original", F.lower("sentence").alias("text"), "m.*")
+    w = Window.partitionBy("equipment", "mode", "kind").orderBy("linked", "record_id", "pos", "type")
+    m = m.withColumn("n", F.row_number().over(w)).join(acts.select("equipment", "mode", "text", F.lit(True).alias("linked"), "action_id"), ["equipment", "mode", "text", "linked"], "left")
+    short = F.when(F.col("kind") == "event", "evt").otherwise("ver")
+    return m.select(F.concat_ws("-", short, F.col("equipment").cast("string"), F.col("mode"), F.format_string("%03d", "n")).alias("mark_id"), "kind", "type", "record_id", "equipment", "mode", "original", "action_id")
 
 
 def split_by_code(rows: DataFrame, code: str, share: float, seed: int) -> DataFrame:
     """Add side (train or test): whole codes go to one side; the test side has min(max(1, round(n share)), n - 1) codes in an order drawn from the seed."""
-    codes = rows.select(code).distinct().withColumn("_n", F.count("*").over(Window.partitionBy()))
-    codes = codes.withColumn("_at", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.col(code).cast("string"), F.lit(str(seed)))), code)))
+    drawn = rows.select(code).distinct().withColumn("_draw", F.md5(F.concat_ws(":", F.col(code).cast("string"), F.lit(str(seed)))))
+    codes = numbered(drawn, [F.col("_draw"), F.col(code)], "_at")
+    codes = codes.crossJoin(F.broadcast(codes.agg(F.count("*").alias("_n"))))  # one row
     size = F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * share).cast("int")), F.col("_n") - 1)
     return rows.join(codes.select(code, F.when(F.col("_at") <= size, "test").otherwise("train").alias("side")), code)
 
 
-def nearest_equipment(pairs: DataFrame) -> DataFrame:
-    """For each code the best other one: finest category, then smallest code."""
-    return pairs.where("a <> b").groupBy("a").agg(F.min(F.struct("rank", "b")).alias("m")).select("a", F.col("m.b").alias("nearest"), F.col("m.rank").alias("rank"))
+def nearest_equipment(trees: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """a, nearest, rank: for each code the best other one (of `among`, codes of trees), finest category first, then smallest code.
+
+    Per level key the two smallest codes are enough, as one of them is another
+    code; a group of any size is cut to them before it meets its members.
+    """
+    rows = [F.when(F.concat(*[F.col(c).cast("string") for c in keys]).isNotNull(), F.struct(F.lit(r).alias("rank"), F.xxhash64(F.lit(r), *keys).alias("key"))) for r, keys in enumerate(LEVELS) if r]
+    keyed = lambda t: t.select("code", F.explode(F.array_compact(F.array(*rows))).alias("k")).select("code", "k.*")
+    own, other = keyed(trees), keyed(trees if among is None else trees.join(among.select("code").distinct(), "code", "left_semi"))
+    first = other.withColumn("n", F.row_number().over(Window.partitionBy("rank", "key").orderBy("code"))).where("n <= 2").select("rank", "key", F.col("code").alias("b"))
+    met = own.join(first, ["rank", "key"]).where("code <> b")
+    return met.groupBy(F.col("code").alias("a")).agg(F.min(F.struct("rank", "b")).alias("m")).select("a", F.col("m.b").alias("nearest"), F.col("m.rank").alias("rank"))
 
 
 def nearest_mode(queries: DataFrame, modes: DataFrame, least: float = 0.4) -> DataFrame:
-    """For each query (id, text) the mode (key, text) of highest token Jaccard from `least` on, ties by key."""
-    q = queries.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("q"))
-    m = modes.select("key", F.array_distinct(T.tokens(F.col("text"))).alias("m"))
-    shared = q.select("id", F.explode("q").alias("t")).join(m.select("key", F.explode("m").alias("t")), "t").select("id", "key").distinct()
+    """For each query (id, text) the mode (key, text) of highest token Jaccard from `least` on, ties by key.
+
+    Equal query texts are one, and only the rarest tokens of either side are
+    matched, which any pair of that similarity shares.
+    """
+    words = lambda t: F.array_distinct(T.tokens(F.col(t)))
+    q = queries.select("text").distinct().select(F.col("text").alias("id"), words("text").alias("q"))
+    m = modes.select("key", words("text").alias("m"))
+    df = m.select(F.explode("m").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def rare(sets: DataFrame, key: str, column: str) -> DataFrame:
+        x = sets.select(key, F.explode(column).alias("t")).join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        x = x.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", F.col("t").alias("key"), F.lit(1.0).alias("weight")))).alias("parts"))
+        return x.select(key, F.explode(prefix(F.col("parts"), least)).alias("t"))
+
+    shared = rare(q, "id", "q").join(rare(m, "key", "m"), "t").select("id", "key").distinct()
     s = shared.join(q, "id").join(m, "key").withColumn("s", jaccard(F.col("q"), F.col("m"))).where(F.col("s") >= least)
-    return s.groupBy("id").agg(F.min_by(F.struct("key", "s"), F.struct(-F.col("s"), F.col("key"))).alias("b")).select("id", F.col("b.key").alias("key"), F.col("b.s").alias("similarity"))
+    best = s.groupBy("id").agg(F.min_by(F.struct("key", "s"), F.struct(-F.col("s"), F.col("key"))).alias("b")).select(F.col("id").alias("text"), "b.*")
+    return queries.join(best, "text").select("id", "key", F.col("s").alias("similarity"))
 
 
 def quality(records: DataFrame, required: list[str], repair: str, mode: str, symptom: str, short: int = 10) -> DataFrame:
@@ -214,8 +445,72 @@ def quality(records: DataFrame, required: list[str], repair: str, mode: str, sym
     return records.select("record_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("record_id", "i.*")
 
 
-def guides(ranked: DataFrame, acts: DataFrame, top: int = 3) -> DataFrame:
-    """One row per scope: causes in order of rank, and the most frequent actions."""
-    c = ranked.groupBy("scope_equipment", "mode").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("causes"))
-    a = acts.where(F.col("n") <= top).groupBy(F.col("equipment").alias("scope_equipment"), "mode").agg(F.sort_array(F.collect_list(F.struct("n", "exemplar"))).alias("actions"))
-    return c.join(a, ["scope_equipment", "mode"], "left")
+def cause_actions(records: DataFrame, sentences: DataFrame, acts: DataFrame, most: int = 8) -> DataFrame:
+    """equipment, mode, cause (folded text), k, action, action_id: actions of a scope that share a record with a cause of it, the `most` most frequent ones, ties by text.
+
+    A record speaks for its cause and its mechanism. sentences: admitted rows.
+    """
+    said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
+    c = records.where("mode is not null").select("record_id", "equipment", "mode", F.explode(said).alias("cause"))
+    s = sentences.select("record_id", "equipment", "mode", F.lower("sentence").alias("text")).distinct()
+    pairs = c.join(s, ["record_id", "equipment", "mode"]).select("equipment", "mode", "cause", "text").distinct()
+    found = pairs.join(acts.select("equipment", "mode", "text", "frequency", "exemplar", "action_id"), ["equipment", "mode", "text"])
+    w = Window.partitionBy("equipment", "mode", "cause").orderBy(F.desc("frequency"), "text")
+    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("equipment", "mode", "cause", "k", F.col("text").alias("action"), "exemplar", "action_id")
+
+
+def cause_detail(records: DataFrame, links: DataFrame) -> DataFrame:
+    """equipment, mode, cause, records, record_ids, actions: the scope's own records that speak for a cause, and its actions in order."""
+    said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
+    own = records.where("mode is not null").select("record_id", "equipment", "mode", F.explode(said).alias("cause")).groupBy("equipment", "mode", "cause")
+    own = own.agg(F.count("*").alias("records"), F.array_join(F.transform(F.sort_array(F.collect_list("record_id")), lambda x: x.cast("string")), ",").alias("record_ids"))
+    done = links.groupBy("equipment", "mode", "cause").agg(F.array_join(F.sort_array(F.collect_list(F.struct("k", "action"))).action, " | ").alias("actions"))
+    return own.join(done, ["equipment", "mode", "cause"], "left")
+
+
+def guides(ranked: DataFrame, links: DataFrame, records: DataFrame, acts: DataFrame, top: int = 3) -> DataFrame:
+    """One row per scope: symptom (the smallest wording of its own records), causes in order of rank, recommendations (each cause's first `top` actions, numbered through), the own records' ids, warnings."""
+    scope = ["equipment", "mode"]
+    r = ranked.withColumnRenamed("scope_equipment", "equipment")
+    causes_of = r.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("rank", "label", "support_percent", "records"))).alias("causes"))
+    steps = links.where(F.col("k") <= top).join(r.select(*scope, F.col("text").alias("cause"), "rank"), [*scope, "cause"])
+    steps = steps.groupBy(*scope).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "k", "action"))), lambda x, i: F.struct((i + 1).alias("order"), x["rank"].alias("rank"), x["action"].alias("action"))).alias("recommendations"))
+    own = records.where("mode is not null").groupBy(*scope).agg(F.min(F.nullif(F.trim("symptom"), F.lit(""))).alias("symptom"), F.sort_array(F.collect_set("record_id")).alias("record_ids"))
+    some = acts.groupBy(*scope).agg(F.count("*").alias("actions"))
+    out = causes_of.join(own, scope, "left").join(steps, scope, "left").join(some, scope, "left")
+    warn = F.array_compact(F.array(F.when(F.coalesce("actions", F.lit(0)) == 0, "insufficient_historical_repair_evidence")))
+    return out.select(*scope, F.coalesce("symptom", "mode").alias("symptom"), "causes", "recommendations", "record_ids", F.coalesce("actions", F.lit(0)).alias("actions"), warn.alias("warnings"))
+
+
+def sections(guide: DataFrame, links: DataFrame, ranked: DataFrame, acts: DataFrame, marks: DataFrame) -> DataFrame:
+    """equipment, mode, place, section, title, body: a symptom section, one per cause by rank with its actions and their roles, and one on the counts behind it."""
+    scope = ["equipment", "mode"]
+    first = guide.select(*scope, F.lit(0).alias("place"), F.lit("symptom").alias("section"), F.concat(F.lit("Observed failure: "), "mode").alias("title"), F.concat(F.lit("Symptom recorded for equipment "), F.col("equipment").cast("string"), F.lit(": "), "symptom").alias("body"))
+    lines = links.join(acts.select("action_id", "role"), "action_id").groupBy(*scope, "cause").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "role", "action"))), lambda x: F.concat(F.lit("- ["), x["role"], F.lit("] "), x["action"])), "\n").alias("lines"))
+    r = ranked.withColumnRenamed("scope_equipment", "equipment").withColumnRenamed("text", "cause").join(lines, [*scope, "cause"], "left")
+    body = F.concat(F.format_string("%s: %.1f%% support, %d records", "label", "support_percent", "records"), F.coalesce(F.concat(F.lit("\n"), "lines"), F.lit("")))
+    each = r.select(*scope, F.col("rank").alias("place"), F.lit("cause").alias("section"), F.format_string("Candidate cause %d: %s", "rank", "label").alias("title"), body.alias("body"))
+    n = marks.groupBy(*scope).agg(F.count_if(F.col("kind") == "verification").alias("v"), F.count_if(F.col("kind") == "event").alias("e"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    last = guide.select(*scope, "actions", (F.size("causes") + 1).alias("place")).join(n, scope, "left").select(*scope, "place", F.lit("method").alias("section"), F.lit("How these numbers were produced").alias("title"), F.format_string("%d repair actions, %d verifications, %d events", zero("actions"), zero("v"), zero("e")).alias("body"))
+    return first.unionByName(each).unionByName(last)
+
+
+def accept_suggestions(suggested: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, warnings) of suggestions (scope, label, basis_ids): one that names a record outside its scope, or none of it, or has a blank label, is dropped with a warning. scopes: scope, ids."""
+    x = suggested.join(scopes.select("scope", "ids"), "scope", "left")
+    unknown = F.array_sort(F.array_except("basis_ids", F.coalesce("ids", F.array().cast(scopes.schema["ids"].dataType))))
+    why = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown record ids "), F.array_join(F.transform(unknown, lambda i: i.cast("string")), ","))).when(F.trim("label") == "", "blank label").when(F.size("basis_ids") == 0, "no scope evidence")
+    x = x.withColumn("warning", why)
+    return x.where("warning is null").select("scope", F.trim("label").alias("label"), "basis_ids"), x.where("warning is not null").select("scope", "label", "warning")
+
+
+def rerank(existing: DataFrame, accepted: DataFrame) -> DataFrame:
+    """scope, cause, support_percent, rank after accepted suggestions join the causes (scope, cause, weight): support is the share of the enlarged scope for what is new, and stays for what was there."""
+    old = existing.select("scope", "cause", "weight", F.lit(False).alias("new"))
+    both = old.unionByName(accepted.select("scope", F.col("label").alias("cause"), F.size("basis_ids").cast(existing.schema["weight"].dataType).alias("weight"), F.lit(True).alias("new")))
+    w = Window.partitionBy("scope")
+    before = F.sum(F.when(~F.col("new"), F.col("weight"))).over(w)
+    percent = F.lit(100.0) * F.col("weight") / F.when(F.col("new"), F.sum("weight").over(w)).otherwise(before)
+    x = both.withColumn("support_percent", F.round(percent, 6))
+    return x.select("scope", "cause", "support_percent", F.row_number().over(w.orderBy(F.desc("support_percent"), "cause", "new")).cast("bigint").alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import corpus as C
 from kbspark.operators import search as S
+from kbspark.operators.graph import numbered
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 
@@ -318,4 +319,4 @@ def _(spark, d):
 @query("e12_result_order", f"SELECT e.vec_id, row_number() OVER (ORDER BY round({COS}, 3) DESC, e.vec_id) AS place FROM embeddings e, {QV}")
 def _(spark, d):
     s = logical(spark, d, "embeddings").select("vec_id", F.round(S.cosine(F.col("embedding"), query_vector(spark, d)), 3).alias("s"))
-    return s.select("vec_id", F.row_number().over(Window.orderBy(F.desc("s"), "vec_id")).cast("bigint").alias("place"))
+    return numbered(s, [F.desc("s"), F.asc("vec_id")], "place").select("vec_id", "place")

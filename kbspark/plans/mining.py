@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import mining as M
+from kbspark.operators.graph import checkpointed, numbered
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 
@@ -26,7 +27,15 @@ CAUSE = f"{EVID}, {TOT}, {LONG}, ca AS (SELECT lg.scope_equipment, lg.mode, text
 
 
 def found(spark, d):
-    return M.evidence(records(spark, d), M.equipment_pairs(logical(spark, d, "equipment")))
+    return M.evidence(records(spark, d), logical(spark, d, "equipment"))
+
+
+def sentences(spark, d):
+    return M.sentence_rows(records(spark, d))
+
+
+def acts(spark, d, kept=None):
+    return M.actions(M.admitted(sentences(spark, d) if kept is None else kept, records(spark, d).where("mode is not null"), logical(spark, d, "equipment")))
 
 
 @query("g6_consensus", with_tables("@m AS (SELECT equipment, cause, count(*) AS n FROM record WHERE trim(cause) <> '' GROUP BY ALL) SELECT e.equipment, m.cause FROM (SELECT DISTINCT equipment FROM record) e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY equipment ORDER BY n DESC, cause) AS k FROM m) m ON m.equipment = e.equipment AND k = 1"))
@@ -34,9 +43,15 @@ def _(spark, d):
     return M.consensus(logical(spark, d, "record"), "equipment", ["cause"])
 
 
-@query("f7_equipment_pairs", with_tables(f"@{PAIR} SELECT a, b, CAST(rank AS INT) AS rank, category, CAST(weight AS DOUBLE) AS weight FROM pair"))
+@query("f7_equipment_pairs", with_tables(f"@{PAIR} SELECT a, b, CAST(rank AS INT) AS rank, category, CAST(weight AS DOUBLE) AS weight FROM pair WHERE rank <= 2"))
 def _(spark, d):
-    return M.equipment_pairs(logical(spark, d, "equipment")).withColumn("weight", F.col("weight").cast("double"))
+    """Pairs of the levels whose groups stay small; f7_partner_counts has all levels."""
+    return M.equipment_pairs(logical(spark, d, "equipment"), "same_type_and_maker").withColumn("weight", F.col("weight").cast("double"))
+
+
+@query("f7_partner_counts", with_tables(f"@{PAIR} SELECT a AS code, category, CAST(any_value(weight) AS DOUBLE) AS weight, count(*) AS codes FROM pair GROUP BY a, category"))
+def _(spark, d):
+    return M.partner_counts(logical(spark, d, "equipment")).withColumn("weight", F.col("weight").cast("double"))
 
 
 @query("f8_evidence", with_tables(f"@{EVID} SELECT scope_equipment, mode, CAST(sum(n) AS BIGINT) AS records, CAST(sum(weight * n) AS DOUBLE) AS weight FROM ev GROUP BY ALL"))
@@ -46,17 +61,22 @@ def _(spark, d):
 
 @query("f12_nearest_equipment", with_tables(f"@{PAIR} SELECT a, CAST(arg_min(b, rank * 1000000 + b) AS BIGINT) AS nearest, CAST(min(rank) AS INT) AS rank FROM pair WHERE a <> b GROUP BY a"))
 def _(spark, d):
-    return M.nearest_equipment(M.equipment_pairs(logical(spark, d, "equipment")))
+    return M.nearest_equipment(logical(spark, d, "equipment"))
 
 
-MODES_SQL = "md AS (SELECT DISTINCT p_name AS key FROM part WHERE p_partkey % 3 = 0), tk AS (SELECT key, list_distinct(string_split(key, ' ')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS q FROM part WHERE p_partkey % 3 = 1)"
+# every part asks with its type and name, against the distinct names with maker
+MODES_SQL = "md AS (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS key FROM part), tk AS (SELECT key, list_distinct(regexp_extract_all(key, '[\\p{L}\\p{N}]+')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_type) || ' ' || p_name || ' ' || lower(p_brand), '[\\p{L}\\p{N}]+')) AS q FROM part)"
+
+
+def asked(spark, d):
+    p = logical(spark, d, "part")
+    modes = p.select(F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("key")).distinct().withColumn("text", F.col("key"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lower("p_type"), "p_name", F.lower("p_brand")).alias("text")), modes
 
 
 @query("f13_nearest_mode", f"WITH {MODES_SQL} SELECT id, key, round(s, 9) AS similarity FROM (SELECT id, key, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.4) WHERE k = 1")
 def _(spark, d):
-    p = logical(spark, d, "part")
-    modes = p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("key"), F.col("p_name").alias("text")).distinct()
-    return M.nearest_mode(p.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), modes).withColumn("similarity", F.round("similarity", 9))
+    return M.nearest_mode(*asked(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("g7_document_frequency", "WITH w AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS token FROM w) SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM w) + 1) / (count(*) + 1)) + 1, 9) AS idf FROM t GROUP BY token")
@@ -70,7 +90,7 @@ WORDINGS = "w AS (SELECT row_number() OVER (ORDER BY t) AS id, t FROM (SELECT DI
 
 def wordings(spark, d):
     p = logical(spark, d, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("text")).distinct()
-    return p.select(F.row_number().over(Window.orderBy("text")).cast("bigint").alias("id"), "text", F.array().cast("array<string>").alias("tags"))
+    return numbered(p, [F.col("text")], "id").select("id", "text", F.array().cast("array<string>").alias("tags"))
 
 
 @query("g8_token_similarity", f"WITH {WORDINGS}, k AS (SELECT id, list_distinct(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+(?:[._/\\-][\\p{{L}}\\p{{N}}]+)*')) AS s FROM w) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 9) AS similarity FROM k a JOIN k b ON b.id = a.id + 1")
@@ -104,9 +124,7 @@ def _(spark, d):
 
 @query("j2_modeless_attach", f"WITH {MODES_SQL} SELECT q.id, coalesce(b.key, 'singleton') AS key FROM qs q LEFT JOIN (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.4) b ON b.id = q.id AND b.k = 1")
 def _(spark, d):
-    p = logical(spark, d, "part")
-    q = p.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    modes = p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("key"), F.col("p_name").alias("text")).distinct()
+    q, modes = asked(spark, d)
     return q.select("id").join(M.nearest_mode(q, modes), "id", "left").select("id", F.coalesce("key", F.lit("singleton")).alias("key"))
 
 
@@ -168,48 +186,94 @@ def _(spark, d):
     return g.select("record_id", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("rows"))
 
 
-KEYWORD = "CASE record_id % 6 WHEN 0 THEN 'replace,connect' WHEN 1 THEN 'check' WHEN 2 THEN 'test' WHEN 3 THEN 'adjust' WHEN 4 THEN 'clean' ELSE 'connect' END"
+TOKENS = r"[\p{L}\p{N}]+(?:[._/\-][\p{L}\p{N}]+)*"
+STRIP = r"regexp_replace({x}, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+
 
+def tok(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{TOKENS}'), lambda w: CASE WHEN regexp_full_match(w, '[\\x00-\\x7F]*') THEN lower(w) ELSE w END)"
 
-@query("c23_keyword_categories", with_tables(f"SELECT record_id, {KEYWORD.replace('replace,connect', 'replace')} AS categories FROM record"))
+
+KINDS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(line, '{M._pattern(keys)}') THEN '{name}' END" for name, keys in M.ACTIONS) + "], lambda k: k IS NOT NULL)"
+LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+SENT = f"""{REC}, so AS (SELECT record_id, equipment, mode, unnest(s) AS original, generate_subscripts(s, 1) AS pos FROM (SELECT record_id, equipment, mode, list_filter(list_transform(string_split_regex(repair_text, '[\\n]+|[.!?؟;]+'), lambda x: {STRIP.replace('{x}', 'x')}), lambda x: x <> '') AS s FROM rec WHERE mode IS NOT NULL)),
+    sm AS (SELECT *, ' ' || array_to_string({tok('lower(sentence)')}, ' ') || ' ' AS line FROM (SELECT *, trim(regexp_replace(original, '\\s+', ' ', 'g')) AS sentence FROM so)),
+    sn AS (SELECT *, kinds[1] AS category FROM (SELECT *, {KINDS} AS kinds FROM sm))"""
+MARK = f"""mk AS (SELECT record_id, equipment, mode, pos, original, sentence, CAST(unnest(CASE WHEN sentence = '{M.TEST_ONLY}' THEN ['verification,test,false'] WHEN sentence = '{M.TEST_HANDOVER}' THEN ['verification,test,false', 'event,handover,false']
+    WHEN list_contains({LIST(M.CLOSURES)}, sentence) THEN [CASE WHEN contains(sentence, '{M.HANDOVER}') THEN 'event,handover,false' ELSE 'event,outcome,false' END]
+    WHEN category IS NOT NULL THEN list_concat(CASE WHEN contains(sentence, '{M.TEST_HANDOVER_INSIDE}') THEN ['verification,test,true', 'event,handover,true'] ELSE [] END, CASE WHEN contains(sentence, '{M.OUTCOMES[0]}') OR contains(sentence, '{M.OUTCOMES[1]}') THEN ['verification,outcome,true'] ELSE [] END) ELSE [] END) AS VARCHAR) AS m FROM sn)"""
+
+
+@query("c23_keyword_categories", with_tables(f"@{SENT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, array_to_string(kinds, ',') AS categories FROM sn WHERE len(kinds) > 0"))
 def _(spark, d):
-    last = F.element_at(T.sentences(F.col("repair_text")), -1)
-    return logical(spark, d, "record").select("record_id", F.array_join(M.match_categories(last), ",").alias("categories"))
+    s = sentences(spark, d).where("category is not null")
+    return s.select("record_id", "pos", F.array_join(M.match_categories(F.col("sentence")), ",").alias("categories"))
 
 
-ACT = f"{REC}, sn AS (SELECT record_id, equipment, mode, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT record_id, equipment, mode, list_filter(list_transform(string_split_regex(repair_text, '[\\n]+|[.!?؟;]+'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS s FROM rec WHERE mode IS NOT NULL)), ac AS (SELECT equipment, mode, lower(sentence) AS text, count(DISTINCT record_id) AS frequency, arg_min(sentence, record_id * 1000 + pos) AS exemplar FROM sn GROUP BY ALL)".replace("lower(sentence) AS text, count", "lower(sentence) AS text, count").replace("FROM sn GROUP BY ALL", "FROM sn GROUP BY equipment, mode, lower(sentence)")
+@query("c24_guide_instruction", with_tables(f"@{SENT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, '{M.INSTRUCTION[0]}' || 'تعویض بلبرینگ' || '{M.INSTRUCTION[1]}' || 'سنسور' || '{M.INSTRUCTION[2]}' || 'تنظیم' || '{M.INSTRUCTION[3]}' AS instruction FROM sn WHERE kinds[1] = 'replace' AND list_contains(kinds, 'adjust') AND contains(sentence, '{M.TEST_HANDOVER_INSIDE}') AND contains(line, ' انجام ') AND regexp_matches(line, ' نشد | نمیشد | نمی شد ')"))
+def _(spark, d):
+    return sentences(spark, d).where("category = 'replace'").select("record_id", "pos", M.guide_instruction(F.col("sentence")).alias("instruction")).where("instruction is not null")
 
 
-@query("g19_repair_actions", with_tables(f"@{ACT} SELECT equipment, mode, text, frequency, exemplar FROM ac"))
+@query("c25_verification_marks", with_tables(f"@{SENT}, {MARK} SELECT record_id, CAST(pos - 1 AS INT) AS pos, split_part(m, ',', 1) AS kind, split_part(m, ',', 2) AS type, split_part(m, ',', 3) = 'true' AS linked FROM mk"))
 def _(spark, d):
-    return M.actions(records(spark, d)).select("equipment", "mode", "text", "frequency", "exemplar")
+    return sentences(spark, d).select("record_id", "pos", F.explode(M.history_marks(F.col("sentence"), F.col("category"))).alias("m")).select("record_id", "pos", "m.*")
 
 
-@query("h2_number_actions", with_tables(f"@{ACT} SELECT equipment, mode, text, row_number() OVER (PARTITION BY equipment, mode ORDER BY frequency DESC, exemplar, text) AS n FROM ac"))
+NAMES = "list_distinct(" + " || ".join(tok(f"coalesce({c}, '')") for c in ("t1", "t2", "t3", "t4", "t5")) + ")"
+ADMIT = f"""{SENT}, tr AS (SELECT code AS equipment, coalesce(t4, '') AS maker, unnest({NAMES}) AS term FROM equipment), mt AS (SELECT DISTINCT maker, term FROM tr),
+    ma AS (SELECT code AS equipment, coalesce(t4, '') AS maker FROM equipment), sd AS (SELECT maker, unnest({tok('repair_text')}) AS term FROM rec JOIN ma USING (equipment) WHERE mode IS NOT NULL),
+    ind AS (SELECT maker, term FROM sd JOIN mt USING (maker, term) GROUP BY ALL HAVING count(*) >= 2),
+    sh AS (SELECT record_id, equipment, pos, unnest({tok('lower(sentence)')}) AS term FROM sn WHERE length(sentence) < {M.SHORT}),
+    kn AS (SELECT record_id, pos FROM sh JOIN tr USING (equipment, term) UNION SELECT record_id, pos FROM sh JOIN ma USING (equipment) JOIN ind USING (maker, term)),
+    ad AS (SELECT * FROM sn WHERE NOT list_contains({LIST(M.CLOSURES)}, sentence) AND (length(sentence) >= {M.SHORT} OR (record_id, pos) IN (SELECT (record_id, pos) FROM kn)))"""
+ACT = f"{ADMIT}, ac AS (SELECT equipment, mode, lower(sentence) AS text, count(DISTINCT record_id) AS frequency, arg_min(original, record_id * 100000 + pos) AS exemplar, any_value(category) AS category FROM ad GROUP BY equipment, mode, lower(sentence)), an AS (SELECT *, row_number() OVER (PARTITION BY equipment, mode ORDER BY frequency DESC, exemplar, text) AS n FROM ac)"
+ROLE = f"{ACT}, ro AS (SELECT *, CASE WHEN category IN ('measure', 'test', 'check', 'inspect') THEN 'diagnostic' WHEN category IS NULL THEN 'observation' ELSE 'corrective' END AS own FROM ad), rv AS (SELECT *, CASE WHEN category IN ('test', 'measure') AND coalesce(max(CASE WHEN own = 'corrective' THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'verification' ELSE own END AS role FROM ro)"
+LINK = f"{ACT}, ct AS (SELECT DISTINCT record_id, equipment, mode, unnest([lower(trim(cause)), lower(trim(mechanism))]) AS cause FROM rec WHERE mode IS NOT NULL), lp AS (SELECT DISTINCT ct.equipment, ct.mode, ct.cause, lower(ad.sentence) AS text FROM ct JOIN ad USING (record_id) WHERE ct.cause <> ''), lk AS (SELECT * FROM (SELECT lp.*, an.n, row_number() OVER (PARTITION BY lp.equipment, lp.mode, lp.cause ORDER BY an.frequency DESC, lp.text) AS k FROM lp JOIN an ON an.equipment = lp.equipment AND an.mode = lp.mode AND an.text = lp.text) WHERE k <= 8)"
+
+
+@query("j4_short_sentences", with_tables(f"@{ADMIT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, sentence FROM ad WHERE length(sentence) < {M.SHORT}"))
+def _(spark, d):
+    a = M.admitted(sentences(spark, d), records(spark, d).where("mode is not null"), logical(spark, d, "equipment"))
+    return a.where(F.char_length("sentence") < M.SHORT).select("record_id", "pos", "sentence")
+
+
+@query("g19_repair_actions", with_tables(f"@{ACT} SELECT equipment, mode, text, frequency, exemplar, category FROM ac"))
+def _(spark, d):
+    return acts(spark, d).select("equipment", "mode", "text", "frequency", "exemplar", "category")
+
+
+@query("h2_number_actions", with_tables(f"@{ACT} SELECT equipment, mode, text, n FROM an"))
 def _(spark, d):
-    return M.actions(records(spark, d)).select("equipment", "mode", "text", F.col("n").cast("bigint").alias("n"))
+    return acts(spark, d).select("equipment", "mode", "text", F.col("n").cast("bigint").alias("n"))
 
 
 @query("h7_exemplar", with_tables(f"@{ACT} SELECT text, min(exemplar) AS exemplar FROM ac GROUP BY text"))
 def _(spark, d):
-    return M.actions(records(spark, d)).groupBy("text").agg(F.min("exemplar").alias("exemplar"))
+    return acts(spark, d).groupBy("text").agg(F.min("exemplar").alias("exemplar"))
 
 
-@query("g20_action_rollup")
+@query("g20_action_rollup", with_tables(f"@{ROLE}, cn AS (SELECT equipment, mode, lower(sentence) AS text, any_value(category) AS category, role, count(*) AS c FROM rv GROUP BY equipment, mode, lower(sentence), role), pk AS (SELECT *, row_number() OVER (PARTITION BY equipment, mode, text ORDER BY c DESC, role) AS k FROM cn) SELECT category, role, count(*) AS n FROM pk WHERE k = 1 GROUP BY category, role"))
 def _(spark, d):
-    return M.actions(records(spark, d)).groupBy("category", "role").agg(F.count("*").alias("n"))
+    return acts(spark, d).groupBy("category", "role").agg(F.count("*").alias("n"))
 
 
-@query("h3_running_flag", with_tables("SELECT job_id, event_id, coalesce(max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS after_failure FROM job"))
+@query("h3_running_flag", with_tables(f"@{ROLE} SELECT record_id, CAST(pos - 1 AS INT) AS pos, role FROM rv WHERE role = 'verification'"))
 def _(spark, d):
-    w = Window.partitionBy("job_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return logical(spark, d, "job").select("job_id", "event_id", (F.coalesce(F.max((F.col("status") == "failed").cast("int")).over(w), F.lit(0)) == 1).alias("after_failure"))
+    a = M.admitted(sentences(spark, d), records(spark, d).where("mode is not null"), logical(spark, d, "equipment"))
+    return M.with_roles(a).where("role = 'verification'").select("record_id", "pos", "role")
+
+
+@query("h5_number_marks", with_tables(f"@{ACT}, {MARK}, mn AS (SELECT *, split_part(m, ',', 1) AS kind, split_part(m, ',', 2) AS type, split_part(m, ',', 3) = 'true' AS linked FROM mk), mo AS (SELECT *, row_number() OVER (PARTITION BY equipment, mode, kind ORDER BY linked, record_id, pos, type) AS i FROM mn) SELECT CASE kind WHEN 'event' THEN 'evt' ELSE 'ver' END || '-' || mo.equipment || '-' || mo.mode || '-' || printf('%03d', i) AS mark_id, type, record_id, 'action-' || an.equipment || '-' || an.mode || '-' || printf('%03d', an.n) AS action_id FROM mo LEFT JOIN an ON linked AND an.equipment = mo.equipment AND an.mode = mo.mode AND an.text = lower(mo.sentence)"))
+def _(spark, d):
+    s = sentences(spark, d)
+    return M.number_marks(s, acts(spark, d, s)).select("mark_id", "type", "record_id", "action_id")
 
 
 @query("h4_mode_numbering", "SELECT 'FM-' || lpad(CAST(row_number() OVER (ORDER BY p_name) AS VARCHAR), 4, '0') AS mode_id, p_name FROM (SELECT DISTINCT p_name FROM part)")
 def _(spark, d):
     p = logical(spark, d, "part").select("p_name").distinct()
-    return p.select(F.format_string("FM-%04d", F.row_number().over(Window.orderBy("p_name"))).alias("mode_id"), "p_name")
+    return numbered(p, [F.col("p_name")], "n").select(F.format_string("FM-%04d", "n").alias("mode_id"), "p_name")
 
 
 @query("g22_listings", with_tables(f"@{REC} SELECT e.code, count(DISTINCT r.mode) AS modes FROM equipment e LEFT JOIN rec r ON r.equipment = e.code GROUP BY e.code"))
@@ -230,28 +294,44 @@ def _(spark, d):
     return g.agg(F.array_join(F.sort_array(F.collect_set("mechanism")), ",").alias("causes"), F.count("*").alias("n"))
 
 
-@query("f10_cause_actions", with_tables(f"@{REC}, x AS (SELECT cause, mechanism, count(DISTINCT record_id) AS n FROM rec WHERE cause IS NOT NULL GROUP BY ALL) SELECT cause, mechanism, n FROM (SELECT *, row_number() OVER (PARTITION BY cause ORDER BY n DESC, mechanism) AS k FROM x) WHERE k <= 8"))
+def linked(spark, d):
+    """Records, admitted sentences, actions, and the links of causes to actions."""
+    r = records(spark, d)
+    s = checkpointed(M.admitted(sentences(spark, d), r.where("mode is not null"), logical(spark, d, "equipment")))
+    a = M.actions(s)
+    return r, a, M.cause_actions(r, s, a)
+
+
+@query("f10_cause_actions", with_tables(f"@{LINK} SELECT equipment, mode, cause, CAST(k AS INT) AS k, text AS action FROM lk"))
 def _(spark, d):
-    g = records(spark, d).where("cause is not null").groupBy("cause", "mechanism").agg(F.count_distinct("record_id").alias("n"))
-    return g.withColumn("k", F.row_number().over(Window.partitionBy("cause").orderBy(F.desc("n"), "mechanism"))).where("k <= 8").drop("k")
+    return linked(spark, d)[2].select("equipment", "mode", "cause", "k", "action")
 
 
-@query("f11_cause_detail", with_tables("SELECT r.cause, e.t1, count(*) AS records, min(r.record_id) AS first_record FROM record r JOIN equipment e ON e.code = r.equipment WHERE r.cause IS NOT NULL GROUP BY ALL"))
+@query("f11_cause_detail", with_tables(f"@{LINK}, l1 AS (SELECT equipment, mode, cause, string_agg(text, ' | ' ORDER BY k) AS actions FROM lk GROUP BY ALL), e1 AS (SELECT equipment, mode, cause, count(*) AS records, string_agg(record_id, ',' ORDER BY record_id) AS record_ids FROM ct WHERE cause <> '' GROUP BY ALL) SELECT equipment, mode, cause, records, record_ids, actions FROM e1 LEFT JOIN l1 USING (equipment, mode, cause)"))
 def _(spark, d):
-    r = logical(spark, d, "record").where("cause is not null").join(logical(spark, d, "equipment"), F.col("code") == F.col("equipment"))
-    return r.groupBy("cause", "t1").agg(F.count("*").alias("records"), F.min("record_id").alias("first_record"))
+    r, _, links = linked(spark, d)
+    return M.cause_detail(r, links)
 
 
-@query("j5_guides", with_tables(f"@{RANKED} SELECT scope_equipment, mode, string_agg(label, ' > ' ORDER BY rank) AS causes FROM rk GROUP BY ALL"))
+@query("j5_guides", with_tables(f"@{RANKED.replace(REC, LINK, 1)}, st AS (SELECT rk.scope_equipment AS equipment, rk.mode, string_agg(lk.text, ' > ' ORDER BY rk.rank, lk.k) AS steps FROM lk JOIN rk ON rk.scope_equipment = lk.equipment AND rk.mode = lk.mode AND rk.text = lk.cause WHERE lk.k <= 3 GROUP BY ALL), ow AS (SELECT equipment, mode, min(nullif(trim(mode_text), '')) AS symptom, string_agg(record_id, ',' ORDER BY record_id) AS record_ids FROM rec WHERE mode IS NOT NULL GROUP BY ALL), na AS (SELECT equipment, mode, count(*) AS c FROM ac GROUP BY ALL), gc AS (SELECT scope_equipment AS equipment, mode, string_agg(label, ' > ' ORDER BY rank) AS causes FROM rk GROUP BY ALL) SELECT gc.equipment, gc.mode, ow.symptom, gc.causes, st.steps, ow.record_ids, CASE WHEN na.c IS NULL THEN 'insufficient_historical_repair_evidence' ELSE '' END AS warnings FROM gc LEFT JOIN ow USING (equipment, mode) LEFT JOIN st USING (equipment, mode) LEFT JOIN na USING (equipment, mode)"))
 def _(spark, d):
-    g = M.guides(M.rank_causes(M.causes(found(spark, d))), M.actions(records(spark, d)))
-    return g.select("scope_equipment", "mode", F.array_join(F.col("causes.label"), " > ").alias("causes"))
+    g = whole_guides(spark, d)[0]
+    return g.select("equipment", "mode", "symptom", F.array_join("causes.label", " > ").alias("causes"), F.array_join("recommendations.action", " > ").alias("steps"), F.array_join(F.transform("record_ids", lambda x: x.cast("string")), ",").alias("record_ids"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def whole_guides(spark, d):
+    r, a, links = linked(spark, d)
+    ranked = checkpointed(M.rank_causes(M.causes(found(spark, d))))
+    return M.guides(ranked, links, r.withColumn("symptom", F.col("mode_text")), a), links, ranked, a
 
 
-@query("j6_guide_sections", with_tables(f"@{RANKED} SELECT scope_equipment, mode, 'Causes (' || count(*) || '): ' || string_agg(label, ', ' ORDER BY rank) AS section FROM rk GROUP BY ALL"))
+@query("j6_guide_sections", with_tables(f"@{RANKED.replace(REC, ROLE.replace(ACT, LINK, 1), 1)}, {MARK}, rp AS (SELECT equipment, mode, text, role FROM (SELECT *, row_number() OVER (PARTITION BY equipment, mode, text ORDER BY c DESC, role) AS q FROM (SELECT equipment, mode, lower(sentence) AS text, role, count(*) AS c FROM rv GROUP BY equipment, mode, lower(sentence), role)) WHERE q = 1), ln AS (SELECT lk.equipment, lk.mode, lk.cause, string_agg('- [' || rp.role || '] ' || lk.text, chr(10) ORDER BY lk.k) AS lines FROM lk JOIN rp ON rp.equipment = lk.equipment AND rp.mode = lk.mode AND rp.text = lk.text GROUP BY ALL), gs AS (SELECT scope_equipment AS equipment, mode, count(*) AS c FROM rk GROUP BY ALL), mc AS (SELECT equipment, mode, count(*) FILTER (m LIKE 'verif%') AS v, count(*) FILTER (m LIKE 'event%') AS e FROM mk GROUP BY ALL), na AS (SELECT equipment, mode, count(*) AS a FROM ac GROUP BY ALL) SELECT rk.scope_equipment AS equipment, rk.mode, CAST(rank AS INT) AS place, 'cause' AS section, md5(CAST(records AS VARCHAR) || coalesce(chr(10) || ln.lines, '')) AS digest FROM rk LEFT JOIN ln ON ln.equipment = rk.scope_equipment AND ln.mode = rk.mode AND ln.cause = rk.text UNION ALL SELECT equipment, mode, 0, 'symptom', md5('Symptom recorded for equipment ' || equipment || ': ' || trim(mode)) FROM gs UNION ALL SELECT equipment, mode, CAST(c + 1 AS INT), 'method', md5(coalesce(a, 0) || ' repair actions, ' || coalesce(v, 0) || ' verifications, ' || coalesce(e, 0) || ' events') FROM gs LEFT JOIN na USING (equipment, mode) LEFT JOIN mc USING (equipment, mode)"))
 def _(spark, d):
-    g = M.rank_causes(M.causes(found(spark, d))).groupBy("scope_equipment", "mode").agg(F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("c"))
-    return g.select("scope_equipment", "mode", F.format_string("Causes (%d): %s", F.size("c"), F.array_join(F.col("c.label"), ", ")).alias("section"))
+    g, links, ranked, a = whole_guides(spark, d)
+    s = M.sections(g, links, ranked, a, M.number_marks(sentences(spark, d), a))
+    # the percentages of a cause's body are rounded in print, where two engines may differ: the digest takes the counts and the actions
+    body = F.when(F.col("section") == "cause", F.regexp_replace("body", r"^(?s).*?support, (\d+) records", "$1")).otherwise(F.col("body"))
+    return s.select("equipment", "mode", "place", "section", F.md5(body).alias("digest"))
 
 
 SPLIT = "cd AS (SELECT DISTINCT equipment FROM record), od AS (SELECT equipment, row_number() OVER (ORDER BY md5(CAST(equipment AS VARCHAR) || ':42'), equipment) AS pl, count(*) OVER () AS n FROM cd), sd AS (SELECT equipment, CASE WHEN pl <= least(greatest(1, CAST(round_even(n * 0.2, 0) AS BIGINT)), n - 1) THEN 'test' ELSE 'train' END AS side FROM od)"
@@ -266,8 +346,7 @@ def _(spark, d):
 def _(spark, d):
     r = M.split_by_code(logical(spark, d, "record"), "equipment", 0.2, 42)
     train, test = r.where("side = 'train'"), r.where("side = 'test'")
-    pairs = M.equipment_pairs(logical(spark, d, "equipment")).join(train.select(F.col("equipment").alias("b")).distinct(), "b", "left_semi")
-    near = M.nearest_equipment(pairs).select(F.col("a").alias("equipment"), "nearest")
+    near = M.nearest_equipment(logical(spark, d, "equipment"), train.select(F.col("equipment").alias("code"))).select(F.col("a").alias("equipment"), "nearest")
     known = train.select(F.col("equipment").alias("nearest"), "cause", F.lit(True).alias("hit")).distinct()
     j = test.join(near, "equipment", "left").join(known, ["nearest", "cause"], "left")
     return j.agg(F.count("*").alias("total"), F.count("nearest").alias("matched"), F.count_if(F.col("hit")).alias("hits"))

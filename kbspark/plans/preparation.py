@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,6 +12,7 @@ from kbspark.operators import batches as L
 from kbspark.operators import chunking as D
 from kbspark.operators import corpus as C
 from kbspark.operators import mining as M
+from kbspark.operators.graph import shared_folder
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 from kbspark.sources import records as R
@@ -92,8 +92,7 @@ def _(spark, d):
 
 @query("a16_knowledge_base", with_tables("SELECT code, t1 FROM equipment"))
 def _(spark, d):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    kb = R.KnowledgeBase(spark, f"{folder}/kb-{uuid.uuid4().hex}")
+    kb = R.KnowledgeBase(spark, f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}")
     e = logical(spark, d, "equipment")
     records = logical(spark, d, "record").join(e.select("code"), F.col("equipment") == F.col("code"), "left_semi")
     kb.write({"equipment": e, "record": records.select("record_id", "equipment")}, [("record", "equipment", "equipment", "code")])
@@ -329,20 +328,6 @@ def _(spark, d):
     return r.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("h5_number_events", with_tables("SELECT job_id, event_id, row_number() OVER (PARTITION BY job_id ORDER BY status = 'running', event_id) AS n FROM job"))
-def _(spark, d):
-    w = Window.partitionBy("job_id").orderBy(F.col("status") == "running", "event_id")
-    return logical(spark, d, "job").select("job_id", "event_id", F.row_number().over(w).cast("bigint").alias("n"))
-
-
-@query("j4_short_sentences", "WITH t AS (SELECT unnest(string_split(p_name, ' ')) AS term, p_brand FROM part), k AS (SELECT p_brand, term FROM t GROUP BY ALL HAVING count(*) >= 2) SELECT DISTINCT p.p_partkey FROM part p JOIN k ON k.p_brand = p.p_brand AND list_contains(string_split(p.p_name, ' '), k.term) WHERE length(p.p_name) < 10")
-def _(spark, d):
-    p = logical(spark, d, "part").withColumn("terms", T.tokens(F.col("p_name")))
-    known = p.select("p_brand", F.explode("terms").alias("term")).groupBy("p_brand", "term").agg(F.count("*").alias("n")).where("n >= 2")
-    short = p.where(F.char_length("p_name") < 10).select("p_partkey", "p_brand", F.explode("terms").alias("term"))
-    return short.join(known, ["p_brand", "term"], "left_semi").select("p_partkey").distinct()
-
-
 @query("j10_rerank", with_tables("@c AS (SELECT equipment, cause, count(*) AS n FROM record WHERE cause IS NOT NULL GROUP BY ALL UNION ALL SELECT DISTINCT equipment, 'suggested', 1 FROM record WHERE record_id % 10 = 0) SELECT equipment, cause, round(100.0 * n / sum(n) OVER (PARTITION BY equipment), 6) AS support_percent, row_number() OVER (PARTITION BY equipment ORDER BY n DESC, cause) AS rank FROM c"))
 def _(spark, d):
     r = logical(spark, d, "record")
@@ -353,21 +338,6 @@ def _(spark, d):
     return x.select("equipment", "cause", "support_percent", F.row_number().over(w.orderBy(F.desc("n"), "cause")).cast("bigint").alias("rank"))
 
 
-@query("c24_guide_instruction", with_tables("SELECT record_id, CASE WHEN record_id % 6 = 0 THEN 'Replace the part, test it and hand it over' END AS instruction FROM record"))
-def _(spark, d):
-    last = F.element_at(T.sentences(F.col("repair_text")), -1)
-    c = M.match_categories(last)
-    neg = F.arrays_overlap(T.tokens(F.lower(last)), F.array(F.lit("not"), F.lit("no")))
-    return logical(spark, d, "record").select("record_id", F.when((F.array_position(c, "replace") > 0) & ~neg, "Replace the part, test it and hand it over").alias("instruction"))
-
-
-@query("c25_verification_marks", with_tables("SELECT record_id, CASE record_id % 6 WHEN 2 THEN 'test' WHEN 1 THEN 'check' END AS mark FROM record WHERE record_id % 6 IN (1, 2)"))
-def _(spark, d):
-    last = F.element_at(T.sentences(F.col("repair_text")), -1)
-    first = F.get(M.match_categories(last), 0)
-    return logical(spark, d, "record").select("record_id", first.alias("mark")).where(F.col("mark").isin("test", "check"))
-
-
 # --- streams, run over the tables' files and read back when all is processed
 
 
@@ -376,7 +346,7 @@ def stream(spark, d, name):
 
 
 def shared(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(frame, mode: str):

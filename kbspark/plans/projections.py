@@ -17,18 +17,19 @@ PROJECTIONS: dict[str, str] = {
     "notebook": "SELECT source AS id, upper(source) AS name, source IN ('src1', 'src3', 'src12') AS archived, min(doc_id) AS created FROM {documents} GROUP BY source",
     "reference": "SELECT doc_id AS source_id, source AS notebook_id FROM {documents} UNION ALL SELECT doc_id AS source_id, concat('src', CAST((doc_id + 1) % 20 AS STRING)) AS notebook_id FROM {documents} WHERE doc_id % 7 = 0",
     "note": "SELECT conv_id * 1000 + turn AS id, conv_id, substr(text, 1, 30) AS title, text AS content, concat('src', CAST(conv_id % 20 AS STRING)) AS notebook_id FROM {conversations} WHERE role = 'assistant'",
-    "insight": "SELECT d.doc_id * 10 + 1 AS id, d.doc_id AS source_id, 'quality' AS insight_type, substr(d.text, 1, 200) AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id * 10 + 2 AS id, d.doc_id AS source_id, 'toxic' AS insight_type, substr(d.text, 1, 200) AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1",
-    "chunk": "SELECT e.vec_id AS id, e.vec_id % c.n AS source_id, e.vec_id AS ord, e.embedding FROM {embeddings} e CROSS JOIN (SELECT count(*) AS n FROM {documents}) c",
+    "insight": "SELECT d.doc_id * 10 + 1 AS id, d.doc_id AS source_id, 'quality' AS insight_type, d.text AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id * 10 + 2 AS id, d.doc_id AS source_id, 'toxic' AS insight_type, d.text AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1",
+    "chunk": "SELECT vec_id AS id, vec_id % (SELECT count(*) FROM {documents}) AS source_id, vec_id AS ord, embedding FROM {embeddings}",
     "session": "SELECT conv_id AS id, concat('src', CAST(conv_id % 20 AS STRING)) AS notebook_id, count(*) AS messages FROM {conversations} GROUP BY conv_id",
     "job": "SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'new' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM {events}",
-    "equipment": "SELECT p_partkey AS code, p_type AS t1, substr(p_name, instr(p_name, ' ') + 1) AS t2, p_name AS t3, p_brand AS t4, concat(p_brand, '-', CAST(p_size AS STRING)) AS t5 FROM {part} WHERE p_partkey < 200",
-    "record": """SELECT o.o_orderkey AS record_id, (31 * o.o_custkey + o.o_orderkey) % 200 AS equipment,
+    "equipment": "SELECT p_partkey AS code, p_type AS t1, substr(p_name, instr(p_name, ' ') + 1) AS t2, p_name AS t3, p_brand AS t4, concat(p_brand, '-', CAST(p_size AS STRING)) AS t5 FROM {part}",
+    "record": """SELECT o.o_orderkey AS record_id, (31 * o.o_custkey + o.o_orderkey) % o.np AS equipment,
         CASE WHEN o.o_orderkey % 17 = 0 THEN '-' WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE concat(p.p_name, ' (', lower(p.p_type), ')') END AS mode_text,
         CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_orderpriority END AS cause,
         o.o_orderstatus AS mechanism,
-        concat(substr(d.text, 1, instr(d.text, '.')), CASE o.o_orderkey % 6 WHEN 0 THEN ' replaced connector' WHEN 1 THEN ' checked pressure switch' WHEN 2 THEN ' tested machine' WHEN 3 THEN ' adjusted sensor' WHEN 4 THEN ' cleaned filter' ELSE ' loose wire found' END, '.') AS repair_text
-        FROM {orders} o CROSS JOIN (SELECT count(*) AS n FROM {part}) np CROSS JOIN (SELECT count(*) AS n FROM {documents}) nd
-        JOIN {part} p ON p.p_partkey = (7 * o.o_orderkey + 3) % np.n JOIN {documents} d ON d.doc_id = o.o_orderkey % nd.n""",
+        concat(d.text, '\n', CASE o.o_orderkey % 12 WHEN 0 THEN 'replaced connector' WHEN 1 THEN 'checked pressure switch' WHEN 2 THEN 'repaired pump. tested machine' WHEN 3 THEN 'adjusted sensor' WHEN 4 THEN 'cleaned filter' WHEN 5 THEN 'loose wire found'
+            WHEN 6 THEN 'تست و تحویل شد' WHEN 7 THEN 'تست شد' WHEN 8 THEN 'تعویض بلبرینگ انجام نشد، سنسور تنظیم و تست و تحویل شد' WHEN 9 THEN 'مشکل رفع شد' WHEN 10 THEN 'parameter change by hand، برطرف شد' ELSE 'وتعویض قطعه و سیم کشی' END, '.') AS repair_text
+        FROM (SELECT *, (SELECT count(*) FROM {part}) AS np, (SELECT count(*) FROM {documents}) AS nd FROM {orders}) o
+        JOIN {part} p ON p.p_partkey = (7 * o.o_orderkey + 3) % o.np JOIN {documents} d ON d.doc_id = o.o_orderkey % o.nd""",
     "report_row": "SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS record_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS quantity, l_returnflag AS flag FROM {lineitem}",
 }
 
@@ -38,7 +39,10 @@ def logical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in PROJECTIONS:
         return table(spark, sf_dir, name)
     sql = PROJECTIONS[name]
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
+    used = {t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))}
+    if name == "record":  # a row of a few bytes becomes a whole text: the rows are spread before they grow
+        used["orders"] = used["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return spark.sql(sql, **used)
 
 
 def with_tables(sql: str) -> str:

@@ -196,6 +196,6 @@ def _(spark, d):
 
 @query("b8_listing_sort", with_tables("SELECT id, row_number() OVER (ORDER BY lower(coalesce(title, '')), id) AS place FROM source"))
 def _(spark, d):
-    from pyspark.sql import Window
+    from kbspark.operators.graph import numbered
 
-    return logical(spark, d, "source").select("id", F.row_number().over(Window.orderBy(F.lower(F.coalesce("title", F.lit(""))), "id")).cast("bigint").alias("place"))
+    return numbered(logical(spark, d, "source").select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t")), [F.col("t"), F.col("id")], "place").select("id", "place")

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.operators.graph import numbered
 from kbspark.functions.text import placeholder_to_null
 
 
@@ -67,9 +68,10 @@ def union_reports(reports: dict[str, DataFrame], order: str) -> tuple[DataFrame,
     for name, df in reports.items():
         one = df.withColumn("report", F.lit(name))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    from pyspark.sql import Window
-
-    out = out.withColumn("row", F.row_number().over(Window.partitionBy("report").orderBy(order)))
+    # numbered in one order over all reports, less the rows of the reports before
+    place = numbered(out, [F.col("report"), F.col(order)], "_place")
+    first = place.groupBy("report").agg(F.min("_place").alias("_first"))  # a row per report
+    out = place.join(F.broadcast(first), "report").withColumn("row", F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
     return out, out.groupBy("report").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("row_count"))
 
 
