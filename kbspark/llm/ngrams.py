@@ -18,7 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,9 +29,12 @@ from pyspark.sql import functions as F
 from kbspark.llm.common import materialize
 
 #: Bytes of text in a batch at most (a longer document is a batch of its own); batches at least, so that a batch's own counts are a small part.
-BATCH = 12_000_000
+BATCH = 6_000_000
 BATCHES = 16
 
+#: Bytes of text for each partition of the counts.
+PART = 32_000_000
+
 #: Context-frequency buckets: unseen, then by powers of two. Rounds of expectation maximisation. Steps of an octave to which held-out estimates are rounded.
 BUCKETS = 40
 ROUNDS = 80
@@ -37,6 +42,7 @@ STEPS = 8
 
 _START, _END = b" ", b""  # neither can be a word
 _ZERO = -(1 << 20)
+_FIELD = (1 << 21) - 1
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -91,50 +97,52 @@ def pack(size: int):
     return run
 
 
+def numbered(texts: pa.Array, held: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all texts one after another, each text closed by the number 1; words per text with that end; the words, the first two of which stand for start and end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, text = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+    real = pc.not_equal(words, "")  # a leading or trailing blank makes an empty word
+    words, text = words.filter(real), text[real.to_numpy(zero_copy_only=False)]
+    coded = words.dictionary_encode()
+    sizes = np.bincount(text, minlength=held).astype(np.int64) + 1
+    token = np.ones(len(text) + held, np.int64)
+    token[np.arange(len(text)) + text] = coded.indices.to_numpy().astype(np.int64) + 2
+    return token, sizes, [_START, _END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+
+
 class Batch:
-    """Words and bigrams of a packed batch, in an order that only depends on the batch."""
+    """Words and bigrams of a packed batch, in an order that only depends on the batch: by digest, which is by partition too."""
 
     def __init__(self, docs: bytes, parts: int):
-        table = pa.ipc.open_stream(docs).read_all()
-        self.doc_id, held_out = table.column("doc_id"), np.array(table.column("held_out").to_pylist(), bool)
+        table = pa.ipc.open_stream(docs).read_all().combine_chunks()
+        self.doc_id, held_out = table.column("doc_id"), table.column("held_out").to_numpy().astype(bool)
         self.held_out = held_out
-        ids: dict[bytes, int] = {_START: 0, _END: 1}
-        rows, sizes = [], []
-        for text in table.column("text"):
-            words = (text.as_py() or "").encode("utf-8", "replace").lower().split()
-            words.append(_END)
-            for w in words:
-                if w not in ids:
-                    ids[w] = len(ids)
-            rows.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
-            sizes.append(len(words))
-        self.sizes = np.array(sizes, np.int64)
-        token = np.concatenate(rows)
+        token, self.sizes, words = numbered(table.column("text").combine_chunks(), len(held_out))
         before = np.roll(token, 1)
         before[np.cumsum(self.sizes) - self.sizes] = 0
-        self.doc = np.repeat(np.arange(len(rows)), self.sizes)
+        self.doc = np.repeat(np.arange(len(held_out), dtype=np.int32), self.sizes)
         train = ~held_out[self.doc]
-        n = len(ids)
-        pair, which = np.unique(before * n + token, return_inverse=True)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, n)
+        n = len(words)
+        which, pair = pd.factorize(before * n + token)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
         left, right = pair // n, pair % n
         both = h[left] * np.uint64(0x9E3779B97F4A7C15) + (h[right] ^ (h[right] >> np.uint64(32)))
         both = (both ^ (both >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         both ^= both >> np.uint64(32)
         own = np.bincount(which[train], minlength=len(pair))
-        words = np.bincount(token[train], minlength=n)
-        words[0] = int((~held_out).sum())  # a text's start is the context of its first word
-        # deal by partition; the first 48 bits of a digest tell bigrams of one partition apart
-        self.pair_part, self.word_part = (both >> np.uint64(48)).astype(np.int64) % parts, (h >> np.uint64(48)).astype(np.int64) % parts
-        po, wo = np.lexsort((both, self.pair_part)), np.lexsort((h, self.word_part))
-        back = np.empty(len(po), np.int64)
+        counts = np.bincount(token[train], minlength=n)
+        counts[0] = int((~held_out).sum())  # a text's start is the context of its first word
+        po, wo = np.argsort(both), np.argsort(h)
+        back = np.empty(len(po), np.int32)
         back[po] = np.arange(len(po))
         self.which = back[which]
-        self.pair_part, self.pair_hash, self.pair_own = self.pair_part[po], both[po], own[po]
-        place = np.empty(n, np.int64)
+        self.pair_hash, self.pair_own = both[po], own[po]
+        place = np.empty(n, np.int32)
         place[wo] = np.arange(n)
         self.left, self.right = place[left[po]], place[right[po]]
-        self.word_part, self.word_hash, self.word_own = self.word_part[wo], h[wo], words[wo]
+        self.word_hash, self.word_own = h[wo], counts[wo]
+        # the first bits deal by partition; the last 48 tell bigrams of one partition apart
+        self.pair_part, self.word_part = (((x >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64) for x in (self.pair_hash, self.word_hash))
         self.start = int(place[0])
 
     def sent(self) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -159,24 +167,31 @@ def _bucket(seen: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, np.minimum(1 + np.floor(np.log2(np.maximum(seen, 1))).astype(np.int64), BUCKETS - 1), 0)
 
 
-def learn_weights(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, times: np.ndarray) -> np.ndarray:
-    """Mixture weights (bigram, word, uniform) per bucket by expectation maximisation. Buckets without held-out counts take the weights of the nearest one below; an unseen context has no bigram estimate."""
-    weights = np.zeros((BUCKETS, 3))
-    last = np.array([0.0, 0.9, 0.1])
+def bucket_weights(k: int, p2: np.ndarray, p1: np.ndarray, p0: float, times: np.ndarray) -> np.ndarray:
+    """Mixture weights (bigram, word, uniform) of one bucket by expectation maximisation; an unseen context (bucket 0) has no bigram estimate."""
+    least = np.array([0.0 if k == 0 else 0.01, 0.01, 0.01])
+    est = np.stack([p2, p1, np.full(len(p1), p0)], 1)
+    w = np.array([0.0, 0.5, 0.5]) if k == 0 else np.full(3, 1 / 3)
+    for _ in range(ROUNDS):
+        share = est * w
+        share *= (times / np.maximum(share.sum(1), 1e-300))[:, None]
+        w = (share.sum(0) + least) / (share.sum() + least.sum())
+    return w
+
+
+def all_buckets(known: dict[int, np.ndarray]) -> np.ndarray:
+    """Weights of every bucket; one without held-out counts takes those of the nearest one below."""
+    weights, last = np.zeros((BUCKETS, 3)), np.array([0.0, 0.9, 0.1])
     for k in range(BUCKETS):
-        on = b == k
-        if on.any():
-            est = np.stack([p2[on], p1[on], np.full(on.sum(), p0)], 1)
-            w = np.array([0.0, 0.5, 0.5]) if k == 0 else np.full(3, 1 / 3)
-            for _ in range(ROUNDS):
-                share = est * w
-                share *= (times[on] / np.maximum(share.sum(1), 1e-300))[:, None]
-                w = (share.sum(0) + np.array([0.0 if k == 0 else 0.01, 0.01, 0.01])) / (share.sum() + (0.02 if k == 0 else 0.03))
-            last = w
-        weights[k] = last
+        weights[k] = last = known.get(k, last)
     return weights
 
 
+def learn_weights(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, times: np.ndarray) -> np.ndarray:
+    """Weights per bucket from held-out estimates that occurred so many times."""
+    return all_buckets({int(k): bucket_weights(int(k), p2[b == k], p1[b == k], p0, times[b == k]) for k in np.unique(b)})
+
+
 def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -189,7 +204,7 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
     total = d.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     size = max(20_000, min(BATCH, (total[0] or 0) // BATCHES))
     packed = materialize(d.mapInArrow(pack(size), "batch bigint, docs binary"), "lm-batches")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total[0] or 0) // PART), 1))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,16 +261,22 @@ def score(docs: DataFrame, held_out, text: str = "text", doc_id: str = "doc_id")
                 dv, dw = (c1 - x.word_own)[x.left[use]], (c1 - x.word_own)[x.right[use]]
                 step = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * STEPS), _ZERO).astype(np.int64)
                 q2, q1, b = step(d2 / np.maximum(dv, 1)), step(dw / max(n - own_n, 1)), _bucket(dv)
-                key, at = np.unique(np.stack([b, q2, q1], 1), axis=0, return_inverse=True)
-                times = np.bincount(at.ravel(), x.pair_own[use], len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0], pa.int64()), pa.array(key[:, 1], pa.int64()), pa.array(key[:, 2], pa.int64()), pa.array(times)], names=["b", "q2", "q1", "times"])
+                at, key = pd.factorize((b << 42) + (-q2 << 21) - q1)  # steps are at most zero
+                times = np.bincount(at, x.pair_own[use], len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 42), pa.array(-(key >> 21 & _FIELD)), pa.array(-(key & _FIELD)), pa.array(times)], names=["b", "q2", "q1", "times"])
 
-    # a table of buckets and rounded estimates: its size is bounded by their ranges, not by the corpus
-    held = met.mapInArrow(judge, "b bigint, q2 bigint, q1 bigint, times bigint").groupBy("b", "q2", "q1").agg(F.sum("times").alias("times")).toArrow()
-    b, q2, q1, times = (held.column(c).to_numpy() for c in ("b", "q2", "q1", "times"))
     p0 = 1 / (v + 1)
-    value = lambda q: np.where(q > _ZERO, np.exp2(np.maximum(q, -8000) / STEPS), 0.0)
-    weights = learn_weights(b, value(q2), value(q1), p0, times.astype(float))
+
+    def maximise(pdf: pd.DataFrame) -> pd.DataFrame:
+        value = lambda q: np.where(q > _ZERO, np.exp2(np.maximum(q, -8000) / STEPS), 0.0)
+        k = int(pdf["b"].iloc[0])
+        w = bucket_weights(k, value(pdf["q2"].to_numpy()), value(pdf["q1"].to_numpy()), p0, pdf["times"].to_numpy(np.float64))
+        return pd.DataFrame([[k, *w]], columns=["b", "w2", "w1", "w0"])
+
+    # buckets and rounded estimates: the rows of a bucket are bounded by the estimates' range, not by the corpus, and a bucket's weights are one row
+    cells = met.mapInArrow(judge, "b bigint, q2 bigint, q1 bigint, times bigint").groupBy("b", "q2", "q1").agg(F.sum("times").alias("times"))
+    learned = cells.groupBy("b").applyInPandas(maximise, "b bigint, w2 double, w1 double, w0 double").collect()
+    weights = all_buckets({r.b: np.array([r.w2, r.w1, r.w0]) for r in learned})
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,6 +154,24 @@ def test_bm25(spark, monkeypatch):
     assert bm25.search(empty(spark), empty(spark)).count() == 0
 
 
+def test_bm25_ties_go_by_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD", 12)
+    monkeypatch.setattr(bm25, "BLOCK", 2)
+    random.seed(13)
+    kinds = [" ".join(random.choices("red blue green old new bolt gear rod plate ring nut pin cap".split(), k=random.randrange(3, 25))) for _ in range(12)]
+    texts = [random.choice(kinds) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = collections.defaultdict(list)
+    for r in bm25.search(docs, docs.where("doc_id % 5 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.doc_id))
+    terms = [collections.Counter(t.split()) for t in texts]
+    df, mean = collections.Counter(w for t in terms for w in t), sum(sum(t.values()) for t in terms) / len(terms)
+    for i in range(0, 120, 5):
+        s = [round(sum(math.log(1 + (120 - df[w] + 0.5) / (df[w] + 0.5)) * t[w] * 2.2 / (t[w] + 1.2 * (0.25 + 0.75 * sum(t.values()) / mean)) for w in terms[i] if w in t), 9) for t in terms]
+        want = sorted((j for j in range(120) if s[j] > 0), key=lambda j: (-s[j], j))[:10]
+        assert got[i] == list(enumerate(want, 1))
+
+
 def test_block_max_skips():
     rng = np.random.default_rng(1)
     terms = [np.unique(rng.integers(0, 50, 5)).astype(np.uint64) for _ in range(640)] + [np.array([60, 61, 62], np.uint64)] * 3
@@ -209,6 +228,50 @@ def test_ngrams(spark):
     assert ngrams.score(docs, F.lit(True)).where("train_tokens = 0 and score <= 0").count() == len(tokens)
 
 
+def brute_weights(batches, n_words, v):
+    """Weights from each batch under the counts of all others, without rounding. batches: lists of token lists of training texts."""
+    pairs = [collections.Counter((a, b) for t in x for a, b in zip([0, *t], t)) for x in batches]
+    words = [collections.Counter(w for t in x for w in t) + collections.Counter({0: len(x)}) for x in batches]
+    all2, all1 = sum(pairs, collections.Counter()), sum(words, collections.Counter())
+    rows = collections.defaultdict(list)
+    for c2, c1 in zip(pairs, words):
+        for (a, b), times in c2.items():
+            seen, rest = all1[a] - c1[a], n_words - (sum(c1.values()) - c1[0])
+            rows[math.floor(math.log2(seen)) + 1 if seen else 0].append(((all2[a, b] - c2[a, b]) / max(seen, 1), (all1[b] - c1[b]) / max(rest, 1), times))
+    return {k: ngrams.bucket_weights(k, *(np.array(c, float) for c in list(zip(*r))[:2]), 1 / (v + 1), np.array([x[2] for x in r], float)) for k, r in rows.items()}
+
+
+def test_ngram_scores_by_brute_force(spark, monkeypatch, tmp_path):
+    random.seed(16)
+    docs = table(spark, TEXTS + [" ".join(random.choices("Red blue green old new bolt gear".split(), k=random.randrange(40))) for _ in range(150)])
+    docs.repartitionByRange(5, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
+    learned, plain = {}, ngrams.all_buckets
+    monkeypatch.setattr(ngrams, "all_buckets", lambda known: learned.update(known) or plain(known))
+    got = ngrams.score(docs, held).collect()
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), None]
+    rows = docs.withColumn("held", held).collect()
+    packed = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(ngrams.pack(20_000), "batch bigint, docs binary").collect()
+    batches = {r.batch: [split(t) for t, h in zip(*(pa.ipc.open_stream(r.docs).read_all().column(c).to_pylist() for c in ("text", "held_out"))) if not h] for r in packed}
+    assert len(batches) > 2
+    train = [t for x in batches.values() for t in x]
+    c1, c2 = collections.Counter(w for t in train for w in t), collections.Counter((a, b) for t in train for a, b in zip([0, *t], t))
+    n, v = sum(c1.values()), len(c1)
+    want = brute_weights(list(batches.values()), n, v)
+    assert set(want) == set(learned) and all(learned[k] == pytest.approx(want[k], abs=0.03) for k in want)
+    weights = plain(learned)
+    c1[0] = len(train)
+    expected = []
+    for r in rows:
+        t, total = split(r.text), 0.0
+        for a, b in zip([0, *t], t):
+            w = weights[math.floor(math.log2(c1[a])) + 1 if c1[a] else 0]
+            total += math.log10(w[0] * c2[a, b] / max(c1[a], 1) + w[1] * (c1[b] if b != 0 else 0) / n + w[2] / (v + 1))
+        expected.append((r.doc_id is None, r.doc_id, total))
+    assert [x[2] for x in sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in got)] == pytest.approx([x[2] for x in sorted((a, b or 0, c) for a, b, c in expected)])
+
+
 def test_weights_are_learned():
     b, p2, p1 = np.array([0, 3, 3, 5]), np.array([0.0, 0.5, 0.0, 0.9]), np.array([0.01, 0.01, 0.02, 0.001])
     w = ngrams.learn_weights(b, p2, p1, 1e-4, np.array([100.0, 80, 20, 50]))
