@@ -12,6 +12,15 @@ from kbspark.llm.common import materialize
 #: Fitted scores, XXH64, byte-wise repeats and BPE are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
+#: Bytes of the repeated strings that the dedup stage looks for: 50 words have more, at three letters and a space each.
+PASSAGE = 200
+GRAM = 64
+
+
+def is_passage(run: bytes) -> bool:
+    """What the dedup stage takes out: repeated runs of over 50 words, or of 400 bytes in any number of words."""
+    return len(run) >= repeats.LENGTH or len(run.split()) > 50
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier takes for toxic go; it is fitted on these documents' labels outside the held-out fold."""
@@ -25,8 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice go from the texts; a character cut in two goes too, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts stay as they are."""
-    left = repeats.remove_repeats(docs, keep_bytes=True)
+    """Passages of over 50 words (or 400 bytes) made of strings of PASSAGE bytes that occur twice go from the texts, every copy of them; a character cut in two goes too, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts stay as they are."""
+    left = repeats.remove_repeats(docs, length=PASSAGE, gram=GRAM, keep_bytes=True, counts=is_passage)
     kept = F.when(F.col("n_removed") > 0, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(F.col("text"))
     cut = left.withColumn("_text", kept).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

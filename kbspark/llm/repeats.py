@@ -23,7 +23,7 @@ finds what is:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,14 +248,16 @@ def _cells_of(data: bytes, wanted: np.ndarray, powers: _Powers, length: int, gra
 _CELL = pa.list_(pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
 
-def _removed(data: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
-    """Bytes removed, their maximal runs, and what is left."""
+def _removed(data: bytes, spans: list[dict] | None, counts: Callable[[bytes], bool] | None = None) -> tuple[int, int, bytes]:
+    """Bytes removed, their maximal runs, and what is left; a run that does not count stays."""
     merged: list[list[int]] = []
     for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+    if counts is not None:
+        merged = [[a, b] for a, b in merged if counts(data[a:b])]
     kept, at = [], 0
     for a, b in merged:
         kept.append(data[at:a])
@@ -264,7 +266,7 @@ def _removed(data: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
     return sum(b - a for a, b in merged), len(merged), b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, keep_bytes: bool = False, counts: Callable[[bytes], bool] | None = None) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes kept (binary), to all columns of docs.
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross texts and
@@ -278,7 +280,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
 
     # 1. anchors that occur at two places or more
     found = keyed.select("k1", "k2", "text", F.monotonically_increasing_id().alias("uid")).where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram), "anchor bigint, k1 bigint, k2 bigint, at int, place bigint")
-    twice = found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor")
+    found = materialize(found, "repeats-anchors")
+    # a written table, so that both sides of the join are plain shuffles: Spark can then split the rows of a hot anchor
+    twice = materialize(found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"), "repeats-twice")
     wanted = found.select("anchor", "k1", "k2", "at").join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set("at").alias("wanted"))
 
     # 2. cells of their windows; a text without any is done
@@ -372,7 +376,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             removed, runs, shas, kept = [], [], [], []
             for x, sha, spans in zip(batch.column("text"), batch.column("sha").to_pylist(), batch.column("spans")):
                 data = (x.as_py() or "").encode("utf-8", "replace")
-                n, k, rest = _removed(data, spans.as_py())
+                n, k, rest = _removed(data, spans.as_py(), counts)
                 removed.append(n)
                 runs.append(k)
                 shas.append(sha or hashlib.sha256(rest).hexdigest())
