@@ -24,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Encoded pieces that a worker keeps; a second table of this size holds the ones before.
-CACHED_PIECES = 350_000
+CACHED_PIECES = 200_000
 
 #: Characters of text whose new pieces are encoded together.
 GROUP_LENGTH = 2_000_000
 
 #: Answers that a worker keeps on whether one token may follow another.
-KEPT_BORDERS = 1_000_000
+KEPT_BORDERS = 300_000
 
 #: Pieces longer than this are encoded each time, as they hardly recur.
 CACHED_LENGTH = 64

@@ -58,7 +58,7 @@ def in_fold(doc_id: Column, of: int, which: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == which, F.lit(True))
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=100_000)
 def features_of_word(word: str) -> tuple[int, ...]:
     """The word and its beginnings as 32-bit hashes; those of words have bit 31 clear, those of beginnings set."""
     return xxhash.xxh32_intdigest(word) & 0x7FFFFFFF, *(xxhash.xxh32_intdigest(word[:n], n) | 0x80000000 for n in BEGINNINGS if len(word) >= n)
@@ -134,7 +134,7 @@ class Classifier:
         out, get = [], self.weights.get
         for text in texts:
             words = words_of(text)
-            if len(known) > 400_000:
+            if len(known) > 100_000:
                 known.clear()
             for w in words.difference(known):
                 known[w] = sum(get(f, 0.0) for f in features_of_word(w))
