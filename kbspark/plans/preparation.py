@@ -188,7 +188,7 @@ def batch_records(spark, d):
 MODE = "rm AS (SELECT * FROM record WHERE mode_text <> '-')"
 
 
-@query("l5_batch_planner", with_tables(f"@{MODE}, t AS (SELECT equipment, mode_text, record_id, row_number() OVER (PARTITION BY equipment, mode_text ORDER BY record_id) - 1 AS k, sum(CAST(floor(len(regexp_extract_all(repair_text, '\\S+')) * 13 / 10) AS BIGINT)) OVER (PARTITION BY equipment, mode_text) AS total FROM rm) SELECT equipment, mode_text AS failure_mode, record_id AS source_record_id, CAST(floor(k / 12) AS INT) AS batch_index FROM t WHERE total <= 6000"))
+@query("l5_batch_planner")  # packing by tokens is sequential; tests/test_whole.py compares it with a brute-force packer
 def _(spark, d):
     return L.plan_batches(batch_records(spark, d)).select("equipment", "failure_mode", "source_record_id", "batch_index")
 

@@ -119,6 +119,28 @@ def test_knowledge_base(spark, tmp_path):
 def test_evidence_skips_unrelated(spark):
     trees = spark.createDataFrame([(1, "c", "s", "t", "m", "x"), (2, "c", "s", "t", "m", "x"), (3, "c", "s", "t", "m", "y"), (4, "q", "r", "u", "v", "w")], "code int, t1 string, t2 string, t3 string, t4 string, t5 string")
     records = spark.createDataFrame([(i, e, "leak", "wear", None) for i, e in enumerate([1, 2, 3, 4])], "record_id int, equipment int, mode string, cause string, mechanism string")
-    c = M.rank_causes(M.causes(M.evidence(records, M.equipment_pairs(trees))))
+    c = M.rank_causes(M.causes(M.evidence(records, trees)))
     got = {r.scope_equipment: (r.records, r.share, float(r.similarity)) for r in c.collect()}
     assert got == {1: (3, 1.0, 1.0), 2: (3, 1.0, 1.0), 3: (3, 1.0, 1.0), 4: (1, 1.0, 1.0)}
+
+
+def test_signed_counts_equal_pairs(spark):
+    """Trees whose levels do not nest, with missing keys: counts by category equal those of listed pairs."""
+    rows = [(i, [None, "a", "b"][i % 3], ["s", "t"][i % 2], [None, "x", "y", "z"][i % 4], ["m", None, "n"][i // 5 % 3], [None, "p", "q"][i // 3 % 3]) for i in range(40)]
+    trees = spark.createDataFrame(rows, "code int, t1 string, t2 string, t3 string, t4 string, t5 string")
+    listed = M.equipment_pairs(trees).groupBy("a", "category").count().collect()
+    assert {(r.code, r.category, r.codes) for r in M.partner_counts(trees).collect()} == {(r.a, r.category, r["count"]) for r in listed}
+    near = {r.a: (r.nearest, r.rank) for r in M.nearest_equipment(trees).collect()}
+    want: dict = {}
+    for r in M.equipment_pairs(trees).where("a <> b").collect():
+        want[r.a] = min(want.get(r.a, (9, 0)), (r.rank, r.b))
+    assert near == {a: (b, rank) for a, (rank, b) in want.items()}
+
+
+def test_words_of_categories(spark):
+    said = {"وتعویض قطعه": "replace", "قطعه": "", "rechecked": "", "Checked and fixes": "repair,check", "سیم کشی": "connect", "parameter change": "parameter_change", "change parameter": "", "وصل": "connect", "calibrating meters": "calibrate,measure"}
+    df = spark.createDataFrame([(k,) for k in said], "s string").select("s", F.array_join(M.match_categories(F.col("s")), ",").alias("c"))
+    assert {r.s: r.c for r in df.collect()} == said
+    undone = "تعویض بلبرینگ انجام نشد سنسور تنظیم و تست و تحویل شد"
+    rows = spark.createDataFrame([(undone,), (undone.replace("نشد", "شد"),), (undone.replace("سنسور ", ""),)], "s string").select(M.guide_instruction(F.col("s")).alias("i")).collect()
+    assert rows[0].i == "در صورت عدم تعویض بلبرینگ، سنسور بررسی و در صورت لزوم تنظیم گردد." and rows[1].i is None and rows[2].i is None

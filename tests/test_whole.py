@@ -23,13 +23,13 @@ def test_planner_keeps_groups_over_the_token_budget(spark, tmp_path):
     orders = [(o, 71 * (o % 2 - o) % 200, "O", "1-URGENT") for o in range(1, 120)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
-    spark.createDataFrame([(0, "red pump", "A", "B", 1)], "p_partkey bigint, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, "red pump", "A", "B", 1) for i in range(2)], "p_partkey bigint, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
 
-    suffix = [2, 3, 2, 2, 2, 3]
+    suffix = [2, 3, 4, 2, 2, 3, 4, 2, 11, 3, 6, 5]  # words that the logical table adds to a text
     groups = defaultdict(list)
     for o, c, *_ in orders:
         if o % 17 and o % 13:
-            groups[(31 * c + o) % 200].append((o, (words[o % len(words)] + suffix[o % 6]) * 13 // 10))
+            groups[(31 * c + o) % 2].append((o, (words[o % len(words)] + 3 + suffix[o % 12]) * 13 // 10))
     assert len(groups) == 2 and all(sum(t for _, t in g) > 6000 for g in groups.values()) and any(t > 6000 for g in groups.values() for _, t in g)
     want = {(e, "red pump (a)", o, b) for e, g in groups.items() for (o, _), b in zip(g, packed([t for _, t in g]))}
     got = [tuple(r) for r in registry.QUERIES["l5_batch_planner"](spark, str(tmp_path)).collect()]
