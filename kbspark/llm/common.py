@@ -29,9 +29,11 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests on one machine) a temporary one, the same for the whole session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset, and gets a temporary one, the same for the whole session."""
     got = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return got.rstrip("/")
 
