@@ -35,11 +35,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words (or 400 bytes) made of strings of PASSAGE bytes that occur twice go from the texts, every copy of them; a character cut in two goes too, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts stay as they are."""
-    left = repeats.remove_repeats(docs, length=PASSAGE, gram=GRAM, keep_bytes=True, counts=is_passage)
-    kept = F.when(F.col("n_removed") > 0, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(F.col("text"))
-    cut = left.withColumn("_text", kept).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.withColumn("n_chars", n_chars).withColumn("text", F.col("_text")).select(*docs.columns)
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # names that no added column has
+    text, old = F.col(own["text"]), F.col(own["n_chars"])
+    left = repeats.remove_repeats(docs.toDF(*own.values()), text=own["text"], length=PASSAGE, gram=GRAM, keep_bytes=True, counts=is_passage)
+    cut = F.col("n_removed") > 0
+    kept = F.when(cut, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(text)
+    left = left.withColumn("kept_text", kept).where(~cut | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != ""))
+    n_chars = F.when(cut, F.char_length("kept_text")).otherwise(old).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("kept_text"), "n_chars": n_chars}
+    return left.select(*[new.get(c, F.col(x)).alias(c) for c, x in own.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

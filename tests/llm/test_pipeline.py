@@ -1,6 +1,9 @@
 """The pipeline on a small table, and the registered queries on the smallest driver tables."""
 
+import collections
 import os
+import random
+import re
 
 import pytest
 
@@ -24,3 +27,36 @@ def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "SimHash near-dedup", "suffix-array dedup", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def left_by_brute_force(texts):
+    """Each text without the repeated runs that count as passages, from all strings of PASSAGE bytes."""
+    data, size = [(t or "").encode() for t in texts], corpus_pipeline.PASSAGE
+    seen = collections.Counter(x[i : i + size] for x in data for i in range(len(x) - size + 1))
+    out = []
+    for x in data:
+        hit = bytearray(len(x))
+        for i in range(len(x) - size + 1):
+            if seen[x[i : i + size]] > 1:
+                hit[i : i + size] = b"\1" * size
+        kept, at = b"", 0
+        for run in re.finditer(b"\1+", bytes(hit)):
+            if corpus_pipeline.is_passage(x[run.start() : run.end()]):
+                kept, at = kept + x[at : run.start()], run.end()
+        out.append((kept + x[at:]).decode())
+    return out
+
+
+def test_dedup_stage_by_brute_force(spark):
+    random.seed(21)
+    words = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randrange(3, 8))) for _ in range(n))
+    passages = [words(n) for n in (52, 60, 45, 80, 12)]
+    texts = [words(random.randrange(5, 60)) + f" {random.choice(passages)} " + words(random.randrange(5, 60)) for _ in range(30)] + [passages[3]] * 2 + [None, "", "short", words(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "own") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string")
+    got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in corpus_pipeline.drop_repeats(spark, docs, "").collect()}
+    want = {}
+    for i, (t, left) in enumerate(zip(texts, left_by_brute_force(texts))):
+        if left == (t or "") or left.strip():
+            want[i] = (t if left == (t or "") else left, len(left), "own")
+    assert got == want and any(passages[0] in (t or "") for t in texts) and not any(p in (v[0] or "") for v in got.values() for p in (passages[0], passages[1], passages[3]))
+    assert any(passages[2] in (v[0] or "") for v in got.values()) and corpus_pipeline.drop_repeats(spark, docs.limit(0), "").count() == 0
