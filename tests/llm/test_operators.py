@@ -84,6 +84,39 @@ def test_toxicity(spark):
     assert toxicity.with_score(empty(spark), toxicity.fit_on(docs, labels)).count() == 0
 
 
+def test_toxicity_counts_every_row(spark):
+    docs, labels = toxic_table(spark)
+    copies = docs.where("doc_id = 5").crossJoin(spark.range(1000, 1040)).selectExpr("id as doc_id", "text")
+    known = docs.unionByName(copies).join(labels.where("toxic is not null").unionByName(copies.selectExpr("doc_id", "1 as toxic")), "doc_id").where("doc_id is not null")
+    rows = [(frozenset(f for w in toxicity.words_of(r.text) for f in toxicity.features_of_word(w)), r.toxic) for r in known.collect()]
+    seen = known.selectExpr("text", "toxic", "0.0D as draw").mapInArrow(toxicity._extract, "features array<int>, sketch bigint, toxic int, loud boolean, capitals boolean, draw double")
+    got = toxicity._counted(toxicity._weighed(seen).selectExpr("features", "if(toxic = 1, weight, 0D) as up", "if(toxic = 0, weight, 0D) as down")).collect()
+    alike = collections.Counter((tuple(sorted(f)[: toxicity.SKETCH]), t) for f, t in rows)
+    up, down = collections.Counter(), collections.Counter()
+    for f, t in rows:
+        for x in f:
+            (up if t else down)[x] += 1 / alike[tuple(sorted(f)[: toxicity.SKETCH]), t]
+    want = {x: (up[x], down[x]) for x in {*up, *down} if up[x] + down[x] > 2.999}
+    assert {r.feature & 0xFFFFFFFF for r in got} == set(want)
+    assert all(abs(r.up - want[r.feature & 0xFFFFFFFF][0]) < 1e-9 and abs(r.down - want[r.feature & 0xFFFFFFFF][1]) < 1e-9 for r in got)
+
+
+def test_toxicity_votes(spark):
+    texts = ["awful day", "nasty!! AWFUL", "A LONG TEXT IN CAPITAL LETTERS", "", None, "plain"]
+    entry = {w: toxicity.features_of_word(w)[0] for w in ("awful", "nasty")}
+    signed = {int(np.uint32(f).view(np.int32)): v for v, f in enumerate(entry.values())}
+    got = toxicity.votes_of(spark.createDataFrame([(t,) for t in texts], "text string"), signed).collect()
+    assert [r.pattern for r in got] == [1, 3 | 1 << toxicity.VOTERS - 2, 1 << toxicity.VOTERS - 1, 0, 0, 0]
+    assert got[3].same == got[4].same != got[5].same
+
+
+def test_label_model_counts_patterns():
+    v = np.array([[1, 1, 0], [0, 0, 0], [1, 0, 0], [0, 1, 1]], float)
+    times = np.array([30, 900, 9, 12])
+    a, b = toxicity.LabelModel().fit(v, times), toxicity.LabelModel().fit(np.repeat(v, times, axis=0))
+    assert np.allclose(a.posterior(v), b.posterior(v)) and np.allclose(a.weight, b.weight)
+
+
 def test_label_model_weighs_copies_down():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
