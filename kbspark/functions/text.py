@@ -69,8 +69,10 @@ def coerce_identifier(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words with inner . _ - / kept whole; ASCII ones in lower case."""
-    found = F.regexp_extract_all(c, F.lit(f"({TOKEN})"), 1)
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[\x00-\x7F]*$"), F.lower(t)).otherwise(t))
+    found = lambda x: F.regexp_extract_all(x, F.lit(f"({TOKEN})"), 1)
+    # a text of ASCII alone, as most are, is told by its length in bytes and lowered as a whole
+    mixed = F.transform(found(c), lambda t: F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(t))
+    return F.when(F.octet_length(c) == F.char_length(c), found(F.lower(c))).otherwise(mixed)
 
 
 def canonical(words: Column, aliases: dict[str, str]) -> Column:

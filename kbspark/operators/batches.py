@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,28 +16,32 @@ LARGE = 105_000
 
 
 def plan_batches(records: DataFrame, records_most: int = RECORDS, tokens_most: int = TOKENS) -> DataFrame:
-    """Add batch_index, batch_id, oversized: records of one (equipment, failure_mode) packed in order until a batch is full.
+    """Add batch_index, batch_id, oversized: records of one (equipment, failure_mode) packed in order of source_record_id until a batch is full.
 
-    A record that is too large alone is a batch of its own. The packing is
-    sequential within a group, so one task takes a group; only ids and token
-    counts travel, not the texts.
+    A record that is too large alone is a batch of its own. Only ids and token
+    counts travel, not the texts: sorted by group and id they pass each task in
+    a stream that carries the open batch from one Arrow batch to the next, so a
+    group of any size needs no more memory than a small one.
     """
-    lean = records.select("equipment", "failure_mode", "source_record_id", word_estimate(F.col("source_text")).alias("tokens"))
-    types = {f.name: f.dataType.simpleString() for f in lean.schema}
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("source_record_id", kind="stable")
-        index, n, total, out = -1, records_most, 0, []
-        for t in pdf["tokens"]:
-            if n >= records_most or total + t > tokens_most:
-                index, n, total = index + 1, 0, 0
-            n, total = n + 1, total + t
-            out.append(index)
-        return pdf.assign(batch_index=out, oversized=pdf["tokens"] > tokens_most)
-
-    schema = ", ".join(f"{k} {v}" for k, v in types.items()) + ", batch_index int, oversized boolean"
-    out = lean.groupBy("equipment", "failure_mode").applyInPandas(pack, schema)
-    return out.withColumn("batch_id", F.concat_ws("-", digest_id(F.col("equipment").cast("string"), F.coalesce(F.col("failure_mode").cast("string"), F.lit(""))), F.format_string("%04d", "batch_index")))
+    keys = ["equipment", "failure_mode"]
+    lean = records.select(*keys, "source_record_id", word_estimate(F.col("source_text")).alias("tokens"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index, n, total = object(), 0, 0, 0
+        for batch in batches:
+            out = []
+            for *key, tokens in zip(*(batch.column(c).to_pylist() for c in (*keys, "tokens"))):
+                if key != group:
+                    group, index, n, total = key, 0, 0, 0
+                elif n >= records_most or total + tokens > tokens_most:
+                    index, n, total = index + 1, 0, 0
+                n, total = n + 1, total + tokens
+                out.append(index)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "batch_index"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lean.schema) + ", batch_index int"
+    out = lean.repartition(*keys).sortWithinPartitions(*keys, "source_record_id").mapInArrow(pack, schema)
+    return out.withColumn("oversized", F.col("tokens") > tokens_most).withColumn("batch_id", F.concat_ws("-", digest_id(F.col("equipment").cast("string"), F.coalesce(F.col("failure_mode").cast("string"), F.lit(""))), F.format_string("%04d", "batch_index")))
 
 
 def plan_scopes(records: DataFrame) -> DataFrame:

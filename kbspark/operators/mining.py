@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.graph import checkpointed, components, numbered
+from kbspark.operators.graph import components, numbered, written
 
 # fixed values: similarity categories from the finest, and their weights
 CATEGORIES = ["same_equipment", "same_model", "same_type_and_maker", "same_type", "same_sub_class", "same_class"]
@@ -193,7 +193,7 @@ def fuzzy_pairs(wordings: DataFrame, tech: Column | None = None) -> DataFrame:
     index of those alone finds all of them. Wordings with different non-empty
     tags stay apart. tech: a column over x and y rows, 0 if none.
     """
-    w = checkpointed(weighted_sets(wordings))
+    w = written(weighted_sets(wordings), "wordings")
     least = (LEAST_SCORE - (TECH_SHARE if tech is not None else 0)) / LEX_SHARE
     pairs = similar_candidates(w, max(least, LEAST_LEX if tech is not None else 0))
     j = pairs.join(w.alias("x"), F.col("a") == F.col("x.id")).join(w.alias("y"), F.col("b") == F.col("y.id"))
@@ -227,7 +227,7 @@ def evidence(records: DataFrame, trees: DataFrame) -> DataFrame:
     """
     r = records.where("mode is not null").select("mode", F.col("equipment").alias("code"), "cause", "mechanism")
     cells = r.groupBy("code", "mode", "cause", "mechanism").agg(F.count("*").alias("n")).join(trees.select("code", "t1", "t2", "t3", "t4", "t5"), "code", "left")
-    cells = checkpointed(_own_model(cells))
+    cells = written(_own_model(cells), "cells")
     # what a key's records say travels as one array, and meets the other keys of a scope in the scope's own partition
     counted = _level_keys(cells, "mode", "cause", "mechanism", "n").groupBy("level", "key", "mode", "cause", "mechanism").agg(F.sum("n").alias("n"))
     counted = counted.groupBy("level", "key", "mode").agg(F.collect_list(F.struct("cause", "mechanism", "n")).alias("said"))
@@ -277,7 +277,8 @@ def _pattern(keywords: list[str]) -> str:
     """For words set apart by single blanks: one keyword (ASCII ones with an ending, any with the conjunction in front), or a phrase word by word."""
     ends = f"(?:{'|'.join(INFLECTIONS)})?"
     one = [k + (ends if k.isascii() else "") for k in keywords if " " not in k]
-    return "|".join([f" {AND}?(?:{'|'.join(one)}) ", *[f" {k} " for k in keywords if " " in k]])
+    # without single words there is no such branch: an empty one would match the conjunction itself
+    return "|".join([f" {AND}?(?:{'|'.join(one)}) "] * bool(one) + [f" {k} " for k in keywords if " " in k])
 
 
 def spaced(words: Column) -> Column:
@@ -294,7 +295,8 @@ def match_categories(sentence: Column) -> Column:
     every = _pattern([k for _, keys in ACTIONS for k in keys])
     hits = lambda line: F.array_compact(F.array(*[F.when(line.rlike(_pattern(keys)), F.lit(name)) for name, keys in ACTIONS]))
     # most sentences hold no keyword at all, which one pattern tells
-    return bound(spaced(T.tokens(F.lower(sentence))), lambda line: F.when(line.rlike(every), hits(line)).otherwise(F.array().cast("array<string>")))
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(f"({T.TOKEN})"), 1)  # lower already, so these are its tokens
+    return bound(spaced(words), lambda line: F.when(line.rlike(every), hits(line)).otherwise(F.array().cast("array<string>")))
 
 
 def role_of(category: Column) -> Column:
@@ -331,11 +333,22 @@ def history_marks(sentence: Column, category: Column) -> Column:
     return F.when(sentence.isin(CLOSURES), alone).when(category.isNotNull(), F.concat(handed, solved)).otherwise(none)
 
 
+def said_causes() -> Column:
+    """The folded texts of a record's cause and mechanism, each once."""
+    return F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
+
+
 def sentence_rows(records: DataFrame) -> DataFrame:
-    """record_id, equipment, mode, pos, original, sentence (normalized), category: one row per sentence of repair_text, records without a mode left out."""
-    s = records.where("mode is not null").select("record_id", "equipment", "mode", F.posexplode(T.sentences(F.col("repair_text"))))
-    s = s.select("record_id", "equipment", "mode", "pos", F.col("col").alias("original"), T.normalize(F.col("col")).alias("sentence")).where("sentence <> ''")
-    return checkpointed(s.withColumn("category", F.get(match_categories(F.col("sentence")), 0)))  # read several times by what follows
+    """record_id, equipment, mode, said (the record's causes), pos, original, sentence (normalized), text (lower case), again (said before in the record), category: one row per sentence of repair_text, records without a mode left out.
+
+    One pass without a shuffle, written once: a record's sentences are taken
+    apart and compared where it lies.
+    """
+    s = records.where("mode is not null").select("record_id", "equipment", "mode", said_causes().alias("said"), T.sentences(F.col("repair_text")).alias("originals"))
+    s = s.withColumn("normal", F.transform("originals", lambda x: T.normalize(x))).withColumn("texts", F.transform("normal", lambda x: F.lower(x)))
+    s = s.select("record_id", "equipment", "mode", "said", "texts", F.posexplode(F.arrays_zip("originals", "normal", "texts")).alias("pos", "x"))
+    s = s.select("record_id", "equipment", "mode", "said", "pos", F.col("x.originals").alias("original"), F.col("x.normal").alias("sentence"), F.col("x.texts").alias("text"), (F.array_position("texts", F.col("x.texts")) <= F.col("pos")).alias("again"))
+    return written(s.where("sentence <> ''").withColumn("category", F.get(match_categories(F.col("sentence")), 0)), "sentences")
 
 
 def admitted(sentences: DataFrame, records: DataFrame, trees: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -343,47 +356,60 @@ def admitted(sentences: DataFrame, records: DataFrame, trees: DataFrame, aliases
 
     Known are the terms of the equipment's own tree, the words of the aliases,
     and what the makers' equipment (t4) names in its trees and says twice or
-    more in its repair texts. trees: code, t1 to t5.
+    more in its repair texts. trees: code, t1 to t5. Only short sentences are
+    shuffled; the others pass.
     """
     s = sentences.where(~F.col("sentence").isin(CLOSURES))
-    short = s.where(F.char_length("sentence") < SHORT).withColumn("term", F.explode(F.array_distinct(T.tokens(F.lower("sentence")))))
+    little = F.char_length("sentence") < SHORT
+    short = s.where(little).withColumn("term", F.explode(F.array_distinct(T.tokens(F.col("text")))))
     names = F.flatten(F.array(*[T.tokens(T.normalize(F.col(c))) for c in ("t1", "t2", "t3", "t4", "t5")]))
     tree = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"), F.explode(F.array_distinct(names)).alias("term")).distinct()
     maker = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"))
-    # only terms that stand in a maker's trees can be induced, so only those are counted in the texts
+    key = short.join(maker, "equipment", "left")
+    # only a term of a short sentence that stands in its maker's trees can be induced, so only those are counted in the texts
+    asked = written(key.select("maker", "term").distinct().join(tree.select("maker", "term").distinct(), ["maker", "term"], "left_semi"), "asked")
     said = records.join(maker, "equipment").select("maker", F.explode(T.tokens(T.normalize(F.col("repair_text")))).alias("term"))
-    induced = said.join(tree.select("maker", "term").distinct(), ["maker", "term"]).groupBy("maker", "term").agg(F.count("*").alias("n")).where("n >= 2")
+    induced = said.join(asked, ["maker", "term"]).groupBy("maker", "term").agg(F.count("*").alias("n")).where("n >= 2")
     words = sorted({w for kv in (aliases or {}).items() for x in kv for w in x.split()})
-    key = short.join(maker, "equipment", "left")
     by_tree = key.join(tree.select("equipment", "term"), ["equipment", "term"], "left_semi")
     by_maker = key.join(induced.select("maker", "term"), ["maker", "term"], "left_semi")
     by_alias = key.where(F.col("term").isin(words))
     known = by_tree.select("record_id", "pos").unionByName(by_maker.select("record_id", "pos")).unionByName(by_alias.select("record_id", "pos")).distinct()
-    known = known.withColumn("_known", F.lit(True))
-    return s.join(known, ["record_id", "pos"], "left").where((F.char_length("sentence") >= SHORT) | F.col("_known")).select(s.columns)
+    return s.where(~little).unionByName(s.where(little).join(known, ["record_id", "pos"], "left_semi").select(s.columns))
 
 
 def with_roles(sentences: DataFrame) -> DataFrame:
-    """Add role; a test or measurement after a corrective sentence of the record is a verification."""
+    """Add role; a test or measurement after a corrective sentence of the record is a verification. Only the tests and the first corrective places meet."""
     s = sentences.withColumn("role", role_of(F.col("category")))
-    before = Window.partitionBy("record_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    after = F.coalesce(F.max((F.col("role") == "corrective").cast("int")).over(before), F.lit(0)) == 1
-    return s.withColumn("role", F.when(after & F.col("category").isin("test", "measure"), "verification").otherwise(F.col("role")))
+    first = s.where("role = 'corrective'").groupBy("record_id").agg(F.min("pos").alias("_first"))
+    tests = F.coalesce(F.col("category").isin("test", "measure"), F.lit(False))
+    met = s.where(tests).join(first, "record_id", "left").withColumn("role", F.when(F.col("_first") < F.col("pos"), "verification").otherwise(F.col("role")))
+    return s.where(~tests).unionByName(met.select(s.columns))
 
 
 def actions(sentences: DataFrame) -> DataFrame:
-    """equipment, mode, text, frequency, exemplar, category, role, n, action_id of repeated sentences; a test or measurement after a corrective sentence of the same record is a verification.
+    """equipment, mode, text, frequency, exemplar, category, role, said (the causes of its records), n, action_id of repeated sentences; a test or measurement after a corrective sentence of the same record is a verification.
 
-    sentences: admitted rows of sentence_rows.
+    sentences: admitted rows of sentence_rows. said holds a scope's causes at
+    most, each once.
     """
-    g = with_roles(sentences).groupBy("equipment", "mode", F.lower("sentence").alias("text")).agg(F.count_distinct("record_id").alias("frequency"), F.min_by("original", F.struct("record_id", "pos")).alias("exemplar"), F.first("category").alias("category"), F.mode("role", True).alias("role"))
+    g = with_roles(sentences).groupBy("equipment", "mode", "text").agg(
+        F.count_if(~F.col("again")).alias("frequency"),
+        F.min(F.struct("record_id", "pos", "original")).alias("least"),
+        F.max("category").alias("category"),  # the text decides it
+        F.count_if(F.col("role") == "verification").alias("after"),
+        F.count("*").alias("every"),
+        F.array_distinct(F.flatten(F.collect_set("said"))).alias("said"),
+    )
+    role = F.when(F.col("after") * 2 > F.col("every"), "verification").otherwise(role_of(F.col("category")))
+    g = g.select("equipment", "mode", "text", "frequency", F.col("least.original").alias("exemplar"), "category", role.alias("role"), "said")
     w = Window.partitionBy("equipment", "mode").orderBy(F.desc("frequency"), "exemplar", "text")
     return g.withColumn("n", F.row_number().over(w)).withColumn("action_id", F.concat_ws("-", F.lit("action"), F.col("equipment").cast("string"), F.col("mode"), F.format_string("%03d", "n")))
 
 
 def number_marks(sentences: DataFrame, acts: DataFrame) -> DataFrame:
     """mark_id, kind, type, record_id, equipment, mode, original, action_id: verifications and events numbered per scope and kind, those that stand alone first, then linked ones with their action."""
-    m = sentences.withColumn("m", F.explode(history_marks(F.col("sentence"), F.col("category")))).select("record_id", "equipment", "mode", "pos", "original", F.lower("sentence").alias("text"), "m.*")
+    m = sentences.withColumn("m", F.explode(history_marks(F.col("sentence"), F.col("category")))).select("record_id", "equipment", "mode", "pos", "original", "text", "m.*")
     w = Window.partitionBy("equipment", "mode", "kind").orderBy("linked", "record_id", "pos", "type")
     m = m.withColumn("n", F.row_number().over(w)).join(acts.select("equipment", "mode", "text", F.lit(True).alias("linked"), "action_id"), ["equipment", "mode", "text", "linked"], "left")
     short = F.when(F.col("kind") == "event", "evt").otherwise("ver")
@@ -445,24 +471,16 @@ def quality(records: DataFrame, required: list[str], repair: str, mode: str, sym
     return records.select("record_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("record_id", "i.*")
 
 
-def cause_actions(records: DataFrame, sentences: DataFrame, acts: DataFrame, most: int = 8) -> DataFrame:
-    """equipment, mode, cause (folded text), k, action, action_id: actions of a scope that share a record with a cause of it, the `most` most frequent ones, ties by text.
-
-    A record speaks for its cause and its mechanism. sentences: admitted rows.
-    """
-    said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
-    c = records.where("mode is not null").select("record_id", "equipment", "mode", F.explode(said).alias("cause"))
-    s = sentences.select("record_id", "equipment", "mode", F.lower("sentence").alias("text")).distinct()
-    pairs = c.join(s, ["record_id", "equipment", "mode"]).select("equipment", "mode", "cause", "text").distinct()
-    found = pairs.join(acts.select("equipment", "mode", "text", "frequency", "exemplar", "action_id"), ["equipment", "mode", "text"])
+def cause_actions(acts: DataFrame, most: int = 8) -> DataFrame:
+    """equipment, mode, cause (folded text), k, action, action_id: actions of a scope that share a record with a cause of it, the `most` most frequent ones, ties by text. A record speaks for its cause and its mechanism."""
     w = Window.partitionBy("equipment", "mode", "cause").orderBy(F.desc("frequency"), "text")
+    found = acts.select("equipment", "mode", F.explode("said").alias("cause"), "text", "frequency", "exemplar", "action_id")
     return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("equipment", "mode", "cause", "k", F.col("text").alias("action"), "exemplar", "action_id")
 
 
 def cause_detail(records: DataFrame, links: DataFrame) -> DataFrame:
     """equipment, mode, cause, records, record_ids, actions: the scope's own records that speak for a cause, and its actions in order."""
-    said = F.array_distinct(F.filter(F.transform(F.array("cause", "mechanism"), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
-    own = records.where("mode is not null").select("record_id", "equipment", "mode", F.explode(said).alias("cause")).groupBy("equipment", "mode", "cause")
+    own = records.where("mode is not null").select("record_id", "equipment", "mode", F.explode(said_causes()).alias("cause")).groupBy("equipment", "mode", "cause")
     own = own.agg(F.count("*").alias("records"), F.array_join(F.transform(F.sort_array(F.collect_list("record_id")), lambda x: x.cast("string")), ",").alias("record_ids"))
     done = links.groupBy("equipment", "mode", "cause").agg(F.array_join(F.sort_array(F.collect_list(F.struct("k", "action"))).action, " | ").alias("actions"))
     return own.join(done, ["equipment", "mode", "cause"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import mining as M
-from kbspark.operators.graph import checkpointed, numbered
+from kbspark.operators.graph import numbered, written
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 
@@ -194,10 +194,22 @@ def tok(x: str) -> str:
     return f"list_transform(regexp_extract_all({x}, '{TOKENS}'), lambda w: CASE WHEN regexp_full_match(w, '[\\x00-\\x7F]*') THEN lower(w) ELSE w END)"
 
 
-KINDS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(line, '{M._pattern(keys)}') THEN '{name}' END" for name, keys in M.ACTIONS) + "], lambda k: k IS NOT NULL)"
+def forms(keyword: str) -> list[str]:
+    """The single words that say a keyword, listed: with the conjunction in front or not, in English with each ending."""
+    ends = ["", "s", "d", "ed", "es", "ing"] if keyword.isascii() else [""]
+    return [a + keyword + b for a in ("", "و") for b in ends]
+
+
+def kind_sql(name: str, keys: list[str]) -> str:
+    words = [f for k in keys if " " not in k for f in forms(k)]
+    tests = ([f"list_has_any(words, {words})"] if words else []) + [f"contains(line, ' {k} ')" for k in keys if " " in k]
+    return f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END"
+
+
+KINDS = "list_filter([" + ", ".join(kind_sql(name, keys) for name, keys in M.ACTIONS) + "], lambda k: k IS NOT NULL)"
 LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 SENT = f"""{REC}, so AS (SELECT record_id, equipment, mode, unnest(s) AS original, generate_subscripts(s, 1) AS pos FROM (SELECT record_id, equipment, mode, list_filter(list_transform(string_split_regex(repair_text, '[\\n]+|[.!?؟;]+'), lambda x: {STRIP.replace('{x}', 'x')}), lambda x: x <> '') AS s FROM rec WHERE mode IS NOT NULL)),
-    sm AS (SELECT *, ' ' || array_to_string({tok('lower(sentence)')}, ' ') || ' ' AS line FROM (SELECT *, trim(regexp_replace(original, '\\s+', ' ', 'g')) AS sentence FROM so)),
+    sw AS (SELECT *, {tok('lower(sentence)')} AS words FROM (SELECT *, trim(regexp_replace(original, '\\s+', ' ', 'g')) AS sentence FROM so)), sm AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM sw),
     sn AS (SELECT *, kinds[1] AS category FROM (SELECT *, {KINDS} AS kinds FROM sm))"""
 MARK = f"""mk AS (SELECT record_id, equipment, mode, pos, original, sentence, CAST(unnest(CASE WHEN sentence = '{M.TEST_ONLY}' THEN ['verification,test,false'] WHEN sentence = '{M.TEST_HANDOVER}' THEN ['verification,test,false', 'event,handover,false']
     WHEN list_contains({LIST(M.CLOSURES)}, sentence) THEN [CASE WHEN contains(sentence, '{M.HANDOVER}') THEN 'event,handover,false' ELSE 'event,outcome,false' END]
@@ -294,12 +306,11 @@ def _(spark, d):
     return g.agg(F.array_join(F.sort_array(F.collect_set("mechanism")), ",").alias("causes"), F.count("*").alias("n"))
 
 
-def linked(spark, d):
-    """Records, admitted sentences, actions, and the links of causes to actions."""
+def linked(spark, d, s=None):
+    """Records, actions (written), and the links of causes to actions."""
     r = records(spark, d)
-    s = checkpointed(M.admitted(sentences(spark, d), r.where("mode is not null"), logical(spark, d, "equipment")))
-    a = M.actions(s)
-    return r, a, M.cause_actions(r, s, a)
+    a = written(acts(spark, d, s), "actions")
+    return r, a, M.cause_actions(a)
 
 
 @query("f10_cause_actions", with_tables(f"@{LINK} SELECT equipment, mode, cause, CAST(k AS INT) AS k, text AS action FROM lk"))
@@ -319,16 +330,17 @@ def _(spark, d):
     return g.select("equipment", "mode", "symptom", F.array_join("causes.label", " > ").alias("causes"), F.array_join("recommendations.action", " > ").alias("steps"), F.array_join(F.transform("record_ids", lambda x: x.cast("string")), ",").alias("record_ids"), F.array_join("warnings", ",").alias("warnings"))
 
 
-def whole_guides(spark, d):
-    r, a, links = linked(spark, d)
-    ranked = checkpointed(M.rank_causes(M.causes(found(spark, d))))
+def whole_guides(spark, d, s=None):
+    r, a, links = linked(spark, d, s)
+    ranked = written(M.rank_causes(M.causes(found(spark, d))), "causes")
     return M.guides(ranked, links, r.withColumn("symptom", F.col("mode_text")), a), links, ranked, a
 
 
 @query("j6_guide_sections", with_tables(f"@{RANKED.replace(REC, ROLE.replace(ACT, LINK, 1), 1)}, {MARK}, rp AS (SELECT equipment, mode, text, role FROM (SELECT *, row_number() OVER (PARTITION BY equipment, mode, text ORDER BY c DESC, role) AS q FROM (SELECT equipment, mode, lower(sentence) AS text, role, count(*) AS c FROM rv GROUP BY equipment, mode, lower(sentence), role)) WHERE q = 1), ln AS (SELECT lk.equipment, lk.mode, lk.cause, string_agg('- [' || rp.role || '] ' || lk.text, chr(10) ORDER BY lk.k) AS lines FROM lk JOIN rp ON rp.equipment = lk.equipment AND rp.mode = lk.mode AND rp.text = lk.text GROUP BY ALL), gs AS (SELECT scope_equipment AS equipment, mode, count(*) AS c FROM rk GROUP BY ALL), mc AS (SELECT equipment, mode, count(*) FILTER (m LIKE 'verif%') AS v, count(*) FILTER (m LIKE 'event%') AS e FROM mk GROUP BY ALL), na AS (SELECT equipment, mode, count(*) AS a FROM ac GROUP BY ALL) SELECT rk.scope_equipment AS equipment, rk.mode, CAST(rank AS INT) AS place, 'cause' AS section, md5(CAST(records AS VARCHAR) || coalesce(chr(10) || ln.lines, '')) AS digest FROM rk LEFT JOIN ln ON ln.equipment = rk.scope_equipment AND ln.mode = rk.mode AND ln.cause = rk.text UNION ALL SELECT equipment, mode, 0, 'symptom', md5('Symptom recorded for equipment ' || equipment || ': ' || trim(mode)) FROM gs UNION ALL SELECT equipment, mode, CAST(c + 1 AS INT), 'method', md5(coalesce(a, 0) || ' repair actions, ' || coalesce(v, 0) || ' verifications, ' || coalesce(e, 0) || ' events') FROM gs LEFT JOIN na USING (equipment, mode) LEFT JOIN mc USING (equipment, mode)"))
 def _(spark, d):
-    g, links, ranked, a = whole_guides(spark, d)
-    s = M.sections(g, links, ranked, a, M.number_marks(sentences(spark, d), a))
+    own = sentences(spark, d)
+    g, links, ranked, a = whole_guides(spark, d, own)
+    s = M.sections(g, links, ranked, a, M.number_marks(own, a))
     # the percentages of a cause's body are rounded in print, where two engines may differ: the digest takes the counts and the actions
     body = F.when(F.col("section") == "cause", F.regexp_replace("body", r"^(?s).*?support, (\d+) records", "$1")).otherwise(F.col("body"))
     return s.select("equipment", "mode", "place", "section", F.md5(body).alias("digest"))

@@ -188,7 +188,14 @@ def batch_records(spark, d):
 MODE = "rm AS (SELECT * FROM record WHERE mode_text <> '-')"
 
 
-@query("l5_batch_planner")  # packing by tokens is sequential; tests/test_whole.py compares it with a brute-force packer
+# the batch of a group's next record follows from the record before it, a step of the recursion each
+PACKED = f"""pr AS (SELECT equipment, mode_text AS failure_mode, record_id, CAST(floor(len(regexp_extract_all(repair_text, '\\S+')) * 13 / 10) AS BIGINT) AS t, row_number() OVER (PARTITION BY equipment, mode_text ORDER BY record_id) AS k FROM rm),
+    pk AS (SELECT equipment, failure_mode, record_id, k, CAST(0 AS BIGINT) AS b, CAST(1 AS BIGINT) AS n, t AS total FROM pr WHERE k = 1
+    UNION ALL SELECT pr.equipment, pr.failure_mode, pr.record_id, pr.k, CASE WHEN pk.n >= 12 OR pk.total + pr.t > 6000 THEN pk.b + 1 ELSE pk.b END, CASE WHEN pk.n >= 12 OR pk.total + pr.t > 6000 THEN 1 ELSE pk.n + 1 END, CASE WHEN pk.n >= 12 OR pk.total + pr.t > 6000 THEN pr.t ELSE pk.total + pr.t END
+    FROM pk JOIN pr ON pr.equipment = pk.equipment AND pr.failure_mode = pk.failure_mode AND pr.k = pk.k + 1)"""
+
+
+@query("l5_batch_planner", with_tables(f"@{MODE}, {PACKED} SELECT equipment, failure_mode, record_id AS source_record_id, CAST(b AS INT) AS batch_index FROM pk").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     return L.plan_batches(batch_records(spark, d)).select("equipment", "failure_mode", "source_record_id", "batch_index")
 

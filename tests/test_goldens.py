@@ -138,7 +138,7 @@ def test_signed_counts_equal_pairs(spark):
 
 
 def test_words_of_categories(spark):
-    said = {"وتعویض قطعه": "replace", "قطعه": "", "rechecked": "", "Checked and fixes": "repair,check", "سیم کشی": "connect", "parameter change": "parameter_change", "change parameter": "", "وصل": "connect", "calibrating meters": "calibrate,measure"}
+    said = {"وتعویض قطعه": "replace", "قطعه": "", "rechecked": "", "Checked and fixes": "repair,check", "سیم کشی": "connect", "parameter change": "parameter_change", "change parameter": "", "وصل": "connect", "و": "", "تعویض و تمیز شد": "replace,clean", "سنسور تنظیم و تست شد": "adjust,test", "تغییر پارامتر و تست": "parameter_change,test", "پارامتر عوض شد": "parameter_change", "وپارامتر عوض": "", "بای پس": "bypass", "هم محور": "align", "نرم افزار": "configure", "calibrating meters": "calibrate,measure"}
     df = spark.createDataFrame([(k,) for k in said], "s string").select("s", F.array_join(M.match_categories(F.col("s")), ",").alias("c"))
     assert {r.s: r.c for r in df.collect()} == said
     undone = "تعویض بلبرینگ انجام نشد سنسور تنظیم و تست و تحویل شد"
