@@ -185,23 +185,70 @@ def similar_candidates(w: DataFrame, least: float) -> DataFrame:
     return index.alias("x").join(index.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def fuzzy_pairs(wordings: DataFrame, tech: Column | None = None) -> DataFrame:
-    """a, b, lex, score of pairs of wordings (id, text, tags) that belong together.
-
-    lex is the larger of the weighted token and the 3-gram Jaccard. Pairs that
-    could reach the threshold share one of their rarest tokens or grams, so an
-    index of those alone finds all of them. Wordings with different non-empty
-    tags stay apart. tech: a column over x and y rows, 0 if none.
+def tree_keys(trees: DataFrame, side: str) -> DataFrame:
+    """id, key, tech: what a pair of trees can agree on. trees: id and the levels t1 to t3, null or blank where unknown.
+
+    Levels that both trees have are compared, and tech is the share of them
+    that agree. A key names the levels in which both must agree with their
+    values, and which levels either side has; the left side (a) lists its own
+    levels with all those the right one might have, the right side (b) the
+    other way round. So two trees of a tech above zero meet in one key at least,
+    and the largest tech of the keys they meet in is theirs.
+    """
+    levels = ["t1", "t2", "t3"]
+    has = [F.trim(F.coalesce(F.col(c), F.lit(""))) != "" for c in levels]
+    own = sum((F.when(h, 1 << i).otherwise(0) for i, h in enumerate(has)), F.lit(0))
+    keys = []
+    for agree in range(1, 8):
+        values = F.concat_ws("\0", *[F.col(c) for i, c in enumerate(levels) if agree >> i & 1])
+        for other in range(1, 8):
+            if other & agree != agree:
+                continue
+            left, right = (own, F.lit(other)) if side == "a" else (F.lit(other), own)
+            both = F.bit_count(own.bitwiseAND(F.lit(other)))
+            keys.append(F.when(own.bitwiseAND(agree) == agree, F.struct(F.concat_ws("\0", F.lit(str(agree)), left.cast("string"), right.cast("string"), values).alias("key"), (F.lit(agree.bit_count()) / both).alias("tech"))))
+    return trees.select("id", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("id", "k.*").distinct()
+
+
+def fuzzy_pairs(wordings: DataFrame, trees: DataFrame | None = None) -> DataFrame:
+    """a, b, lex, tech, score of pairs of wordings (id, text, tags) that belong together.
+
+    lex is the larger of the weighted token and the 3-gram Jaccard. With trees
+    (id, t1, t2, t3: one row for each different tree of a wording's records)
+    tech is the largest agreement of any two of their trees, from a lexical
+    bound on; it lowers what lex has to reach. Pairs that could reach the
+    threshold share one of their rarest tokens or grams, so an index of those
+    alone finds all of them, and trees meet by what they agree on. Wordings
+    with different non-empty tags stay apart.
     """
     w = written(weighted_sets(wordings), "wordings")
-    least = (LEAST_SCORE - (TECH_SHARE if tech is not None else 0)) / LEX_SHARE
-    pairs = similar_candidates(w, max(least, LEAST_LEX if tech is not None else 0))
+    least = max((LEAST_SCORE - TECH_SHARE) / LEX_SHARE, LEAST_LEX) if trees is not None else LEAST_SCORE / LEX_SHARE
+    pairs = similar_candidates(w, least)
     j = pairs.join(w.alias("x"), F.col("a") == F.col("x.id")).join(w.alias("y"), F.col("b") == F.col("y.id"))
     lex = F.greatest(weighted_jaccard(F.col("x.weights"), F.col("y.weights")), jaccard(F.col("x.grams"), F.col("y.grams")))
     apart = (F.size("x.tags") > 0) & (F.size("y.tags") > 0) & ~F.arrays_overlap("x.tags", "y.tags")
-    known = F.when(F.col("lex") >= LEAST_LEX, tech if tech is not None else F.lit(0.0)).otherwise(0.0)
-    out = j.where(~apart).withColumn("lex", lex).withColumn("score", LEX_SHARE * F.col("lex") + TECH_SHARE * known)
-    return out.where(F.col("score") >= LEAST_SCORE).select("a", "b", "lex", "score")
+    found = j.where(~apart).select("a", "b", lex.alias("lex")).where(F.col("lex") >= least - 1e-9)
+    if trees is None:
+        found = found.withColumn("tech", F.lit(0.0))
+    else:
+        found = written(found, "pairs")
+        left, right = tree_keys(trees, "a").withColumnRenamed("id", "a"), tree_keys(trees, "b").withColumnRenamed("id", "b").drop("tech")
+        agreed = found.select("a", "b").join(left, "a").join(right, ["b", "key"]).groupBy("a", "b").agg(F.max("tech").alias("tech"))
+        found = found.join(agreed, ["a", "b"], "left").withColumn("tech", F.when(F.col("lex") >= LEAST_LEX, F.coalesce("tech", F.lit(0.0))).otherwise(0.0))
+    return found.withColumn("score", LEX_SHARE * F.col("lex") + TECH_SHARE * F.col("tech")).where(F.col("score") >= LEAST_SCORE)
+
+
+def mode_clusters(records: DataFrame, trees: DataFrame) -> DataFrame:
+    """record_id, root of the records with a mode: those whose wordings belong together, the smallest record id as root.
+
+    Records of one wording always belong together, so wordings are clustered,
+    each under its smallest record id; trees: code, t1 to t5.
+    """
+    r = records.where("mode is not null").select("record_id", "equipment", T.normalize(F.col("mode")).alias("text")).where("text <> ''")
+    w = written(r.groupBy("text").agg(F.min("record_id").alias("id")).withColumn("tags", T.parenthetical_tags(F.col("text"))), "modes")
+    own = r.join(trees.select(F.col("code").alias("equipment"), "t1", "t2", "t3"), "equipment").join(w.select("text", "id"), "text").select("id", "t1", "t2", "t3").distinct()
+    roots = cluster(w, fuzzy_pairs(w, own))
+    return r.select("record_id", "text").join(w.select("text", "id").join(roots, "id"), "text").select("record_id", "root")
 
 
 def cluster(wordings: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -122,6 +122,36 @@ def _(spark, d):
     return M.cluster(w, M.fuzzy_pairs(w))
 
 
+# trees with gaps, so that shares of three, two and one level occur
+GAPS = "tg AS (SELECT code AS equipment, t1, CASE WHEN code % 5 <> 0 THEN t2 END AS t2, CASE WHEN code % 3 <> 0 THEN t3 END AS t3 FROM equipment)"
+MODE_PAIRS = f"""{REC}, {GAPS}, mr AS (SELECT record_id, equipment, trim(regexp_replace(mode, '\\s+', ' ', 'g')) AS t FROM rec WHERE mode IS NOT NULL),
+    w AS MATERIALIZED (SELECT t, min(record_id) AS id FROM mr GROUP BY t), {FUZZY.replace(WORDINGS + ', ', '', 1)},
+    tags AS (SELECT id, list_transform(regexp_extract_all(t, '\\(([^()]*)\\)', 1), lambda x: lower(trim(x))) AS tags FROM w),
+    trees AS MATERIALIZED (SELECT DISTINCT w.id, tg.t1, tg.t2, tg.t3 FROM mr JOIN w USING (t) JOIN tg USING (equipment)),
+    near AS MATERIALIZED (SELECT pr.a, pr.b, lex FROM pr JOIN tags x ON x.id = a JOIN tags y ON y.id = b WHERE lex >= 0.357 AND (len(x.tags) = 0 OR len(y.tags) = 0 OR list_has_any(x.tags, y.tags))),
+    te AS (SELECT a, b, max((coalesce(x.t1 = y.t1, false)::INT + coalesce(x.t2 = y.t2, false)::INT + coalesce(x.t3 = y.t3, false)::INT) / nullif((x.t1 IS NOT NULL AND y.t1 IS NOT NULL)::INT + (x.t2 IS NOT NULL AND y.t2 IS NOT NULL)::INT + (x.t3 IS NOT NULL AND y.t3 IS NOT NULL)::INT, 0)) AS tech FROM near JOIN trees x ON x.id = a JOIN trees y ON y.id = b GROUP BY a, b),
+    mp AS MATERIALIZED (SELECT a, b, lex, coalesce(tech, 0) AS tech, 0.7 * lex + 0.3 * coalesce(tech, 0) AS score FROM near LEFT JOIN te USING (a, b) WHERE 0.7 * lex + 0.3 * coalesce(tech, 0) >= 0.55)"""
+
+
+def gap_trees(spark, d):
+    e = logical(spark, d, "equipment")
+    return e.withColumns({"t2": F.when(F.col("code") % 5 != 0, F.col("t2")), "t3": F.when(F.col("code") % 3 != 0, F.col("t3"))})
+
+
+@query("f9_mode_pairs", with_tables(f"@{MODE_PAIRS} SELECT a, b, round(lex, 9) AS lex, round(tech, 9) AS tech FROM mp"))
+def _(spark, d):
+    r = records(spark, d).where("mode is not null").select("record_id", "equipment", T.normalize(F.col("mode")).alias("text"))
+    w = written(r.groupBy("text").agg(F.min("record_id").alias("id")).withColumn("tags", T.parenthetical_tags(F.col("text"))), "modes")
+    own = r.join(gap_trees(spark, d).withColumnRenamed("code", "equipment"), "equipment").join(w.select("text", "id"), "text").select("id", "t1", "t2", "t3").distinct()
+    return M.fuzzy_pairs(w, own).select("a", "b", F.round("lex", 9).alias("lex"), F.round("tech", 9).alias("tech"))
+
+
+# labels fall along the edges until none does
+@query("j1_mode_clusters", with_tables(f"@{MODE_PAIRS}, ed AS MATERIALIZED (SELECT a, b FROM mp UNION SELECT b, a FROM mp), rc AS (SELECT id, id AS root FROM w UNION SELECT ed.b AS id, min(rc.root) AS root FROM rc JOIN ed ON ed.a = rc.id WHERE rc.root < ed.b GROUP BY ed.b), lo AS (SELECT id, min(root) AS root FROM rc GROUP BY id) SELECT mr.record_id, lo.root FROM mr JOIN w USING (t) JOIN lo USING (id)").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    return M.mode_clusters(records(spark, d), gap_trees(spark, d))
+
+
 @query("j2_modeless_attach", f"WITH {MODES_SQL} SELECT q.id, coalesce(b.key, 'singleton') AS key FROM qs q LEFT JOIN (SELECT id, key, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.4) b ON b.id = q.id AND b.k = 1")
 def _(spark, d):
     q, modes = asked(spark, d)
