@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -561,21 +565,168 @@ def sections(guide: DataFrame, links: DataFrame, ranked: DataFrame, acts: DataFr
     return first.unionByName(each).unionByName(last)
 
 
-def accept_suggestions(suggested: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, warnings) of suggestions (scope, label, basis_ids): one that names a record outside its scope, or none of it, or has a blank label, is dropped with a warning. scopes: scope, ids."""
-    x = suggested.join(scopes.select("scope", "ids"), "scope", "left")
-    unknown = F.array_sort(F.array_except("basis_ids", F.coalesce("ids", F.array().cast(scopes.schema["ids"].dataType))))
-    why = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown record ids "), F.array_join(F.transform(unknown, lambda i: i.cast("string")), ","))).when(F.trim("label") == "", "blank label").when(F.size("basis_ids") == 0, "no scope evidence")
-    x = x.withColumn("warning", why)
-    return x.where("warning is null").select("scope", F.trim("label").alias("label"), "basis_ids"), x.where("warning is not null").select("scope", "label", "warning")
-
-
-def rerank(existing: DataFrame, accepted: DataFrame) -> DataFrame:
-    """scope, cause, support_percent, rank after accepted suggestions join the causes (scope, cause, weight): support is the share of the enlarged scope for what is new, and stays for what was there."""
-    old = existing.select("scope", "cause", "weight", F.lit(False).alias("new"))
-    both = old.unionByName(accepted.select("scope", F.col("label").alias("cause"), F.size("basis_ids").cast(existing.schema["weight"].dataType).alias("weight"), F.lit(True).alias("new")))
-    w = Window.partitionBy("scope")
-    before = F.sum(F.when(~F.col("new"), F.col("weight"))).over(w)
-    percent = F.lit(100.0) * F.col("weight") / F.when(F.col("new"), F.sum("weight").over(w)).otherwise(before)
-    x = both.withColumn("support_percent", F.round(percent, 6))
-    return x.select("scope", "cause", "support_percent", F.row_number().over(w.orderBy(F.desc("support_percent"), "cause", "new")).cast("bigint").alias("rank"))
+#: Column sets of which two codes of any similarity share one.
+SHARED = [["code"], ["t5"], ["t3"], ["t2"], ["t1"]]
+#: Records of a scope that a provider is shown, and characters of their fields.
+SHOWN = 20
+CUTS = {"symptom": 500, "repair_text": 1000, "cause": 300, "mechanism": 300, "mode": 300}
+
+
+def _shared_keys(rows: DataFrame, *keep: str) -> DataFrame:
+    one = [F.when(F.concat(*[F.col(c).cast("string") for c in cs]).isNotNull(), F.struct(F.lit(i).alias("level"), F.xxhash64(F.lit(i), *cs).alias("key"))) for i, cs in enumerate(SHARED)]
+    return rows.select(*keep, F.explode(F.array_compact(F.array(*one))).alias("_k")).select(*keep, "_k.*")
+
+
+def _with_tree(records: DataFrame, trees: DataFrame) -> DataFrame:
+    return records.where("mode is not null").withColumnRenamed("equipment", "code").join(trees.select("code", "t1", "t2", "t3", "t4", "t5"), "code", "left")
+
+
+def scope_records(records: DataFrame, trees: DataFrame, most: int = SHOWN) -> DataFrame:
+    """equipment, mode, record_ids: the first `most` records of a scope's evidence that name a cause or mechanism, those of similar equipment included.
+
+    A key of any size is cut to its first records before it meets its scopes.
+    """
+    x = _with_tree(records, trees)
+    keyed = _shared_keys(x.where(F.size(said_causes()) > 0), "mode", "record_id")
+    w = Window.partitionBy("level", "key", "mode").orderBy("record_id")
+    first = keyed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    scopes = _shared_keys(x.select("code", "mode", "t1", "t2", "t3", "t4", "t5").distinct(), "code", "mode")
+    met = scopes.join(first, ["level", "key", "mode"]).select("code", "mode", "record_id").distinct()
+    met = met.withColumn("_n", F.row_number().over(Window.partitionBy("code", "mode").orderBy("record_id"))).where(F.col("_n") <= most)
+    return met.groupBy(F.col("code").alias("equipment"), "mode").agg(F.sort_array(F.collect_list("record_id")).alias("record_ids"))
+
+
+def enrichment_input(shown: DataFrame, records: DataFrame) -> DataFrame:
+    """equipment, mode, refs: of each record that a scope shows its id, equipment and cut fields, in order of ids. shown: scope_records."""
+    cut = [F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c) for c, n in CUTS.items()]
+    r = records.select("record_id", F.struct("record_id", F.col("equipment").alias("of"), *cut).alias("ref"))
+    x = shown.select("equipment", "mode", F.explode("record_ids").alias("record_id")).join(r, "record_id")
+    return x.groupBy("equipment", "mode").agg(F.sort_array(F.collect_list("ref")).alias("refs"))
+
+
+SUGGESTED = "struct<label: string, causes: array<struct<label: string, kind: string, basis_ids: array<bigint>>>, actions: array<struct<text: string, basis_ids: array<bigint>>>>"
+
+
+def enrich(inputs: DataFrame, provider: Callable[[str, str, list[dict]], dict]) -> DataFrame:
+    """equipment, mode, result, error: what a provider suggests for each scope, as SUGGESTED; a call that fails leaves its scope without a result.
+
+    The provider gets equipment, mode and the records as dictionaries, and
+    gives label, causes (label, kind, basis_ids) and actions (text, basis_ids).
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in inputs.schema if f.name != "refs"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, errors = [], []
+            for e, m, refs in zip(pdf["equipment"], pdf["mode"], pdf["refs"]):
+                try:
+                    got = provider(e, m, [r if isinstance(r, dict) else r.asDict() for r in refs])
+                    out.append(json.dumps({"label": got.get("label"), "causes": got.get("causes", []), "actions": got.get("actions", [])}, default=int))
+                    errors.append(None)
+                except Exception as x:
+                    out.append(None)
+                    errors.append(str(x)[:500])
+            yield pdf[["equipment", "mode"]].assign(result=out, error=errors)
+
+    got = inputs.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", result string, error string")
+    return got.withColumn("result", F.from_json("result", SUGGESTED))
+
+
+def accept_suggestions(suggested: DataFrame, shown: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(causes, actions, labels, warnings) of enriched scopes (equipment, mode, result): a cause or action that names a record its scope has not, or that is blank, is dropped with a warning, as is a cause that rests on no record. A kind is kept if it is a known one. shown: scope_records."""
+    scope = ["equipment", "mode"]
+    x = suggested.join(shown.select(*scope, "record_ids"), scope, "left")
+    known = F.coalesce("record_ids", F.array().cast("array<bigint>"))
+
+    def checked(field: str, text: str, kind: str) -> DataFrame:
+        y = x.select(*scope, known.alias("known"), F.explode(f"result.{field}").alias("s")).select(*scope, "known", "s.*").withColumn("basis_ids", F.coalesce("basis_ids", F.array().cast("array<bigint>")))
+        unknown = F.array_sort(F.array_distinct(F.array_except("basis_ids", "known")))
+        ids = F.array_join(F.transform(unknown, lambda i: i.cast("string")), ",")
+        why = F.when(F.size(unknown) > 0, F.concat(F.lit(f"dropped suggested {kind} '"), F.coalesce(text, F.lit("")), F.lit("': unknown record ids "), ids)).when(F.trim(F.coalesce(text, F.lit(""))) == "", f"dropped suggested {kind} with blank {text}")
+        if kind == "cause":
+            why = F.coalesce(why, F.when(F.size("basis_ids") == 0, F.concat(F.lit("dropped suggestion '"), text, F.lit("' (no scope evidence)"))))
+        return y.withColumn("warning", why)
+
+    causes, acts = checked("causes", "label", "cause"), checked("actions", "text", "action")
+    warned = causes.where("warning is not null").select(*scope, "warning").unionByName(acts.where("warning is not null").select(*scope, "warning"))
+    labels = x.select(*scope, F.nullif(F.trim("result.label"), F.lit("")).alias("label")).where("label is not null")
+    kept = causes.where("warning is null").select(*scope, "label", F.when(F.col("kind").isin(KINDS), F.col("kind")).otherwise(KINDS[0]).alias("kind"), F.array_distinct("basis_ids").alias("basis_ids"))
+    return kept, acts.where("warning is null").select(*scope, "text", F.array_distinct("basis_ids").alias("basis_ids")), labels, warned
+
+
+# fixed values: kinds of a suggested cause, the first for any other
+KINDS = ["historically_inferred", "provider_suggested"]
+
+
+def suggestion_weights(accepted: DataFrame, records: DataFrame, trees: DataFrame) -> DataFrame:
+    """Add weight: the evidence of the suggested causes' records in their scopes, once for each cause that a record names. Only the records that suggestions rest on are looked at."""
+    keys = ["code", "t1", "t2", "t3", "t4", "t5"]
+    own = trees.select(F.col("code").alias("equipment"), *[F.col(k).alias(f"x_{k}") for k in keys])
+    other = records.select("record_id", F.col("equipment").alias("code"), F.size(said_causes()).alias("texts")).join(trees.select(*keys), "code", "left")
+    x = accepted.select("equipment", "mode", "label", F.explode("basis_ids").alias("record_id")).join(other, "record_id").join(own, "equipment", "left")
+    rank = F.when(F.col("code") == F.col("equipment"), 0)
+    for i, level in enumerate(LEVELS[1:], 1):
+        same = F.lit(True)
+        for k in level:
+            same = same & (F.col(k) == F.col(f"x_{k}"))
+        rank = rank.when(same, i)
+    x = with_weight(x.withColumn("rank", rank)).where("rank is not null")
+    w = x.groupBy("equipment", "mode", "label").agg(F.sum(F.col("weight") * F.col("texts")).alias("weight"))
+    return accepted.join(w, ["equipment", "mode", "label"])
+
+
+def rerank(ranked: DataFrame, accepted: DataFrame) -> DataFrame:
+    """equipment, mode, cause, kind, support_percent, rank after accepted suggestions (with weight) join the ranked causes of their scopes: what is new has its share of all weights of the enlarged scope, what was there keeps its support; the order is that of h1."""
+    scope = ["equipment", "mode"]
+    old = ranked.select(F.col("scope_equipment").alias("equipment"), "mode", F.col("label").alias("cause"), F.lit("recorded").alias("kind"), F.col("weight").cast("double").alias("weight"), "support_percent")
+    new = accepted.select(*scope, F.col("label").alias("cause"), "kind", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("double").alias("support_percent"))
+    w = Window.partitionBy(*scope)
+    x = old.unionByName(new).withColumn("_all", F.sum("weight").over(w))
+    percent = F.coalesce("support_percent", F.when(F.col("_all") > 0, F.lit(100.0) * F.col("weight") / F.col("_all")).otherwise(0.0))
+    x = x.withColumn("support_percent", percent)
+    return x.select(*scope, "cause", "kind", "support_percent", F.row_number().over(w.orderBy(F.desc(F.round("support_percent", 9)), "cause", "kind")).alias("rank"))
+
+
+def safety_notes(records: DataFrame, trees: DataFrame, ranked: DataFrame) -> DataFrame:
+    """equipment, mode, note, cause_ids, record_ids: the safety notes of a scope's evidence, each with the causes of the scope that its records name and with these records.
+
+    Only records with a note and a cause take part. They meet the scopes by
+    the keys that similar equipment shares, and a note's records travel as one
+    row for each key.
+    """
+    x = _with_tree(records.withColumn("note", F.trim("safety")), trees)
+    noted = x.where((F.col("note") != "") & (F.size(said_causes()) > 0)).select("code", "mode", "note", "record_id", said_causes().alias("said"), "t1", "t2", "t3", "t4", "t5")
+    keyed = _shared_keys(noted, "mode", "note", "record_id", "said").groupBy("level", "key", "mode", "note").agg(F.array_distinct(F.flatten(F.collect_set("said"))).alias("said"), F.collect_set("record_id").alias("ids"))
+    scopes = _shared_keys(x.select("code", "mode", "t1", "t2", "t3", "t4", "t5").distinct(), "code", "mode")
+    met = scopes.join(keyed, ["level", "key", "mode"]).groupBy(F.col("code").alias("equipment"), "mode", "note").agg(F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("record_ids"))
+    met = written(met, "notes")
+    ids = met.select("equipment", "mode", "note", F.explode("said").alias("text")).join(ranked.select(F.col("scope_equipment").alias("equipment"), "mode", "text", "cause_id"), ["equipment", "mode", "text"])
+    ids = ids.groupBy("equipment", "mode", "note").agg(F.sort_array(F.collect_list("cause_id")).alias("cause_ids"))
+    return met.join(ids, ["equipment", "mode", "note"]).select("equipment", "mode", "note", "cause_ids", "record_ids")
+
+
+def evaluate(test: DataFrame, train: DataFrame, trees: DataFrame, least: float = 0.4) -> DataFrame:
+    """record_id, equipment, nearest, category, matched_mode, score, hit of every held-out record.
+
+    The nearest equipment of the training side, then of the training side's
+    modes the one that the record's wording (its mode, else its symptom) is
+    most similar to, then whether the recorded cause is among the causes that
+    the training side's evidence gives for that equipment and mode. A record
+    without a nearest equipment is asked for no mode, one without a mode for no
+    cause.
+    """
+    codes = test.select("equipment").union(train.select("equipment")).distinct().select(F.col("equipment").alias("code"))
+    known = codes.join(trees, "code", "left").select("code", "t1", "t2", "t3", "t4", "t5")
+    near = nearest_equipment(known, train.select(F.col("equipment").alias("code"))).select(F.col("a").alias("equipment"), "nearest", "rank")
+    t = test.join(near, "equipment", "left").withColumn("text", T.normalize(F.coalesce("mode", "symptom")))
+    modes = train.where("mode is not null").select(F.col("mode").alias("key"), T.normalize(F.col("mode")).alias("text")).distinct()
+    asked = t.where("nearest is not null and text <> ''").select(F.col("record_id").alias("id"), "text")
+    matched = nearest_mode(asked, modes, least).select(F.col("id").alias("record_id"), F.col("key").alias("matched_mode"), F.col("similarity").alias("score"))
+    named = causes(evidence(train, trees)).select(F.col("scope_equipment").alias("nearest"), F.col("mode").alias("matched_mode"), F.col("text").alias("_cause"), F.lit(True).alias("_hit"))
+    x = t.join(matched, "record_id", "left").withColumn("_cause", F.lower(F.trim("cause"))).join(named, ["nearest", "matched_mode", "_cause"], "left")
+    return with_weight(x).select("record_id", "equipment", "nearest", "category", "matched_mode", "score", F.coalesce("_hit", F.lit(False)).alias("hit"))
+
+
+def evaluation_summary(outcomes: DataFrame) -> DataFrame:
+    """total, equipment_matched, mode_matched, cause_hits: one row."""
+    return outcomes.agg(F.count("*").alias("total"), F.count("nearest").alias("equipment_matched"), F.count("matched_mode").alias("mode_matched"), F.count_if("hit").alias("cause_hits"))

@@ -335,16 +335,6 @@ def _(spark, d):
     return r.select(F.explode(rows).alias("r")).select("r.*")
 
 
-@query("j10_rerank", with_tables("@c AS (SELECT equipment, cause, count(*) AS n FROM record WHERE cause IS NOT NULL GROUP BY ALL UNION ALL SELECT DISTINCT equipment, 'suggested', 1 FROM record WHERE record_id % 10 = 0) SELECT equipment, cause, round(100.0 * n / sum(n) OVER (PARTITION BY equipment), 6) AS support_percent, row_number() OVER (PARTITION BY equipment ORDER BY n DESC, cause) AS rank FROM c"))
-def _(spark, d):
-    r = logical(spark, d, "record")
-    c = r.where("cause is not null").groupBy("equipment", "cause").agg(F.count("*").alias("n"))
-    more = r.where("record_id % 10 = 0").select("equipment", F.lit("suggested").alias("cause"), F.lit(1).cast("bigint").alias("n")).distinct()
-    w = Window.partitionBy("equipment")
-    x = c.unionByName(more).withColumn("support_percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(w), 6))
-    return x.select("equipment", "cause", "support_percent", F.row_number().over(w.orderBy(F.desc("n"), "cause")).cast("bigint").alias("rank"))
-
-
 # --- streams, run over the tables' files and read back when all is processed
 
 

@@ -26,6 +26,8 @@ PROJECTIONS: dict[str, str] = {
         CASE WHEN o.o_orderkey % 17 = 0 THEN '-' WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE concat(p.p_name, ' (', lower(p.p_type), ')') END AS mode_text,
         CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_orderpriority END AS cause,
         o.o_orderstatus AS mechanism,
+        CASE WHEN o.o_orderkey % 7 = 0 THEN NULL WHEN o.o_orderkey % 7 = 1 THEN '  ' ELSE concat('noise at ', p.p_name, ' ', lower(p.p_type)) END AS symptom,
+        CASE o.o_orderkey % 23 WHEN 0 THEN 'lock out before work' WHEN 1 THEN ' wear gloves' WHEN 2 THEN 'hot surface' WHEN 3 THEN '  ' END AS safety,
         concat(d.text, '\n', CASE o.o_orderkey % 12 WHEN 0 THEN 'replaced connector' WHEN 1 THEN 'checked pressure switch' WHEN 2 THEN 'repaired pump. tested machine' WHEN 3 THEN 'adjusted sensor' WHEN 4 THEN 'cleaned filter' WHEN 5 THEN 'loose wire found'
             WHEN 6 THEN 'تست و تحویل شد' WHEN 7 THEN 'تست شد' WHEN 8 THEN 'تعویض بلبرینگ انجام نشد، سنسور تنظیم و تست و تحویل شد' WHEN 9 THEN 'مشکل رفع شد' WHEN 10 THEN CASE WHEN o.o_orderkey % 24 = 10 THEN 'parameter change by hand، برطرف شد' WHEN o.o_orderkey % 72 = 22 THEN 'سنسور تمیز و تنظیم شد. پارامتر عوض شد' WHEN o.o_orderkey % 72 = 46 THEN 'تغییر پارامتر و تست شد' ELSE 'واصلاح و نظافت' END ELSE 'وتعویض قطعه و سیم کشی' END, '.') AS repair_text
         FROM (SELECT *, (SELECT count(*) FROM {part}) AS np, (SELECT count(*) FROM {documents}) AS nd FROM {orders}) o
