@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from kbspark.llm.common import materialize
 
 #: Characters of the texts of one block; the document that passes it ends the block.
-BLOCK_LENGTH = 16_000_000
+BLOCK_LENGTH = 8_000_000
 
 #: Characters that are encoded and aligned in one go.
 RUN_LENGTH = 20_000
