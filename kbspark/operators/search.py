@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,12 +74,69 @@ def bm25(docs: DataFrame, query: list[str], text: str, key: list[str]) -> DataFr
     return all_in.crossJoin(F.broadcast(stats)).select(*key, score.alias("relevance"))
 
 
-def text_search(branches: list[tuple[DataFrame, str]], query: list[str], k: int = 10) -> DataFrame:
-    """id, parent_id, title, relevance: the best of several branches (rows with id, parent_id, title, and the column to search)."""
-    found = None
-    for rows, column in branches:
-        x = bm25(rows, query, column, ["id", "parent_id", "title"])
-        found = x if found is None else found.unionByName(x)
+@dataclass
+class TextIndex:
+    """A written index of several kinds of texts.
+
+    postings: kind, term, doc, tf, len in folders by bucket of the term; docs:
+    kind, doc, id, parent_id, title, scope; stats: kind, n, avg_len. normal is
+    applied to the terms of texts and queries alike (a stemmer, say).
+    """
+
+    postings: DataFrame
+    docs: DataFrame
+    stats: DataFrame
+    buckets: int
+    normal: Callable[[Column], Column] | None = None
+
+
+#: Files of one bucket, so that a term in every text is not one task's work.
+SPLITS = 4
+
+
+def write_index(kinds: dict[str, tuple[DataFrame, str]], folder: str, buckets: int = 16, normal: Callable[[Column], Column] | None = None) -> TextIndex:
+    """Index the texts of each kind: rows with doc (their own key), id, parent_id, title, scope, and the column to search. Null texts are no documents. A bucket's files hold its terms in order, so a query reads the row groups of its own terms."""
+    rows = None
+    for kind, (df, column) in kinds.items():
+        one = df.where(F.col(column).isNotNull()).select(F.lit(kind).alias("kind"), "doc", "id", "parent_id", "title", "scope", F.col(column).alias("text"))
+        rows = one if rows is None else rows.unionByName(one)
+    found = terms(F.col("text"))
+    rows = rows.withColumn("terms", F.transform(found, lambda t: normal(t)) if normal else found)
+    spark = rows.sparkSession
+    counted = rows.select("kind", "doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("kind", "doc", "len", "term").agg(F.count("*").alias("tf"))
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    dealt = counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "term", "kind")
+    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
+    rows.select("kind", "doc", "id", "parent_id", "title", "scope", F.size("terms").alias("len")).write.option("compression", "zstd").parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
+    docs.groupBy("kind").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/stats")
+    return TextIndex(spark.read.schema(dealt.schema).parquet(f"{folder}/postings"), docs, spark.read.parquet(f"{folder}/stats"), buckets, normal)
+
+
+def index_bm25(index: TextIndex, query: list[str], kinds: list[str] | None = None) -> DataFrame:
+    """kind, doc, id, parent_id, title, scope, relevance of the documents that hold all query terms. Only the buckets of these terms are read; a term's frequency is the number of its postings, over all documents of the kind."""
+    words = list(dict.fromkeys(query))
+    if index.normal:
+        one = index.docs.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, words)), lambda t: index.normal(t)).alias("w"))
+        words = list(dict.fromkeys(one.first()["w"]))
+    where = sorted({zlib.crc32(w.encode()) % index.buckets for w in words})
+    p = index.postings.where(F.col("bucket").isin(where) & F.col("term").isin(words))
+    if kinds is not None:
+        p = p.where(F.col("kind").isin(kinds))
+    df = F.broadcast(p.groupBy("kind", "term").agg(F.count("*").alias("df")))  # a row per kind and query term
+    x = p.join(df, ["kind", "term"]).join(F.broadcast(index.stats), "kind")  # a row per kind
+    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    found = x.groupBy("kind", "doc").agg(F.sum(score).alias("relevance"), F.count("*").alias("_held")).where(F.col("_held") == len(words)).drop("_held")
+    return found.join(index.docs.drop("len"), ["kind", "doc"])
+
+
+def text_search(index: TextIndex, query: list[str], k: int = 10, kinds: list[str] | None = None, within: DataFrame | None = None, parent: Column | None = None) -> DataFrame:
+    """id, parent_id, title, relevance: the best hits of all kinds. within (scope) leaves only documents of these scopes, after they were scored among all; parent replaces the parent id."""
+    found = index_bm25(index, query, kinds)
+    if within is not None:
+        found = found.join(within.select("scope").distinct(), "scope", "left_semi")
+    if parent is not None:
+        found = found.withColumn("parent_id", parent)
     best = found.groupBy("id", "parent_id", "title").agg(F.max("relevance").alias("relevance"))
     return best.orderBy(F.desc("relevance"), "id").limit(k)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.operators import corpus as C
 from kbspark.operators import search as S
-from kbspark.operators.graph import numbered
+from kbspark.operators.graph import numbered, shared_folder
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 
@@ -229,33 +231,53 @@ def _(spark, d):
     return S.branch(rows, query_vector(spark, d), 25, -1.0).select("hit", F.round("similarity", 9).alias("similarity"))
 
 
-def chunk_rows(spark, d, scope=None):
-    s = logical(spark, d, "source").select(F.col("id").alias("sid"), "title", "equipment_code")
+def vector_rows(spark, d):
+    """The three kinds that hold vectors: chunks (each under its source), insights and notes. source_id is null for notes."""
+    s = logical(spark, d, "source").select(F.col("id").alias("sid"), F.col("title").alias("source_title"), "equipment_code")
     c = logical(spark, d, "chunk").join(s, F.col("source_id") == F.col("sid"))
-    return c.select(F.col("source_id").alias("id"), F.col("source_id").alias("parent_id"), "title", F.col("ord").cast("string").alias("content"), "embedding", F.col("id").alias("hit"), "equipment_code")
+    chunks = c.select(F.col("source_id").alias("id"), F.col("source_id").alias("parent_id"), F.col("source_title").alias("title"), F.col("ord").cast("string").alias("content"), "embedding", F.col("id").alias("hit"), "source_id", "equipment_code")
+    i = logical(spark, d, "insight").join(logical(spark, d, "insight_vector"), "id").join(s, F.col("source_id") == F.col("sid"))
+    insights = i.select("id", F.col("source_id").alias("parent_id"), F.concat("insight_type", F.lit(" - "), F.coalesce("source_title", F.lit(""))).alias("title"), F.substring("content", 1, 20).alias("content"), "embedding", F.col("id").alias("hit"), "source_id", "equipment_code")
+    n = logical(spark, d, "note").join(logical(spark, d, "note_vector"), "id")
+    own = (-F.col("id") - 1).alias("id")
+    notes = n.select(own, own.alias("parent_id"), "title", F.substring("content", 1, 20).alias("content"), "embedding", F.col("id").alias("hit"), F.lit(None).cast("bigint").alias("source_id"), F.lit(None).cast("string").alias("equipment_code"))
+    return [chunks, insights, notes]
+
+
+def vector_sql(where: str, k: int, notes: str = "true") -> str:
+    cos = COS.replace("e.embedding", "x.embedding")
+    kinds = {
+        "ch": f"SELECT c.source_id AS id, c.source_id AS parent_id, s.title, CAST(c.ord AS VARCHAR) AS content, c.embedding, c.id AS hit FROM chunk c JOIN source s ON s.id = c.source_id WHERE {where.format('c.source_id')}",
+        "ki": f"SELECT i.id, i.source_id, i.insight_type || ' - ' || coalesce(s.title, ''), substr(i.content, 1, 20), v.embedding, i.id FROM insight i JOIN insight_vector v ON v.id = i.id JOIN source s ON s.id = i.source_id WHERE {where.format('i.source_id')}",
+        "kn": f"SELECT -n.id - 1, -n.id - 1, n.title, substr(n.content, 1, 20), v.embedding, n.id FROM note n JOIN note_vector v ON v.id = n.id WHERE {notes}",
+    }
+    ctes = ", ".join(f"{name} AS (SELECT id, parent_id, title, content, {cos} AS sim FROM ({sql}) x(id, parent_id, title, content, embedding, hit), {QV} WHERE {cos} >= 0.0 ORDER BY sim DESC, hit LIMIT {k})" for name, sql in kinds.items())
+    return with_tables(f"@{ctes}, u AS (SELECT * FROM ch UNION SELECT * FROM ki UNION SELECT * FROM kn) SELECT id, parent_id, title, round(max(sim), 9) AS similarity, string_agg(DISTINCT content, ',' ORDER BY content) AS matches FROM u GROUP BY id, parent_id, title ORDER BY max(sim) DESC, id LIMIT {k}")
+
 
+def found_vectors(spark, d, kinds, k=10):
+    return S.vector_search(kinds, query_vector(spark, d), k, 0.0).select("id", "parent_id", "title", F.round("similarity", 9).alias("similarity"), F.array_join("matches", ",").alias("matches"))
 
-def vector_sql(where: str, k: int) -> str:
-    cos = COS.replace("e.embedding", "c.embedding")
-    return with_tables(f"@h AS (SELECT c.source_id AS id, s.title, CAST(c.ord AS VARCHAR) AS content, {cos} AS sim FROM chunk c JOIN source s ON s.id = c.source_id, {QV} WHERE {where} AND {cos} >= 0.0 ORDER BY sim DESC, c.id LIMIT {k}), u AS (SELECT DISTINCT * FROM h) SELECT id, id AS parent_id, title, round(max(sim), 9) AS similarity, string_agg(DISTINCT content, ',' ORDER BY content) AS matches FROM u GROUP BY id, title ORDER BY max(sim) DESC, id LIMIT {k}")
 
+E3_SQL = vector_sql("true", 10)
 
-@query("e3_vector_search", vector_sql("true", 10))
+
+@query("e3_vector_search", E3_SQL)
 def _(spark, d):
-    hits = S.vector_search([chunk_rows(spark, d)], query_vector(spark, d), 10, 0.0)
-    return hits.select("id", "parent_id", "title", F.round("similarity", 9).alias("similarity"), F.array_join("matches", ",").alias("matches"))
+    return found_vectors(spark, d, vector_rows(spark, d))
 
 
-@query("e7_notebook_scope", vector_sql("c.source_id IN (SELECT source_id FROM reference WHERE notebook_id IN ('src1', 'src2'))", 10))
+@query("e7_notebook_scope", vector_sql("{0} IN (SELECT source_id FROM reference WHERE notebook_id IN ('src1', 'src2'))", 10, "n.notebook_id IN ('src1', 'src2')"))
 def _(spark, d):
-    rows = S.in_scope(chunk_rows(spark, d), logical(spark, d, "reference"), ["src1", "src2"])
-    return S.vector_search([rows], query_vector(spark, d), 10, 0.0).select("id", "parent_id", "title", F.round("similarity", 9).alias("similarity"), F.array_join("matches", ",").alias("matches"))
+    edges, scope = logical(spark, d, "reference"), ["src1", "src2"]
+    chunks, insights, notes = vector_rows(spark, d)
+    mine = logical(spark, d, "note").where(F.col("notebook_id").isin(scope)).select(F.col("id").alias("hit"))
+    return found_vectors(spark, d, [S.in_scope(chunks, edges, scope, "source_id"), S.in_scope(insights, edges, scope, "source_id"), notes.join(mine, "hit", "left_semi")])
 
 
-@query("e8_equipment_vector", vector_sql("upper(s.equipment_code) = 'EQ3'", 10))
+@query("e8_equipment_vector", vector_sql("upper(s.equipment_code) = 'EQ3'", 10, "false"))
 def _(spark, d):
-    rows = chunk_rows(spark, d).where("upper(equipment_code) = 'EQ3'")
-    return S.vector_search([rows], query_vector(spark, d), 10, 0.0).select("id", "parent_id", "title", F.round("similarity", 9).alias("similarity"), F.array_join("matches", ",").alias("matches"))
+    return found_vectors(spark, d, [x.where("upper(equipment_code) = 'EQ3'") for x in vector_rows(spark, d)[:2]])
 
 
 TERMS_SQL = r"regexp_extract_all(lower(regexp_replace({c}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+')"
@@ -269,45 +291,65 @@ def bm25_sql(table: str, column: str, words: list[str], key: str = "id") -> str:
     return f"(SELECT {key}, {score} AS relevance FROM (SELECT {key}, len(t) AS l, {tf} FROM (SELECT {key}, {TERMS_SQL.format(c=column)} AS t FROM {table} WHERE {column} IS NOT NULL)) s, (SELECT count(*) AS n, avg(l) AS avg_l, {df} FROM (SELECT len(t) AS l, {tf} FROM (SELECT {TERMS_SQL.format(c=column)} AS t FROM {table} WHERE {column} IS NOT NULL))) g WHERE {every})"
 
 
+_indexes: dict[tuple[str, str], S.TextIndex] = {}
+
+
+def text_index(spark, d) -> S.TextIndex:
+    """One index of all searched columns, written once in a session for each data folder."""
+    where = (spark.sparkContext.applicationId, d)
+    if where not in _indexes:
+        src = logical(spark, d, "source").select(F.col("id").alias("doc"), "id", F.col("id").alias("parent_id"), "title", F.col("id").alias("scope"), "full_text")
+        titles = src.select(F.col("doc").alias("sid"), F.col("title").alias("source_title"))
+        c = logical(spark, d, "chunk_text").join(titles, F.col("source_id") == F.col("sid"))
+        chunks = c.select(F.col("id").alias("doc"), F.col("source_id").alias("id"), F.col("source_id").alias("parent_id"), F.col("source_title").alias("title"), F.col("source_id").alias("scope"), "content")
+        i = logical(spark, d, "insight").join(titles, F.col("source_id") == F.col("sid"))
+        ins = i.select(F.col("id").alias("doc"), "id", F.col("source_id").alias("parent_id"), F.concat("insight_type", F.lit(" - "), F.coalesce("source_title", F.lit(""))).alias("title"), F.col("source_id").alias("scope"), "content")
+        own = -F.col("id") - 1
+        notes = logical(spark, d, "note").select(F.col("id").alias("doc"), own.alias("id"), own.alias("parent_id"), "title", F.lit(None).cast("bigint").alias("scope"), "content")
+        kinds = {"title": (src, "title"), "chunk": (chunks, "content"), "full_text": (src, "full_text"), "insight": (ins, "content"), "note_title": (notes, "title"), "note": (notes, "content")}
+        _indexes[where] = S.write_index(kinds, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[where]
+
+
 @query("e5_bm25", with_tables(f"SELECT id, round(relevance, 9) AS relevance FROM {bm25_sql('source', 'full_text', ['the', 'and'])}"))
 def _(spark, d):
+    return S.index_bm25(text_index(spark, d), ["the", "and"], ["full_text"]).select("id", F.round("relevance", 9).alias("relevance"))
+
+
+@query("e5_bm25_scan", with_tables(f"SELECT id, round(relevance, 9) AS relevance FROM {bm25_sql('source', 'full_text', ['the', 'and'])}"))
+def _(spark, d):
+    """Without an index: one pass counts the query's terms."""
     return S.bm25(logical(spark, d, "source"), ["the", "and"], "full_text", ["id"]).select("id", F.round("relevance", 9).alias("relevance"))
 
 
-@query("e4_bm25_index", r"SELECT term, count(*) AS df, sum(tf) AS total FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + TERMS_SQL.format(c="text") + ") AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
+INDEXED = {"title": ("source", "id", "title"), "chunk": ("chunk_text", "id", "content"), "full_text": ("source", "id", "full_text"), "insight": ("insight", "id", "content"), "note_title": ("note", "id", "title"), "note": ("note", "id", "content")}
+
+
+@query("e4_bm25_index", with_tables("SELECT kind, term, count(*) AS df, sum(tf) AS total, sum(tf * l) AS weighted FROM (SELECT kind, doc, term, l, count(*) AS tf FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {key} AS doc, len(t) AS l, unnest(t) AS term FROM (SELECT {key}, {TERMS_SQL.format(c=c)} AS t FROM {t} WHERE {c} IS NOT NULL)" for k, (t, key, c) in INDEXED.items()) + ") GROUP BY ALL) GROUP BY kind, term"))
 def _(spark, d):
-    t = logical(spark, d, "documents").select("doc_id", F.explode(S.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return text_index(spark, d).postings.groupBy("kind", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum(F.col("tf") * F.col("len")).alias("weighted"))
 
 
-def text_branches(spark, d, equipment=None):
-    s = logical(spark, d, "source")
-    if equipment:
-        s = s.where(F.upper("equipment_code") == equipment)
-    src = s.select("id", F.col("id").alias("parent_id"), "title", "full_text")
-    ins = logical(spark, d, "insight").join(s.select(F.col("id").alias("sid")), F.col("source_id") == F.col("sid"), "left_semi")
-    ins = ins.select("id", (F.col("id") if equipment else F.col("source_id")).alias("parent_id"), F.col("insight_type").alias("title"), "content")
-    out = [(src, "title"), (src, "full_text"), (ins, "content")]
-    if not equipment:
-        n = logical(spark, d, "note").select((-F.col("id") - 1).alias("id"), (-F.col("id") - 1).alias("parent_id"), "title", "content")
-        out += [(n, "title"), (n, "content")]
-    return out
+HITS = "u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {key} AS doc, relevance FROM {bm25_sql(t, c, ['the'])}" for k, (t, key, c) in INDEXED.items()) + "), hits AS (SELECT CASE u.kind WHEN 'chunk' THEN ct.source_id WHEN 'note' THEN -u.doc - 1 WHEN 'note_title' THEN -u.doc - 1 ELSE u.doc END AS id, CASE u.kind WHEN 'chunk' THEN ct.source_id WHEN 'insight' THEN i.source_id WHEN 'note' THEN -u.doc - 1 WHEN 'note_title' THEN -u.doc - 1 ELSE u.doc END AS parent_id, CASE u.kind WHEN 'insight' THEN i.insight_type || ' - ' || coalesce(s.title, '') WHEN 'note' THEN n.title WHEN 'note_title' THEN n.title ELSE s.title END AS title, u.kind, s.equipment_code, relevance FROM u LEFT JOIN chunk_text ct ON u.kind = 'chunk' AND ct.id = u.doc LEFT JOIN insight i ON u.kind = 'insight' AND i.id = u.doc LEFT JOIN note n ON u.kind IN ('note', 'note_title') AND n.id = u.doc LEFT JOIN source s ON s.id = CASE u.kind WHEN 'chunk' THEN ct.source_id WHEN 'insight' THEN i.source_id WHEN 'note' THEN NULL WHEN 'note_title' THEN NULL ELSE u.doc END)"
+E6_SQL = with_tables(f"@{HITS} SELECT id, parent_id, title, round(max(relevance), 9) AS relevance FROM hits GROUP BY id, parent_id, title ORDER BY max(relevance) DESC, id LIMIT 15")
 
 
-@query("e6_text_search", with_tables("@n AS (SELECT -id - 1 AS id, title, content FROM note), u AS (" + " UNION ALL ".join(f"SELECT {i} AS k, id, relevance FROM {bm25_sql(t, c, ['the'])}" for i, (t, c) in enumerate((("source", "title"), ("source", "full_text"), ("insight", "content"), ("n", "title"), ("n", "content")))) + ") SELECT id, parent_id, title, round(max(relevance), 9) AS relevance FROM (SELECT u.id, u.relevance, CASE WHEN k = 2 THEN i.source_id ELSE u.id END AS parent_id, CASE WHEN k < 2 THEN s.title WHEN k = 2 THEN i.insight_type ELSE n.title END AS title FROM u LEFT JOIN source s ON k < 2 AND s.id = u.id LEFT JOIN insight i ON k = 2 AND i.id = u.id LEFT JOIN n ON k > 2 AND n.id = u.id) GROUP BY id, parent_id, title ORDER BY max(relevance) DESC, id LIMIT 15"))
+@query("e6_text_search", E6_SQL)
 def _(spark, d):
-    return S.text_search(text_branches(spark, d), ["the"], 15).select("id", "parent_id", "title", F.round("relevance", 9).alias("relevance"))
+    return S.text_search(text_index(spark, d), ["the"], 15).select("id", "parent_id", "title", F.round("relevance", 9).alias("relevance"))
 
 
-@query("e9_equipment_text", with_tables("@s AS (SELECT * FROM source WHERE upper(equipment_code) = 'EQ3'), j AS (SELECT * FROM insight WHERE source_id IN (SELECT id FROM s)), u AS (" + " UNION ALL ".join(f"SELECT {i} AS k, id, relevance FROM {bm25_sql(t, c, ['the'])}" for i, (t, c) in enumerate((("s", "title"), ("s", "full_text"), ("j", "content")))) + ") SELECT id, parent_id, title, round(max(relevance), 9) AS relevance FROM (SELECT u.id, u.relevance, u.id AS parent_id, CASE WHEN k < 2 THEN s.title ELSE j.insight_type END AS title FROM u LEFT JOIN s ON k < 2 AND s.id = u.id LEFT JOIN j ON k = 2 AND j.id = u.id) GROUP BY id, parent_id, title ORDER BY max(relevance) DESC, id LIMIT 15"))
+# the frequencies behind a score are those of all documents; an insight is its own parent here
+@query("e9_equipment_text", with_tables(f"@{HITS} SELECT id, id AS parent_id, title, round(max(relevance), 9) AS relevance FROM hits WHERE kind NOT IN ('note', 'note_title') AND upper(equipment_code) = 'EQ3' GROUP BY id, title ORDER BY max(relevance) DESC, id LIMIT 15"))
 def _(spark, d):
-    return S.text_search(text_branches(spark, d, "EQ3"), ["the"], 15).select("id", "parent_id", "title", F.round("relevance", 9).alias("relevance"))
+    mine = logical(spark, d, "source").where("upper(equipment_code) = 'EQ3'").select(F.col("id").alias("scope"))
+    return S.text_search(text_index(spark, d), ["the"], 15, ["title", "chunk", "full_text", "insight"], mine, F.col("id")).select("id", "parent_id", "title", F.round("relevance", 9).alias("relevance"))
 
 
-@query("e10_merge_hits")
+@query("e10_merge_hits", f"WITH v AS ({E3_SQL}), t AS ({E6_SQL}) SELECT id, parent_id, 'vector' AS found_by FROM v UNION ALL SELECT id, parent_id, 'text' FROM t WHERE id NOT IN (SELECT id FROM v) AND parent_id NOT IN (SELECT parent_id FROM v)")
 def _(spark, d):
-    v = S.vector_search([chunk_rows(spark, d)], query_vector(spark, d), 10, 0.0)
-    return S.merge_hits(v, S.text_search(text_branches(spark, d), ["the"], 15))
+    v = S.vector_search(vector_rows(spark, d), query_vector(spark, d), 10, 0.0)
+    return S.merge_hits(v, S.text_search(text_index(spark, d), ["the"], 15))
 
 
 @query("e11_multi_query", f"SELECT query_id, rank, id FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.replace('q.v', 'CAST(q.embedding AS DOUBLE[])')} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5) q) WHERE rank <= 10")

@@ -19,6 +19,9 @@ PROJECTIONS: dict[str, str] = {
     "note": "SELECT conv_id * 1000 + turn AS id, conv_id, substr(text, 1, 30) AS title, text AS content, concat('src', CAST(conv_id % 20 AS STRING)) AS notebook_id FROM {conversations} WHERE role = 'assistant'",
     "insight": "SELECT d.doc_id * 10 + 1 AS id, d.doc_id AS source_id, 'quality' AS insight_type, d.text AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id * 10 + 2 AS id, d.doc_id AS source_id, 'toxic' AS insight_type, d.text AS content FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1",
     "chunk": "SELECT vec_id AS id, vec_id % (SELECT count(*) FROM {documents}) AS source_id, vec_id AS ord, embedding FROM {embeddings}",
+    "chunk_text": "SELECT e.vec_id AS id, d.doc_id AS source_id, substr(d.text, 1 + 400 * CAST(floor(e.vec_id / e.nd) AS INT), 400) AS content FROM (SELECT vec_id, (SELECT count(*) FROM {documents}) AS nd FROM {embeddings}) e JOIN {documents} d ON d.doc_id = e.vec_id % e.nd",
+    "insight_vector": "SELECT i.id, v.embedding FROM (SELECT d.doc_id * 10 + 1 AS id, (d.doc_id * 7 + 3) % (SELECT count(*) FROM {embeddings}) AS at FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id UNION ALL SELECT d.doc_id * 10 + 2 AS id, (d.doc_id * 5 + 1) % (SELECT count(*) FROM {embeddings}) AS at FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE l.toxic = 1) i JOIN {embeddings} v ON v.vec_id = i.at",
+    "note_vector": "SELECT n.id, v.embedding FROM (SELECT conv_id * 1000 + turn AS id, (conv_id * 11 + turn) % (SELECT count(*) FROM {embeddings}) AS at FROM {conversations} WHERE role = 'assistant') n JOIN {embeddings} v ON v.vec_id = n.at",
     "session": "SELECT conv_id AS id, concat('src', CAST(conv_id % 20 AS STRING)) AS notebook_id, count(*) AS messages FROM {conversations} GROUP BY conv_id",
     "job": "SELECT event_id, user_id AS job_id, ts, CASE event_type WHEN 'signup' THEN 'new' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status FROM {events}",
     "equipment": "SELECT p_partkey AS code, p_type AS t1, substr(p_name, instr(p_name, ' ') + 1) AS t2, p_name AS t3, p_brand AS t4, concat(p_brand, '-', CAST(p_size AS STRING)) AS t5 FROM {part}",
