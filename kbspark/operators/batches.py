@@ -78,14 +78,95 @@ def generate(rows: DataFrame, prompt: str, model: Callable[[list[str]], list[str
     return rows.mapInPandas(run, schema)
 
 
-PACKAGE = "struct<record_ids: array<string>, causes: array<struct<text: string, count: int>>>"
+# fixed values: fields of a package, of its records and of its categories
+PACKAGE_FIELDS = ["equipment", "failure_mode", "record_count", "records", "focus_categories", "recurring_patterns", "unresolved_cases"]
+RECORD_LISTS = ["symptoms", "observations", "diagnostic_checks", "corrective_actions", "verification"]
+RECORD_TEXTS = ["primary_focus", "mechanism", "cause"]
+CATEGORY_LISTS = ["subsystems", "symptoms", "components", "historical_actions", "verification_patterns"]
+
+
+def _field(v: Column, name: str) -> Column:
+    """A field of an object as a variant, null where it is missing (a JSON null is none)."""
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    """Whether a variant is of one of these kinds; false where it is missing."""
+    found = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.coalesce(found.isin(*kinds), F.lit(False))
+
+
+def _items(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _texts(v: Column) -> Column:
+    return F.transform(_items(v), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def _fault(where: Column, what: str) -> Column:
+    return F.concat(F.lit("invalid_field: "), where, F.lit(what))
+
+
+def _list_fault(v: Column, where: Column) -> Column:
+    """What is wrong with an optional list of strings; missing and null are right."""
+    absent = v.isNull() | F.is_variant_null(v)
+    return F.when(absent, None).when(~_is(v, "ARRAY"), _fault(where, " is not a list")).when(F.exists(_items(v), lambda x: ~_is(x, "STRING")), _fault(where, " has a non-string entry"))
+
+
+def _at(kind: str, i: Column, field: str = "") -> Column:
+    return F.concat(F.lit(f"{kind}["), i.cast("string"), F.lit("]" + field))
+
+
+def _record_faults(x: Column, i: Column) -> Column:
+    own, solved = _field(x, "record_id"), _field(x, "unresolved")
+    rid = F.try_variant_get(own, "$", "string")
+    stranger = ~_is(own, "STRING") | (F.trim(F.coalesce(rid, F.lit(""))) == "") | ~F.coalesce(F.array_contains("ids", rid), F.lit(False))
+    found = [F.when(stranger, _fault(_at("records", i, ".record_id"), " is not a batch member"))]
+    found += [_list_fault(_field(x, f), _at("records", i, f".{f}")) for f in RECORD_LISTS]
+    found += [F.when(_field(x, f).isNotNull() & ~_is(_field(x, f), "STRING", "VOID"), _fault(_at("records", i, f".{f}"), " is not a string")) for f in RECORD_TEXTS]
+    found += [F.when(solved.isNotNull() & ~_is(solved, "BOOLEAN"), _fault(_at("records", i, ".unresolved"), " is not a boolean"))]
+    return F.when(~_is(x, "OBJECT"), F.array(_fault(_at("records", i), " is not an object"))).otherwise(F.array_compact(F.array(*found)))
+
+
+def _category_faults(x: Column, i: Column) -> Column:
+    name, ids, count, share = (_field(x, f) for f in ("name", "record_ids", "record_count", "percentage"))
+    at = lambda f: _at("focus_categories", i, f)
+    no_ids = ids.isNotNull() & (~_is(ids, "ARRAY") | F.exists(_items(ids), lambda v: ~_is(v, "STRING")))
+    found = [
+        F.when(name.isNotNull() & ~_is(name, "STRING", "VOID"), _fault(at(".name"), " is not a string")),
+        F.when(no_ids, _fault(at(".record_ids"), " is not a string list")).when(F.size(F.array_except(_texts(ids), "ids")) > 0, _fault(at(".record_id"), " references outside the batch")),
+        F.when(count.isNotNull() & ~_is(count, "BIGINT"), _fault(at(".record_count"), " is not an integer")),
+        F.when(share.isNotNull() & ~_is(share, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _fault(at(".percentage"), " is not a number")),
+    ]
+    found += [_list_fault(_field(x, f), at(f".{f}")) for f in CATEGORY_LISTS]
+    return F.when(~_is(x, "OBJECT"), F.array(_fault(at(""), " is not an object"))).otherwise(F.array_compact(F.array(*found)))
 
 
 def validate_packages(rows: DataFrame) -> DataFrame:
-    """Add error: null for a package (JSON in output) that names only its batch's ids (array of string) and counts within its size."""
-    p = F.from_json("output", PACKAGE)
-    bad = F.when(p.isNull() | p["record_ids"].isNull(), "not a package").when(F.size(F.array_except(p["record_ids"], F.col("ids"))) > 0, "foreign record id").when(F.exists(p["causes"], lambda c: c["count"] > F.size("ids")), "count over batch size")
-    return rows.withColumn("error", bad)
+    """Add errors: all that is wrong with a package (JSON in output) for its batch's ids (array of string), in the order of its fields, and error, the first of them or null.
+
+    JSON alone is taken, nothing is stripped or repaired, and fields beyond the
+    known ones are let pass. What makes later checks meaningless ends them: no
+    answer, no JSON, no object, a missing field.
+    """
+    v = F.col("_v")
+    x = rows.withColumn("_v", F.try_parse_json("output"))
+    head = F.when(F.col("output").isNull(), "empty_response").when(v.isNull(), "malformed_json").when(~_is(v, "OBJECT"), "unexpected_output_shape: expected JSON object")
+    missing = F.array_compact(F.array(*[F.when(_field(v, f).isNull(), F.lit(f"missing_required_field: {f}")) for f in PACKAGE_FIELDS]))
+    x = x.withColumn("_head", F.when(head.isNotNull(), F.array(head)).otherwise(missing))
+    records, categories = _field(v, "records"), _field(v, "focus_categories")
+    counted = F.aggregate(_items(categories), F.lit(0).cast("bigint"), lambda s, c: s + F.coalesce(F.try_variant_get(c, "$.record_count", "bigint"), F.lit(0)))
+    size = F.size(F.array_distinct("ids"))
+    one = lambda when, text: F.when(when, F.lit(text))
+    body = F.concat(
+        F.array_compact(F.array(one(~_is(_field(v, "equipment"), "STRING") | ~_is(_field(v, "failure_mode"), "STRING"), "invalid_field: equipment/failure_mode must be strings"), one(~_is(_field(v, "record_count"), "BIGINT"), "invalid_field: record_count is not an integer"), one(~_is(records, "ARRAY"), "invalid_field: records is not a list"))),
+        F.flatten(F.transform(_items(records), _record_faults)),
+        F.array_compact(F.array(one(~_is(categories, "ARRAY"), "invalid_field: focus_categories is not a list"))),
+        F.flatten(F.transform(_items(categories), _category_faults)),
+        F.array_compact(F.array(F.when(counted > size, F.concat(F.lit("count_inconsistency: category record_counts sum to "), counted.cast("string"), F.lit(" over "), size.cast("string"), F.lit(" batch records"))), *[_list_fault(_field(v, f), F.lit(f)) for f in ("recurring_patterns", "unresolved_cases")])),
+    )
+    return x.withColumn("errors", F.when(F.size("_head") > 0, F.col("_head")).otherwise(body)).withColumn("error", F.get("errors", 0)).drop("_v", "_head")
 
 
 def validate_guides(rows: DataFrame, sections: list[str]) -> DataFrame:

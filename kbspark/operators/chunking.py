@@ -56,33 +56,121 @@ def split_plain(text: str, size: int = SIZE, overlap: int | None = None) -> list
 
 
 def split_markdown(text: str) -> list[str]:
-    """Sections that begin with a header of level one to three, headers kept."""
-    return [s for s in re.split(r"(?m)^(?=#{1,3} )", text) if s.strip()]
+    """Sections under a path of headers of level one to three, headers kept.
 
+    Lines are stripped of their margins. A header ends what is above it, unless
+    that is a header alone, which stays with the deeper one that follows.
+    Paragraphs of one path are one section, and so are neighbouring sections
+    that name the same path. Inside a code fence nothing is a header.
+    """
+    out: list[tuple[dict[int, str], str]] = []
+    path: dict[int, str] = {}
+    held: list[str] = []
+    fence = ""
+
+    def end() -> None:
+        if not held:
+            return
+        block = "\n".join(held)
+        held.clear()
+        if out and (out[-1][0] == path or (len(out[-1][0]) < len(path) and out[-1][1].rsplit("\n", 1)[-1].startswith("#"))):
+            out[-1] = (dict(path), f"{out[-1][1]}  \n{block}")
+        else:
+            out.append((dict(path), block))
+
+    for line in text.split("\n"):
+        line = "".join(c for c in line.strip() if c.isprintable())
+        if fence:
+            held.append(line)
+            if line.startswith(fence):
+                fence = ""
+            continue
+        if (line.startswith("```") and line.count("```") == 1) or line.startswith("~~~"):
+            fence = line[:3]
+            held.append(line)
+        elif header := re.match(r"(#{1,3})(?: (.*))?$", line):
+            end()
+            level = len(header[1])
+            path = {k: v for k, v in path.items() if k < level} | {level: (header[2] or "").strip()}
+            held.append(line)
+        elif line:
+            held.append(line)
+        else:
+            end()
+    end()
+    return [block for _, block in out]
+
+
+HEADERS, VOID, SILENT = {"h1", "h2", "h3"}, set("area base br col embed hr img input link meta source track wbr".split()), {"script", "style", "head", "title"}
+
+
+class _Elements(HTMLParser):
+    """The elements of a page in the order in which they begin, each with the texts that stand in it directly."""
 
-class _Sections(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.out, self.skip = [[]], 0
+        self.nodes: list[tuple[str, list[str]]] = [("", [])]
+        self.open = [0]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("h1", "h2", "h3"):
-            self.out.append([])
-        self.skip += tag in ("script", "style")
+        self.nodes.append((tag, []))
+        if tag not in VOID:
+            self.open.append(len(self.nodes) - 1)
 
     def handle_endtag(self, tag):
-        self.skip -= tag in ("script", "style")
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.nodes[self.open[i]][0] == tag:
+                del self.open[i:]
+                break
 
     def handle_data(self, data):
-        if self.skip <= 0:
-            self.out[-1].append(data)
+        if data.strip() and not any(self.nodes[i][0] in SILENT for i in self.open):
+            self.nodes[self.open[-1]][1].append(data.strip())
 
 
 def split_html(text: str) -> list[str]:
-    """Texts of the sections that begin at h1 to h3."""
-    p = _Sections()
+    """Sections between headers h1 to h3, each header a section of its own. The texts of one element are set apart by a blank, those of different elements by a line."""
+    p = _Elements()
     p.feed(text)
-    return [s for s in ("".join(x).strip() for x in p.out) if s]
+    p.close()
+    out: list[list[str]] = [[]]
+    for tag, texts in p.nodes:
+        if not texts:
+            continue
+        if tag in HEADERS:
+            out += [[" ".join(texts)], []]
+        else:
+            out[-1].append(" ".join(texts))
+    return ["  \n".join(x) for x in out if x]
+
+
+def sections(docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """key, section, content: the sections of every document's whole text, of kind markdown or html."""
+    split = {"markdown": split_markdown, "html": split_html}[kind]
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(k, i, c) for k, t in zip(pdf["key"], pdf["text"]) for i, c in enumerate(split(t))]
+            yield pd.DataFrame(rows, columns=["key", "section", "content"])
+
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    return d.mapInPandas(cut, f"key {key_type}, section int, content string").withColumnRenamed("key", key)
+
+
+def secondary(found: DataFrame, key: str, size: int = SIZE) -> DataFrame:
+    """key, section, part, content: sections over the size cut again as plain text, the others as they are. Only the large ones go through Python."""
+    key_type = found.schema[key].dataType.simpleString()
+    large = word_estimate(F.col("content")) > size
+    x = found.select(F.col(key).alias("key"), "section", "content")
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(k, s, i, c) for k, s, t in zip(pdf["key"], pdf["section"], pdf["content"]) for i, c in enumerate(split_plain(t, size))]
+            yield pd.DataFrame(rows, columns=["key", "section", "part", "content"])
+
+    again = x.where(large).mapInPandas(cut, f"key {key_type}, section int, part int, content string")
+    return x.where(~large).select("key", "section", F.lit(0).alias("part"), "content").unionByName(again).withColumnRenamed("key", key)
 
 
 def chunk(docs: DataFrame, key: str, text: str, size: int = SIZE, path: str | None = None) -> DataFrame:

@@ -126,13 +126,20 @@ def _(spark, d):
 
 @query("d2_markdown_sections")
 def _(spark, d):
-    x = logical(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("text"))
-    return D.chunk(x, "doc_id", "text")
+    """Whole documents with their paragraphs under headers of three levels, some of which stand in a fence."""
+    x = logical(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.regexp_replace(F.regexp_replace("text", r"\n", "\n## "), r"\. ", ".\n\n### ")).alias("text"))
+    return D.sections(x, "doc_id", "text", "markdown")
 
 
 @query("d3_html_sections")
 def _(spark, d):
-    return D.chunk(logical(spark, d, "pages"), "page_id", "html")
+    return D.sections(logical(spark, d, "pages"), "page_id", "html", "html")
+
+
+@query("d4_secondary_chunks")
+def _(spark, d):
+    """Sections of the pages, those over the size cut again as plain text."""
+    return D.secondary(D.sections(logical(spark, d, "pages"), "page_id", "html", "html"), "page_id")
 
 
 @query("d5_chunk_coverage", f"SELECT doc_id, true AS has_chunks FROM documents WHERE regexp_matches(text, '\\S')")
@@ -216,11 +223,39 @@ def _(spark, d):
     return L.generate(r, "cause", lambda texts: [t.upper() for t in texts]).select("record_id", "output")
 
 
-@query("l9_package_validation", with_tables("SELECT record_id, CASE record_id % 4 WHEN 0 THEN 'not a package' WHEN 1 THEN 'foreign record id' WHEN 2 THEN 'count over batch size' END AS error FROM record"))
-def _(spark, d):
-    i, m = F.col("record_id").cast("string"), F.col("record_id") % 4
-    good = F.concat(F.lit('{"record_ids":["'), i, F.lit('"],"causes":[{"text":"x","count":1}]}'))
-    out = F.when(m == 0, "nothing").when(m == 1, F.replace(good, F.lit('["'), F.lit('["x'))).when(m == 2, F.replace(good, F.lit(":1}"), F.lit(":2}"))).otherwise(good)
+# a right package of a record, the damages that are done to it, and what is said of each
+GOOD = '{"equipment":"EQ","failure_mode":"leak","record_count":1,"records":[{"record_id":"@","symptoms":["drip"],"cause":null,"unresolved":false,"more":1}],"focus_categories":[{"name":"seal","record_ids":["@"],"record_count":1,"percentage":99.5}],"recurring_patterns":null,"unresolved_cases":[],"extra":{}}'
+DAMAGES = [
+    (GOOD, "}", "", "malformed_json"),
+    ("fence", "fence", "```json {} ```", "malformed_json"),
+    ("list", "list", "[1]", "unexpected_output_shape: expected JSON object"),
+    (GOOD, '"record_count":1,"records"', '"records"', "missing_required_field: record_count"),
+    (GOOD, '"unresolved_cases":[],', "", "missing_required_field: unresolved_cases"),
+    (GOOD, '"equipment":"EQ"', '"equipment":7', "invalid_field: equipment/failure_mode must be strings"),
+    (GOOD, '"record_count":1,"records"', '"record_count":true,"records"', "invalid_field: record_count is not an integer"),
+    (GOOD, '"records":[{', '"records":["x",{', "invalid_field: records[0] is not an object"),
+    (GOOD, '"record_id":"@"', '"record_id":"x@"', "invalid_field: records[0].record_id is not a batch member"),
+    (GOOD, '"symptoms":["drip"]', '"symptoms":"drip"', "invalid_field: records[0].symptoms is not a list"),
+    (GOOD, '"symptoms":["drip"]', '"verification":["a",3]', "invalid_field: records[0].verification has a non-string entry"),
+    (GOOD, '"cause":null', '"cause":[]', "invalid_field: records[0].cause is not a string"),
+    (GOOD, '"unresolved":false', '"unresolved":null', "invalid_field: records[0].unresolved is not a boolean"),
+    (GOOD, '"focus_categories":[{', '"focus_categories":[{"name":4},{', "invalid_field: focus_categories[0].name is not a string"),
+    (GOOD, '"record_ids":["@"]', '"record_ids":["@",null]', "invalid_field: focus_categories[0].record_ids is not a string list"),
+    (GOOD, '"record_ids":["@"]', '"record_ids":["@","y"]', "invalid_field: focus_categories[0].record_id references outside the batch"),
+    (GOOD, '"record_count":1,"percentage"', '"record_count":1.5,"percentage"', "invalid_field: focus_categories[0].record_count is not an integer"),
+    (GOOD, '"percentage":99.5', '"percentage":"99"', "invalid_field: focus_categories[0].percentage is not a number"),
+    (GOOD, '"record_count":1,"percentage"', '"record_count":3,"percentage"', "count_inconsistency: category record_counts sum to 3 over 1 batch records"),
+    (GOOD, '"recurring_patterns":null', '"recurring_patterns":{}', "invalid_field: recurring_patterns is not a list"),
+    (GOOD, '"more":1', '"more":2', None),
+]
+
+
+@query("l9_package_validation", with_tables("SELECT record_id, CASE record_id % 22 WHEN 0 THEN 'empty_response' " + " ".join(f"WHEN {i} THEN '{e}'" for i, (*_, e) in enumerate(DAMAGES, 1) if e) + " END AS error FROM record"))
+def _(spark, d):
+    i, m = F.col("record_id").cast("string"), F.col("record_id") % 22
+    out = F.lit(None).cast("string")
+    for k, (text, old, new, _) in enumerate(DAMAGES, 1):
+        out = F.when(m == k, F.replace(F.lit(text.replace(old, new)), F.lit("@"), i)).otherwise(out)
     return L.validate_packages(logical(spark, d, "record").select("record_id", F.array(i).alias("ids"), out.alias("output"))).select("record_id", "error")
 
 
