@@ -41,15 +41,15 @@ def split_plain(text: str, size: int = SIZE, overlap: int | None = None) -> list
 
     out: list[str] = []
     held: list[str] = []
-    weight = 0
+    words = 0  # estimates of parts do not add up, words do
     for a in atoms(text, 0):
-        n = estimate(a)
-        if held and (weight + n > size or sum(map(len, held)) + len(a) > size * 40):
+        n = len(a.split())
+        if held and ((words + n) * 13 // 10 > size or sum(map(len, held)) + len(a) > size * 40):
             out.append("".join(held))
-            while held and (weight > overlap or weight + n > size or sum(map(len, held)) > overlap * 40):
-                weight -= estimate(held.pop(0))
+            while held and (words * 13 // 10 > overlap or (words + n) * 13 // 10 > size or sum(map(len, held)) > overlap * 40):
+                words -= len(held.pop(0).split())
         held.append(a)
-        weight += n
+        words += n
     if held:
         out.append("".join(held))
     return out
