@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators import knowledge as K
 from kbspark.operators import mining as M
-from kbspark.operators.graph import numbered, written
+from kbspark.operators.graph import numbered, shared_folder, written
 from kbspark.plans.projections import logical, with_tables
+from kbspark.plans.registry import SQL as SQL_OF
 from kbspark.plans.registry import query
+from kbspark.sources.records import KnowledgeBase
 
 
 def records(spark, d):
@@ -465,3 +468,75 @@ def _(spark, d):
     r, e, shown, got = enriched(spark, d)
     new = M.suggestion_weights(M.accept_suggestions(got, shown)[0], r, e)
     return M.rerank(M.rank_causes(M.causes(M.evidence(r, e))), new).withColumn("support_percent", F.round("support_percent", 6))
+
+
+_bases: dict[tuple[str, str], KnowledgeBase] = {}
+
+
+def knowledge_base(spark, d) -> KnowledgeBase:
+    """A base with all tables, staged, checked and published once in a session for each data folder."""
+    where = (spark.sparkContext.applicationId, d)
+    if where not in _bases:
+        kb = KnowledgeBase(spark, f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}")
+        kb.write(K.knowledge_tables(records(spark, d), logical(spark, d, "equipment")), K.REFERENCES)
+        _bases[where] = kb
+    return _bases[where]
+
+
+TABLES = ["equipment", "maintenance_records", "failure_modes", "equipment_failure_modes", "candidate_causes", "repair_actions", "guide_verifications", "guide_post_repair_events", "cause_repair_actions", "evidence", "cause_evidence", "guide_sections", "safety_notes", "analysis_runs", "metadata"]
+WHOLE = f"{RANKED.replace(REC, ROLE.replace(ACT, LINK, 1), 1)}, {MARK}, eg AS (SELECT scope_equipment, mode, cause, mechanism, category FROM ev GROUP BY ALL), nt AS (SELECT DISTINCT s.scope_equipment, s.mode, trim(r.safety) AS note FROM scope s JOIN pair p ON p.a = s.scope_equipment JOIN rec r ON r.mode = s.mode AND r.equipment = p.b WHERE trim(r.safety) <> '' AND (trim(r.cause) <> '' OR trim(r.mechanism) <> ''))"
+COUNTS = {
+    "equipment": "SELECT count(DISTINCT equipment) FROM rec", "maintenance_records": "SELECT count(*) FROM rec", "failure_modes": "SELECT count(DISTINCT mode) FROM rec", "equipment_failure_modes": "SELECT count(*) FROM scope",
+    "candidate_causes": "SELECT count(*) FROM rk", "repair_actions": "SELECT count(*) FROM ac", "guide_verifications": "SELECT count(*) FROM mk WHERE m LIKE 'verif%'", "guide_post_repair_events": "SELECT count(*) FROM mk WHERE m LIKE 'event%'",
+    "cause_repair_actions": "SELECT count(*) FROM lk WHERE cause <> ''", "evidence": "SELECT count(*) FROM eg", "cause_evidence": "SELECT sum(CASE WHEN trim(cause) <> '' THEN 1 ELSE 0 END + CASE WHEN trim(mechanism) <> '' AND lower(trim(mechanism)) IS DISTINCT FROM lower(trim(cause)) THEN 1 ELSE 0 END) FROM eg",
+    "guide_sections": "SELECT (SELECT count(*) FROM rk) + 2 * (SELECT count(*) FROM (SELECT DISTINCT scope_equipment, mode FROM rk))", "safety_notes": "SELECT count(*) FROM nt", "analysis_runs": "SELECT 1", "metadata": "SELECT 2",
+}
+
+
+@query("a16_knowledge_base", with_tables(f"@{WHOLE} " + " UNION ALL ".join(f"SELECT '{t}' AS table, CAST(({COUNTS[t]}) AS BIGINT) AS row_count" for t in TABLES)))
+def _(spark, d):
+    kb, out = knowledge_base(spark, d), None
+    for t in TABLES:
+        one = kb.table(t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table"), "row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("a16_causes", with_tables(f"@{RANKED} SELECT scope_equipment AS equipment, mode, text, label, round(support_percent, 6) AS support_percent, records AS evidence_count, rank FROM rk"))
+def _(spark, d):
+    return knowledge_base(spark, d).table("candidate_causes").select("equipment", "mode", "text", "label", F.round("support_percent", 6).alias("support_percent"), "evidence_count", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("a18_json_round_trip", SQL_OF["j5_guides"].replace("string_agg(label, ' > ' ORDER BY rank) AS causes", "string_agg(label || ':' || records, ' > ' ORDER BY rank) AS causes"))
+def _(spark, d):
+    """Guides written as nested JSON and read again by their schema."""
+    g = whole_guides(spark, d)[0]
+    path = f"{shared_folder(spark)}/guides-{uuid.uuid4().hex}"
+    K.export_guides(g, path)
+    g = K.load_guides(spark, path, g.schema)
+    causes_of = F.array_join(F.transform("causes", lambda c: F.concat(c["label"], F.lit(":"), c["records"].cast("string"))), " > ")
+    return g.select("equipment", "mode", "symptom", causes_of.alias("causes"), F.array_join("recommendations.action", " > ").alias("steps"), F.array_join(F.transform("record_ids", lambda x: x.cast("string")), ",").alias("record_ids"), F.array_join("warnings", ",").alias("warnings"))
+
+
+ISSUES = "qi AS (SELECT record_id, 'error' AS severity FROM rec WHERE cause IS NULL UNION ALL SELECT record_id, 'error' FROM rec WHERE mode IS NULL UNION ALL SELECT record_id, 'note' FROM rec WHERE mode IS NULL)"
+POOR = "po AS (SELECT scope_equipment || '/' || mode AS v FROM (SELECT DISTINCT scope_equipment, mode FROM rk) WHERE (scope_equipment, mode) NOT IN (SELECT (equipment, mode) FROM ac))"
+FACTS = {
+    ("dataset", "total_records"): "SELECT count(*) FROM rec", ("dataset", "unique_equipment"): "SELECT count(DISTINCT equipment) FROM rec", ("dataset", "unique_failure_modes"): "SELECT count(DISTINCT mode) FROM rec",
+    ("dataset", "problematic_records"): "SELECT count(DISTINCT record_id) FROM qi WHERE severity = 'error'", ("dataset", "guides_generated"): "SELECT count(*) FROM (SELECT DISTINCT scope_equipment, mode FROM rk)",
+    ("quality", "issues"): "SELECT count(*) FROM qi", ("quality", "errors"): "SELECT count(*) FROM qi WHERE severity = 'error'", ("guides", "causes"): "SELECT count(*) FROM rk", ("guides", "most_causes"): "SELECT max(rank) FROM rk",
+    ("guides", "top_causes"): "SELECT count(*) FROM rk WHERE rank = 1", ("guides", "top_support_100"): "SELECT count(*) FROM rk WHERE rank = 1 AND round(support_percent, 6) = 100",
+    ("support_audit", "causes_checked"): "SELECT count(*) FROM rk", ("support_audit", "mismatches"): "SELECT 0",
+    ("split", "train_equipment"): "SELECT count(*) FROM sides WHERE side = 'train'", ("split", "test_equipment"): "SELECT count(*) FROM sides WHERE side = 'test'", ("split", "leakage"): "SELECT 0",
+    ("suspicious", "generic_causes"): "SELECT 0", ("suspicious", "insufficient_repair_guides"): "SELECT count(*) FROM po", ("suspicious", "insufficient_repair_guides_first"): "SELECT coalesce(string_agg(v, ', ' ORDER BY v), '') FROM (SELECT v FROM po ORDER BY v LIMIT 20)",
+    ("suspicious", "single_record_modes"): "SELECT count(*) FROM (SELECT mode FROM rec WHERE mode IS NOT NULL GROUP BY mode HAVING count(*) = 1)",
+}
+_ROLES = "SELECT 'repair_actions' AS section, coalesce(category, 'none') || '/' || role AS key, CAST(count(*) AS VARCHAR) AS value FROM (SELECT *, row_number() OVER (PARTITION BY equipment, mode, text ORDER BY c DESC, role) AS q FROM (SELECT equipment, mode, lower(sentence) AS text, any_value(category) AS category, role, count(*) AS c FROM rv GROUP BY equipment, mode, lower(sentence), role)) WHERE q = 1 GROUP BY ALL"
+_OUTCOMES = {k: SQL_OF["g27_evaluation"].replace("count(*) AS total, count(nearest) AS equipment_matched, count(matched_mode) AS mode_matched, count(*) FILTER (hit) AS cause_hits", f"{v} AS v") for k, v in (("total", "count(*)"), ("equipment_matched", "count(nearest)"), ("mode_matched", "count(matched_mode)"), ("cause_hits", "count(*) FILTER (hit)"))}
+
+
+@query("g28_validation_report", with_tables(f"@{RANKED.replace(REC, ROLE.replace(ACT, LINK, 1), 1)}, {ISSUES}, {POOR}, {SPLIT.replace('sd AS (SELECT equipment, CASE', 'sides AS (SELECT equipment, CASE')} " + " UNION ALL ".join([*[f"SELECT '{s}' AS section, '{k}' AS key, CAST(({q}) AS VARCHAR) AS value" for (s, k), q in FACTS.items()], _ROLES, *[f"SELECT 'evaluation', '{k}', CAST(({q}) AS VARCHAR)" for k, q in _OUTCOMES.items()], *[f"SELECT 'limitations', '{i}', '{x}'" for i, x in enumerate(K.LIMITATIONS, 1)]])))
+def _(spark, d):
+    r = records(spark, d)
+    kb, sides = knowledge_base(spark, d), M.split_by_code(r, "equipment", 0.2, 42)
+    tables = {t: kb.table(t) for t in TABLES}
+    return K.validation_report(r, M.quality(r, ["cause", "mode"], "repair_text", "mode", "repair_text"), tables, outcomes(spark, d), sides.select("equipment", "side"))

@@ -90,15 +90,6 @@ def _(spark, d):
     return R.replace_chunks(R.replace_chunks(c, c.where("source_id % 3 = 0")), c.where("source_id % 3 = 0"))
 
 
-@query("a16_knowledge_base", with_tables("SELECT code, t1 FROM equipment"))
-def _(spark, d):
-    kb = R.KnowledgeBase(spark, f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}")
-    e = logical(spark, d, "equipment")
-    records = logical(spark, d, "record").join(e.select("code"), F.col("equipment") == F.col("code"), "left_semi")
-    kb.write({"equipment": e, "record": records.select("record_id", "equipment")}, [("record", "equipment", "equipment", "code")])
-    return kb.table("equipment").select("code", "t1")
-
-
 @query("a17_integrity", "SELECT 'orders.o_custkey' AS check, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'customer.c_nationkey', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'nation rows', CAST(0 AS BIGINT)")
 def _(spark, d):
     t = {n: logical(spark, d, n) for n in ("orders", "customer", "nation")}
@@ -363,13 +354,6 @@ def _(spark, d):
     return s.join(logical(spark, d, "record").where("record_id % 50 = 3").select("record_id"), "record_id", "left_semi").select("equipment", "failure_mode").distinct()
 
 
-@query("g28_validation_report", with_tables("SELECT 'dataset' AS section, 'records' AS key, CAST(count(*) AS DOUBLE) AS value FROM record UNION ALL SELECT 'dataset', 'equipment', CAST(count(DISTINCT equipment) AS DOUBLE) FROM record UNION ALL SELECT 'quality', 'without_cause', CAST(count(*) FILTER (cause IS NULL) AS DOUBLE) FROM record"))
-def _(spark, d):
-    r = logical(spark, d, "record").agg(F.count("*").alias("a"), F.count_distinct("equipment").alias("b"), F.count_if(F.col("cause").isNull()).alias("c"))
-    rows = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.col(v).cast("double").alias("value")) for s, k, v in (("dataset", "records", "a"), ("dataset", "equipment", "b"), ("quality", "without_cause", "c"))])
-    return r.select(F.explode(rows).alias("r")).select("r.*")
-
-
 # --- streams, run over the tables' files and read back when all is processed
 
 

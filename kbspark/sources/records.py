@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 
@@ -127,38 +126,62 @@ def integrity(tables: dict[str, DataFrame], foreign: list[tuple[str, str, str, s
     return out
 
 
-class KnowledgeBase:
-    """Tables of one version in a folder; a pointer table names the version that readers see.
+class Conflict(RuntimeError):
+    """Another writer has published since the version that a writer started from."""
+
 
-    A version is written beside the others and checked before the pointer is
-    appended, so readers see the old one or the new one, whole.
+class KnowledgeBase:
+    """Tables of one version in a folder; numbered pointer files name the versions, and readers see the one of the highest number.
+
+    A version is written beside the others and checked before its pointer is
+    made, so readers see the old one or the new one, whole. A pointer's number
+    is one above the version that its writer started from, and the file system
+    makes a file of one name for one writer only: of two writers that start
+    from the same version the second to publish gets a Conflict, and its tables
+    are never seen.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def write(self, tables: dict[str, DataFrame], foreign: list[tuple[str, str, str, str]] = ()) -> str:
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def number(self) -> int:
+        """The current version's number, 0 before the first."""
+        path, fs = self._path("versions")
+        if not fs.exists(path):
+            return 0
+        # a pointer that its writer has not filled yet does not count
+        return max((int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit() and x.getLen() > 0), default=0)
+
+    def write(self, tables: dict[str, DataFrame], foreign: list[tuple[str, str, str, str]] = (), base: int | None = None) -> str:
+        """Stage, check and publish a version; base is the number it started from, the current one if none is given."""
+        base = self.number() if base is None else base
         version = uuid.uuid4().hex
         for name, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{self.folder}/{version}/{name}")
         stored = {n: self.spark.read.parquet(f"{self.folder}/{version}/{n}") for n in tables}
         if foreign and integrity(stored, list(foreign)).where("violations > 0").limit(1).count():
             raise ValueError("a reference leads nowhere; the version is not published")
-        pointer = self.spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version string, tables string").withColumn("at", F.current_timestamp())
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
+        path, fs = self._path(f"versions/{base + 1:09d}")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            if fs.exists(path):
+                raise Conflict(f"version {base + 1} was published by another writer") from e
+            raise
+        out.write(bytearray(version.encode()))
+        out.close()
         return version
 
     def current(self) -> str:
-        return self.spark.read.parquet(f"{self.folder}/versions").orderBy(F.desc("at")).first()["version"]
+        number = self.number()
+        if not number:
+            raise LookupError("nothing is published yet")
+        return self.spark.read.text(f"{self.folder}/versions/{number:09d}").first()["value"]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.current()}/{name}")
-
-
-def export_json(guides: DataFrame, path: str) -> None:
-    """Nested guides as JSON lines."""
-    guides.write.mode("overwrite").json(path)
-
-
-def load_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
