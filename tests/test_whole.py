@@ -2,8 +2,6 @@
 
 from collections import defaultdict
 
-import pytest
-
 from kbspark.plans import registry
 
 
@@ -34,18 +32,3 @@ def test_planner_keeps_groups_over_the_token_budget(spark, tmp_path):
     want = {(e, "red pump (a)", o, b) for e, g in groups.items() for (o, _), b in zip(g, packed([t for _, t in g]))}
     got = [tuple(r) for r in registry.QUERIES["l5_batch_planner"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
-
-
-def test_pages_without_article_keep_copies_and_phrases(spark):
-    html = pytest.importorskip("kbspark.llm.html")
-    shared = "This notice stands on every single page of the host"
-    phrase = "on the other side of the street"
-    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(30)]
-    # three pages hold one phrase, one of them in twenty different blocks
-    bodies = [f"<p>{x}</p>" + (f"<p>{phrase} a{i}</p>" if i < 3 else "") + ("".join(f"<p>{phrase} b{k}</p>" for k in range(20)) if i == 0 else "") for i, x in enumerate(own)]
-    rows = [(i, f"http://large.example/{i}", f"<div>{shared}</div>{b}") for i, b in enumerate(bodies)]
-    rows += [(100 + i, f"http://copies.example/{i}", f"<div>{shared}</div><p>{own[i // 2]}</p>") for i in range(6)]
-    rows += [(200 + i, f"http://twins.example/{i}", f"<p>{own[0]}</p>") for i in range(2)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    want = {i: b.replace("</p><p>", "\n")[3:-4] for i, b in enumerate(bodies)} | {100 + i: own[i // 2] for i in range(6)} | {200: own[0], 201: own[0]}
-    assert got == want
