@@ -256,12 +256,12 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return running[stops] - running[stops - size]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], length: int = BLOCK_LENGTH) -> Iterator[Block]:
     block = Block()
     for batch in batches:
         for key, text in zip(batch.column("_key"), batch.column("_text")):
             block.add(key.as_py(), text.as_py())
-            if block.length >= BLOCK_LENGTH:
+            if block.length >= length:
                 yield block
                 block = Block()
     if block.keys:
@@ -294,7 +294,7 @@ def token_groups(docs: DataFrame, path_a: str, pattern: str, path_b: str, key: s
 _OWN = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string"}
 
 
-def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, key: str = "doc_id", text: str = "text", block_length: int = BLOCK_LENGTH) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum of every row.
 
     A null or empty text, or one that a tokenizer does not give back byte by
@@ -310,7 +310,7 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, key
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = aligner_of(path_a, pattern, path_b)
-        for block in _blocks(batches):
+        for block in _blocks(batches, block_length):
             words, place, size = block.aligned(aligner)
             counts = [_sums(np.array(x, np.int64)[place], size) for x in (words.n_a, words.n_b, words.n_groups, words.n_links)]
             digests, at = [], 0
