@@ -13,6 +13,8 @@ from kbspark.functions.text import digest_id, word_estimate
 
 RECORDS, TOKENS = 12, 6000
 LARGE = 105_000
+#: Transformations that are applied at once, as each document meets each of them.
+MOST_TRANSFORMATIONS = 1_000
 
 
 def plan_batches(records: DataFrame, records_most: int = RECORDS, tokens_most: int = TOKENS) -> DataFrame:
@@ -214,6 +216,8 @@ def eligible(batches: DataFrame, done: DataFrame) -> DataFrame:
 def apply_transformations(docs: DataFrame, transformations: DataFrame, model, text: str) -> DataFrame:
     """Every document with every transformation (a small table by contract, name and prompt), answered by the model; blank inputs and outputs are left out."""
     d = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    if transformations.limit(MOST_TRANSFORMATIONS + 1).count() > MOST_TRANSFORMATIONS:
+        raise ValueError(f"more than {MOST_TRANSFORMATIONS} transformations; apply them in parts")
     x = d.crossJoin(F.broadcast(transformations.select("name", "prompt"))).withColumn("full_prompt", F.concat("prompt", F.lit("\n"), F.col(text)))
     return generate(x, "full_prompt", model).where("error is null and trim(output) <> ''")
 

@@ -315,11 +315,11 @@ def causes(found: DataFrame) -> DataFrame:
     return out.withColumn("support_percent", percent).withColumn("confidence", band).withColumn("occurrence_rate", rate)
 
 
-def rank_causes(found: DataFrame) -> DataFrame:
-    """Add rank, cause_id and share: support descending, then label; shares add up to one where there is support."""
+def rank_causes(found: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Add rank, cause_id and share: support descending, then label, or in an order of the caller's; shares add up to one where there is support."""
     scope = Window.partitionBy("scope_equipment", "mode")
     total = F.sum(F.greatest("support_percent", F.lit(0.0))).over(scope)
-    x = found.withColumn("rank", F.row_number().over(scope.orderBy(F.desc(F.round("support_percent", 9)), "label", "text")))
+    x = found.withColumn("rank", F.row_number().over(scope.orderBy(*(order or [F.desc(F.round("support_percent", 9)), F.asc("label")]), "text")))
     x = x.withColumn("share", F.when(total > 0, F.greatest("support_percent", F.lit(0.0)) / total))
     return x.withColumn("cause_id", F.concat_ws("-", F.lit("cause"), F.col("scope_equipment").cast("string"), F.col("mode"), F.format_string("%02d", F.col("rank"))))
 
@@ -490,13 +490,13 @@ def nearest_equipment(trees: DataFrame, among: DataFrame | None = None) -> DataF
     return met.groupBy(F.col("code").alias("a")).agg(F.min(F.struct("rank", "b")).alias("m")).select("a", F.col("m.b").alias("nearest"), F.col("m.rank").alias("rank"))
 
 
-def nearest_mode(queries: DataFrame, modes: DataFrame, least: float = 0.4) -> DataFrame:
-    """For each query (id, text) the mode (key, text) of highest token Jaccard from `least` on, ties by key.
+def nearest_mode(queries: DataFrame, modes: DataFrame, least: float = 0.4, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
+    """For each query (id, text) the mode (key, text) of highest token Jaccard from `least` on, ties by key; tokenize gives a text's words.
 
     Equal query texts are one, and only the rarest tokens of either side are
     matched, which any pair of that similarity shares.
     """
-    words = lambda t: F.array_distinct(T.tokens(F.col(t)))
+    words = lambda t: F.array_distinct(tokenize(F.col(t)))
     q = queries.select("text").distinct().select(F.col("text").alias("id"), words("text").alias("q"))
     m = modes.select("key", words("text").alias("m"))
     df = m.select(F.explode("m").alias("t")).groupBy("t").agg(F.count("*").alias("df"))

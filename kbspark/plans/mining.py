@@ -82,6 +82,13 @@ def _(spark, d):
     return M.nearest_mode(*asked(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
+@query("n3_tokenizer", "WITH md AS (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS key FROM part), tk AS (SELECT key, list_distinct(string_split(lower(key), '')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type) || ' ' || p_name || ' ' || lower(p_brand), '')) AS q FROM part) SELECT id, key, round(s, 9) AS similarity FROM (SELECT id, key, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.6) WHERE k = 1")
+def _(spark, d):
+    """Nearest modes under another tokenizer than the library's own: single characters."""
+    q, modes = asked(spark, d)
+    return M.nearest_mode(q, modes, 0.6, lambda c: F.split(F.lower(c), "")).withColumn("similarity", F.round("similarity", 9))
+
+
 @query("g7_document_frequency", "WITH w AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS token FROM w) SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM w) + 1) / (count(*) + 1)) + 1, 9) AS idf FROM t GROUP BY token")
 def _(spark, d):
     w = logical(spark, d, "part").select("p_name").distinct().select(T.tokens(F.col("p_name")).alias("tokens"))
@@ -189,6 +196,13 @@ def _(spark, d):
     return M.rank_causes(M.causes(found(spark, d))).select("cause_id", "label")
 
 
+@query("n4_cause_ranker", with_tables(f"@{RANKED} SELECT scope_equipment, mode, text, row_number() OVER (PARTITION BY scope_equipment, mode ORDER BY records DESC, length(label), text) AS rank FROM rk"))
+def _(spark, d):
+    """Causes ranked by another rule: most records first, then the shortest label."""
+    found_causes = M.causes(found(spark, d))
+    return M.rank_causes(found_causes, [F.desc("records"), F.char_length("label")]).select("scope_equipment", "mode", "text", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("g13_support_breakdown", with_tables(f"@{EVID}, {LONG} SELECT scope_equipment, mode, text, CAST(max(weight) FILTER (category = 'same_equipment') AS DOUBLE) AS same_equipment, CAST(max(weight) FILTER (category = 'same_type') AS DOUBLE) AS same_type, CAST(max(weight) FILTER (category = 'same_class') AS DOUBLE) AS same_class FROM lg GROUP BY ALL"))
 def _(spark, d):
     return M.causes(found(spark, d)).select("scope_equipment", "mode", "text", *[F.col(c).cast("double").alias(c) for c in ("same_equipment", "same_type", "same_class")])

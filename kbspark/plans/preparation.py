@@ -12,7 +12,7 @@ from kbspark.operators import batches as L
 from kbspark.operators import chunking as D
 from kbspark.operators import corpus as C
 from kbspark.operators import mining as M
-from kbspark.operators.graph import shared_folder
+from kbspark.operators.graph import numbered, shared_folder
 from kbspark.plans.projections import logical, with_tables
 from kbspark.plans.registry import query
 from kbspark.sources import records as R
@@ -49,9 +49,11 @@ def _(spark, d):
     return R.input_report(r, ["mode_text"], "rid")
 
 
-@query("a7_schema_report")
+@query("a7_schema_report", "SELECT 'code' AS name, 's_suppkey' AS header, 'mapped' AS finding, count(s_suppkey) AS filled FROM supplier UNION ALL SELECT 'name', 's_name', 'mapped', count(*) FILTER (trim(s_name) <> '') FROM supplier UNION ALL SELECT 'maker', NULL, 'missing_optional', 0 UNION ALL SELECT 's_nationkey', 's_nationkey', 'unmapped', count(s_nationkey) FROM supplier UNION ALL SELECT 'note', 'note', 'unmapped', count(*) FILTER (s_suppkey % 4 > 1) FROM supplier UNION ALL SELECT 's_acctbal', 's_acctbal', 'unmapped', count(s_acctbal) FROM supplier")
 def _(spark, d):
-    return R.schema_report(spark, logical(spark, d, "supplier").columns, ALIASES, ["code", "name"])
+    odd = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("x"), F.lit("y")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = logical(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", odd.alias("note"))
+    return R.schema_report(rows, ALIASES, ["code", "name"])
 
 
 @query("a8_multi_report_union", "WITH a AS (SELECT 'customers' AS report, row_number() OVER (ORDER BY c_custkey) AS r FROM customer), b AS (SELECT 'suppliers' AS report, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier) SELECT report, min(r) AS first_row, max(r) AS last_row, count(*) AS row_count FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY report")
@@ -250,11 +252,17 @@ def _(spark, d):
     return L.validate_packages(logical(spark, d, "record").select("record_id", F.array(i).alias("ids"), out.alias("output"))).select("record_id", "error")
 
 
-@query("l10_guide_validation", with_tables("SELECT record_id, CASE record_id % 3 WHEN 0 THEN 'missing ## Steps' WHEN 1 THEN 'unknown x' END AS error FROM record"))
+# each of three sections is missing in some guides, alone or with others, and up to three references lead outside
+MISSING_SQL = "list_filter([CASE WHEN record_id % 2 = 1 THEN '## Causes' END, CASE WHEN record_id % 6 < 2 THEN '## Steps' END, CASE WHEN record_id % 5 = 2 THEN '## Safety' END], lambda x: x IS NOT NULL)"
+
+
+@query("l10_guide_validation", with_tables(f"SELECT record_id, CASE WHEN len({MISSING_SQL}) > 0 THEN 'missing ' || array_to_string({MISSING_SQL}, ',') WHEN record_id % 4 > 0 THEN 'unknown ' || array_to_string(list_transform(range(0, record_id % 4), lambda i: 'x' || CAST(i AS VARCHAR)), ',') END AS error FROM record"))
 def _(spark, d):
-    i, m = F.col("record_id").cast("string"), F.col("record_id") % 3
-    g = F.when(m == 0, "## Causes").when(m == 1, "## Causes [rec:x] ## Steps").otherwise(F.concat(F.lit("## Causes ## Steps [rec:"), i, F.lit("]")))
-    return L.validate_guides(logical(spark, d, "record").select("record_id", F.array(i).alias("ids"), g.alias("guide")), ["## Causes", "## Steps"]).select("record_id", "error")
+    n, i = F.col("record_id"), F.col("record_id").cast("string")
+    strange = F.array_join(F.reverse(F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: k < n % 4), lambda k: F.concat(F.lit(" [rec:x"), k.cast("string"), F.lit("]")))), "")
+    part = lambda when, title: F.when(~when, F.lit(f"{title}\n")).otherwise(F.lit(""))
+    g = F.concat(part(n % 2 == 1, "## Causes"), F.lit("by [rec:"), i, F.lit("]"), strange, F.lit("\n"), part(n % 6 < 2, "## Steps"), part(n % 5 == 2, "## Safety"))
+    return L.validate_guides(logical(spark, d, "record").select("record_id", F.array(i).alias("ids"), g.alias("guide")), ["## Causes", "## Steps", "## Safety"]).select("record_id", "error")
 
 
 @query("l11_eligibility", with_tables("SELECT equipment AS scope, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS ids FROM record WHERE equipment NOT IN (SELECT equipment FROM record WHERE record_id % 97 = 0) AND equipment % 5 <> 0 GROUP BY equipment"))
@@ -292,10 +300,21 @@ def _(spark, d):
     return g.select("notebook_id", F.md5(F.array_join(F.col("b.b"), "\n\n")).alias("text_md5"))
 
 
-@query("l3_budgeted_context")
+def est_sql(x: str) -> str:
+    return f"CAST(floor(len(regexp_extract_all({x}, '\\S+')) * 13 / 10) AS BIGINT)"
+
+
+# a source has two insights at most, so the rule for each is written out
+L3_SQL = f"""@kid AS (SELECT source_id, max(content) FILTER (id % 10 = 1) AS c1, max(content) FILTER (id % 10 = 2) AS c2 FROM insight GROUP BY source_id),
+    s0 AS (SELECT s.id, CASE WHEN {est_sql('s.full_text')} > 800 THEN array_to_string(regexp_extract_all(s.full_text, '\\S+')[1:492], ' ') || ' [cut]' ELSE s.full_text END AS t, kid.c1, kid.c2 FROM source s LEFT JOIN kid ON kid.source_id = s.id),
+    s1 AS (SELECT *, {est_sql('t')} AS u0, {est_sql('c1')} AS n1, {est_sql('c2')} AS n2 FROM s0), s2 AS (SELECT *, c1 IS NOT NULL AND u0 + n1 <= 800 AS k1 FROM s1), s3 AS (SELECT *, c2 IS NOT NULL AND u0 + CASE WHEN k1 THEN n1 ELSE 0 END + n2 <= 800 AS k2 FROM s2)
+    SELECT id, md5(t || CASE WHEN k1 THEN chr(10) || chr(10) || c1 ELSE '' END || CASE WHEN k2 THEN chr(10) || chr(10) || c2 ELSE '' END) AS context, u0 + CASE WHEN k1 THEN n1 ELSE 0 END + CASE WHEN k2 THEN n2 ELSE 0 END AS tokens FROM s3"""
+
+
+@query("l3_budgeted_context", with_tables(L3_SQL))
 def _(spark, d):
     s = C.with_children(logical(spark, d, "source").select("id", "full_text"), logical(spark, d, "insight").withColumnRenamed("id", "iid"), "source_id", ["iid", "content"], "kids")
-    return L.budgeted_context(s.select("id", "full_text", F.col("kids.content").alias("insights")), 800)
+    return L.budgeted_context(s.select("id", "full_text", F.col("kids.content").alias("insights")), 800).select("id", F.md5("context").alias("context"), F.col("tokens").cast("bigint").alias("tokens"))
 
 
 @query("l4_render_context", with_tables("SELECT id, '# ' || title || chr(10) || 'Language: ' || lang || chr(10) || substr(full_text, 1, 50) AS rendered FROM source"))
@@ -311,9 +330,13 @@ def _(spark, d):
     return s.join(hit, ["equipment", "failure_mode"]).select("equipment", "failure_mode", F.size("ids").cast("bigint").alias("records"))
 
 
-@query("c20_table_preview", "SELECT page_id, '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' AS preview FROM pages")
+# a table of no to eight rows between two texts, none in some pages, a second one in others
+@query("c20_table_preview", "SELECT page_id, CASE WHEN page_id % 10 = 9 THEN '' ELSE '| a | b' || CAST(page_id AS VARCHAR) || ' |' || chr(10) || '|---|---|' || coalesce(array_to_string(list_transform(range(0, least(5, page_id % 9)), lambda i: chr(10) || '| ' || CAST(i AS VARCHAR) || ' | x |'), ''), '') END AS preview FROM pages")
 def _(spark, d):
-    t = F.concat(F.col("url"), F.lit("\n| a | b |\n|---|---|\n| 1 | 2 |\n\nend"))
+    i = F.col("page_id")
+    rows = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(8)), lambda k: k < i % 9), lambda k: F.concat(F.lit("\n| "), k.cast("string"), F.lit(" | x |"))), "")
+    first = F.concat(F.lit("\n| a | b"), i.cast("string"), F.lit(" |\n|---|---|"), rows)
+    t = F.concat(F.col("url"), F.when(i % 10 == 9, "").otherwise(first), F.lit("\n\nend"), F.when((i % 4 == 0) & (i % 10 != 9), "\n| second |\n|---|\n").otherwise(""))
     return logical(spark, d, "pages").select("page_id", L.table_preview(t).alias("preview"))
 
 
@@ -397,9 +420,37 @@ def _(spark, d):
     return drained(J.one_live_job(log), "append")
 
 
-@query("m1_incremental_chunks")
+def measures(texts):
+    """A model whose vectors can be checked: characters, words, one."""
+    return [[float(len(t)), float(len(t.split())), 1.0] for t in texts]
+
+
+@query("n1_embedding_provider", "SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS words FROM conversations")
+def _(spark, d):
+    e = D.embed(logical(spark, d, "conversations").select("conv_id", "turn", "text"), "text", measures, 7)
+    return e.select("conv_id", "turn", F.col("embedding")[0].alias("chars"), F.col("embedding")[1].alias("words"))
+
+
+@query("b6_dynamic_order", with_tables("SELECT id, row_number() OVER (ORDER BY lang DESC, title ASC, id DESC) AS place FROM source"))
+def _(spark, d):
+    order = C.ordering("lang desc, title, id DESC", ["id", "title", "lang"])
+    return numbered(logical(spark, d, "source").select("id", "title", "lang"), order, "place").select("id", "place")
+
+
+# a tenth of the documents turns blank in a second run, another tenth is written anew
+M1_SQL = f"SELECT doc_id AS source_id, CASE WHEN {est_sql('t')} <= 400 THEN md5(trim(t)) END AS whole, CASE WHEN {est_sql('t')} <= 400 THEN CAST(length(trim(t)) AS DOUBLE) END AS chars FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'rewritten ' || substr(text, 1, 300) WHEN doc_id % 10 <> 0 THEN text END AS t FROM documents) WHERE regexp_matches(t, '\\S') GROUP BY ALL"
+
+
+@query("m1_incremental_chunks", M1_SQL)
 def _(spark, d):
+    """Chunks with vectors of all documents, then of those that changed; long documents have several, of which only the source is compared."""
     folder = shared(spark)
     docs = stream(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
-    J.incremental_chunks(docs, lambda b: D.chunk(b, "source_id", "text"), f"{folder}/chunks", f"{folder}/checkpoint").awaitTermination()
-    return J.latest_chunks(spark, f"{folder}/chunks")
+    made = lambda b: D.embed(D.chunk(b, "source_id", "text"), "content", measures)
+    J.incremental_chunks(docs, made, folder, f"{folder}/checkpoint-0").awaitTermination()
+    last = spark.read.parquet(f"{folder}/seen").agg(F.max("batch")).first()[0]
+    changed = docs.where("source_id % 10 < 2").withColumn("text", F.when(F.col("source_id") % 10 == 1, F.concat(F.lit("rewritten "), F.substring("text", 1, 300))))
+    J.incremental_chunks(changed, made, folder, f"{folder}/checkpoint-1", last).awaitTermination()
+    c = J.latest_chunks(spark, folder).groupBy("source_id").agg(F.count("*").alias("n"), F.max("content").alias("content"), F.max(F.col("embedding")[0]).alias("chars"))
+    small = T.word_estimate(F.col("content")) <= D.SIZE
+    return c.select("source_id", F.when((F.col("n") == 1) & small, F.md5("content")).alias("whole"), F.when((F.col("n") == 1) & small, F.col("chars")).alias("chars"))

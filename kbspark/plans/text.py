@@ -116,10 +116,16 @@ def _(spark, d):
     return logical(spark, d, "documents").select("doc_id", T.markdown_score(t).cast("double").alias("score"))
 
 
-@query("c16_content_type", "SELECT doc_id, 'plain' AS kind FROM documents UNION ALL SELECT page_id AS doc_id, CASE WHEN score > 0.3 THEN 'html' ELSE 'plain' END AS kind FROM (SELECT page_id, " + HTML_SQL + ")")
+# pages under names that say nothing, plain, Markdown or an unknown type; documents written as in c15, one of eight as a page
+@query("c16_content_type", "SELECT doc_id * 2 AS id, CASE WHEN doc_id % 8 = 5 THEN 'html' WHEN score > 0.2 THEN 'markdown' ELSE 'plain' END AS kind FROM (" + MD_SQL + ") UNION ALL SELECT page_id * 2 + 1, CASE WHEN page_id % 4 = 1 THEN 'markdown' WHEN page_id % 4 = 0 THEN CASE WHEN score >= 0.8 THEN 'html' ELSE 'plain' END WHEN score > 0.3 THEN 'html' ELSE 'plain' END FROM (SELECT page_id, " + HTML_SQL + ")")
 def _(spark, d):
-    docs, pages = logical(spark, d, "documents"), logical(spark, d, "pages")
-    return docs.select("doc_id", T.content_type(F.col("text"), F.lit("a.txt")).alias("kind")).unionByName(pages.select(F.col("page_id").alias("doc_id"), T.content_type(F.col("html")).alias("kind")))
+    m = F.col("doc_id") % 3
+    t = F.when(m == 0, F.concat(F.lit("# "), F.col("text"))).when(m == 1, F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))).otherwise(F.concat(F.lit("> "), F.col("text")))
+    t = F.when(F.col("doc_id") % 8 == 5, F.concat(F.lit("<!doctype html><html><body><h1>x</h1>"), F.col("text"))).otherwise(t)
+    docs = logical(spark, d, "documents").select((F.col("doc_id") * 2).alias("id"), T.content_type(t).alias("kind"))
+    n = F.col("page_id") % 4
+    path = F.when(n == 0, "a.txt").when(n == 1, "dir/b.MD").when(n == 3, "c.unknown")
+    return docs.unionByName(logical(spark, d, "pages").select((F.col("page_id") * 2 + 1).alias("id"), T.content_type(F.col("html"), path).alias("kind")))
 
 
 @query("c17_error_class", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'authentication' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'configuration' WHEN 3 THEN 'network' WHEN 4 THEN 'context_length' ELSE 'external_service' END AS kind FROM events WHERE event_type = 'error'")
@@ -129,20 +135,26 @@ def _(spark, d):
     return logical(spark, d, "events").where("event_type = 'error'").select("event_id", T.error_class(message).alias("kind"))
 
 
-@query("c18_citations", "SELECT doc_id, CAST(0 AS BIGINT) AS pos, 'source:' || CAST(doc_id AS VARCHAR) AS ref FROM documents UNION ALL SELECT doc_id, CAST(1 AS BIGINT), 'source_insight:' || CAST(doc_id + 1 AS VARCHAR) FROM documents UNION ALL SELECT doc_id, CAST(2 AS BIGINT), 'source:' || CAST(doc_id AS VARCHAR) FROM documents")
+# from no to six references a text, of all kinds, some of them twice, in front of the whole document
+REFS_SQL = "SELECT doc_id, list_transform(range(1, doc_id % 7 + 1), lambda i: CASE (doc_id + i) % 4 WHEN 0 THEN 'source:' WHEN 1 THEN 'note:' ELSE 'source_insight:' END || CAST((doc_id * i) % 5 AS VARCHAR)) AS r FROM documents"
+FIRST_SQL = "len(list_filter(range(1, {0} + 1), lambda j: list_position(r, r[j]) = j))"
+
+
+def cited():
+    kind = lambda i: F.element_at(F.array(*map(F.lit, ["source:", "note:", "insight:", "source_insight:"])), ((F.col("doc_id") + i) % 4 + 1).cast("int"))
+    refs = F.transform(F.when(F.col("doc_id") % 7 > 0, F.sequence(F.lit(1), (F.col("doc_id") % 7).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("as ["), kind(i), ((F.col("doc_id") * i) % 5).cast("string"), F.lit("] says")))
+    return F.concat_ws("\n", F.array_join(refs, ", "), F.regexp_replace("text", "(source|note|insight):", "$1 "))
+
+
+@query("c18_citations", f"SELECT doc_id, unnest(range(0, len(r))) AS pos, unnest(r) AS ref FROM ({REFS_SQL})")
 def _(spark, d):
     return logical(spark, d, "documents").select("doc_id", F.posexplode(T.citations(cited()))).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("col").alias("ref"))
 
 
-@query("c19_citation_numbers", "SELECT doc_id, 'see [1], [2] and [1]' AS numbered, 'source:' || CAST(doc_id AS VARCHAR) || ',source_insight:' || CAST(doc_id + 1 AS VARCHAR) AS refs FROM documents")
+@query("c19_citation_numbers", f"SELECT doc_id, array_to_string(list_transform(range(1, len(r) + 1), lambda i: 'as [' || {FIRST_SQL.format('list_position(r, r[i])')} || '] says'), ', ') AS numbered, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS refs FROM ({REFS_SQL})")
 def _(spark, d):
     done, refs = T.numbered_citations(F.col("cited"))
-    return logical(spark, d, "documents").withColumn("cited", cited()).select("doc_id", done.alias("numbered"), F.array_join(refs, ",").alias("refs"))
-
-
-def cited():
-    i = F.col("doc_id")
-    return F.concat(F.lit("see [source:"), i.cast("string"), F.lit("], [insight:"), (i + 1).cast("string"), F.lit("] and [source:"), i.cast("string"), F.lit("]"))
+    return logical(spark, d, "documents").withColumn("cited", cited()).select("doc_id", F.substring_index(done, "\n", 1).alias("numbered"), F.array_join(refs, ",").alias("refs"))
 
 
 @query("c22_digest_ids", with_tables("SELECT record_id, substr(sha1(CAST(equipment AS VARCHAR) || chr(0) || coalesce(mode_text, '')), 1, 8) AS scope_id FROM record"))

@@ -33,12 +33,15 @@ def map_columns(rows: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return rows.select(*[F.col(f"`{got[f]}`").alias(f) if f in got else F.lit(None).cast("string").alias(f) for f in aliases], extra.alias("extra"))
 
 
-def schema_report(spark: SparkSession, headers: list[str], aliases: dict[str, list[str]], required: list[str]) -> DataFrame:
-    """name, finding: required fields without a header, optional ones, and headers that map to nothing."""
-    got = resolve(headers, aliases)
-    rows = [(f, "missing_required" if f in required else "missing_optional") for f in aliases if f not in got]
-    rows += [(h, "unmapped") for h in headers if h not in got.values()]
-    return spark.createDataFrame(rows, "name string, finding string")
+def schema_report(rows: DataFrame, aliases: dict[str, list[str]], required: list[str]) -> DataFrame:
+    """name, header, finding, filled: fields with their header (mapped, or missing_required, missing_optional without one) and headers that map to nothing (unmapped), each with how many rows hold a value that is neither blank nor a placeholder. One pass counts all headers."""
+    got = resolve(rows.columns, aliases)
+    found = [(f, got.get(f), "mapped" if f in got else "missing_required" if f in required else "missing_optional") for f in aliases]
+    found += [(h, h, "unmapped") for h in rows.columns if h not in got.values()]
+    value = lambda h: placeholder_to_null(F.col(f"`{h}`").cast("string"))
+    counts = rows.agg(*[F.count_if(F.coalesce(F.trim(value(h)), F.lit("")) != "").alias(f"_{i}") for i, (_, h, _) in enumerate(found) if h])
+    made = [F.struct(F.lit(n).alias("name"), F.lit(h).cast("string").alias("header"), F.lit(w).alias("finding"), (F.col(f"_{i}") if h else F.lit(0)).cast("bigint").alias("filled")) for i, (n, h, w) in enumerate(found)]
+    return counts.select(F.explode(F.array(*made)).alias("x")).select("x.*")
 
 
 def record_id(prefix: Column, number: Column, sheet: Column, row: Column) -> Column:

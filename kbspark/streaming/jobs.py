@@ -12,19 +12,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LEASE = "1800 seconds"
 
 
-def incremental_chunks(sources: DataFrame, chunker: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str):
-    """Chunks of new or changed sources, one folder per micro-batch number, so a repeated batch replaces itself."""
+def incremental_chunks(sources: DataFrame, chunker: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, after: int = -1, key: str = "source_id"):
+    """Chunks (and whatever chunker adds to them, vectors for one) of new or changed sources.
+
+    Each micro-batch writes what it made and which sources it saw under its own
+    number, counted on from `after`, so a repeated batch replaces itself. A
+    source whose text has turned blank, or null as for a deleted one, is seen
+    without chunks.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunker(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.select(key).distinct().write.mode("overwrite").parquet(f"{folder}/seen/batch={after + 1 + number}")
+        chunker(batch).write.mode("overwrite").parquet(f"{folder}/chunks/batch={after + 1 + number}")
 
     return sources.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_chunks(spark, folder: str, key: str = "source_id") -> DataFrame:
-    """Chunks of each source's last micro-batch."""
-    c = spark.read.parquet(folder)
-    return c.join(c.groupBy(key).agg(F.max("batch").alias("batch")), [key, "batch"]).drop("batch")
+    """Chunks of the last micro-batch that saw their source: none for a source that was blank in it."""
+    last = spark.read.parquet(f"{folder}/seen").groupBy(key).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/chunks").join(last, [key, "batch"]).drop("batch")
 
 
 def activity_sessions(log: DataFrame, late: str = "10 minutes", lease: str = LEASE) -> DataFrame:
@@ -45,8 +52,8 @@ def one_live_job(submissions: DataFrame, late: str = "10 minutes", lease_ms: int
             state.remove()
             return
         until = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
+        # Arrow cuts a source's rows of a micro-batch anywhere: they are put in order as a whole, three numbers each
+        for pdf in [pd.concat(list(batches)).sort_values(["ts", "event_id"])]:
             out = []
             for event, ts, kind in zip(pdf["event_id"], pdf["ts"], pdf["kind"]):
                 now = int(ts.value // 1_000_000)
