@@ -34,17 +34,20 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space as one blank, trimmed; single blanks are not touched."""
+    return F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def normalize(c: Column, letters: bool = True, marks: bool = True, digits: bool = True, spaces: bool = True) -> Column:
     """Fold letters and digits, drop marks, collapse white space; null gives the empty text."""
-    out = F.coalesce(c, F.lit(""))
+    plain = folded = F.coalesce(c, F.lit(""))
     if letters or digits:
         keep = [(a, b) for a, b in zip(FOLD_FROM, FOLD_TO) if (digits if b.isdigit() else letters)]
-        out = F.translate(out, "".join(a for a, _ in keep), "".join(b for _, b in keep))
+        folded = F.translate(folded, "".join(a for a, _ in keep), "".join(b for _, b in keep))
     if marks:
-        out = F.regexp_replace(out, MARKS, "")
+        folded = F.regexp_replace(folded, MARKS, "")
+    # all folds and marks are of one block of letters, which most texts do not hold
+    out = F.when(plain.rlike("[\\u0600-\\u06FF]"), folded).otherwise(plain)
     return collapse(out) if spaces else out
 
 

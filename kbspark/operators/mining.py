@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,6 +52,8 @@ DONE, NOT_DONE, NOT_DONE_PAIRS = "انجام", ["نمیشد", "نشد"], ["نم
 REPLACE_WORD, ADJUST_WORDS = "تعویض", ["تنظیم", "رگلاژ"]
 INSTRUCTION = ["در صورت عدم ", "، ", " بررسی و در صورت لزوم ", " گردد."]
 SHORT = 10
+#: Terms that are looked for before sentences are taken apart.
+MOST_TERMS = 500
 LEX_SHARE, TECH_SHARE, LEAST_SCORE, LEAST_LEX = 0.7, 0.3, 0.55, 0.35
 
 
@@ -390,19 +393,20 @@ def said_causes() -> Column:
 
 
 def sentence_rows(records: DataFrame) -> DataFrame:
-    """record_id, equipment, mode, said (the record's causes), pos, original, sentence (normalized), text (lower case), again (said before in the record), category: one row per sentence of repair_text, records without a mode left out.
+    """record_id, equipment, mode, said (the record's causes), pos, original, text (normalized, in lower case), again (said before in the record), category: one row per sentence of repair_text, records without a mode left out.
 
     One pass without a shuffle, written once: a record's sentences are taken
     apart and compared where it lies.
     """
-    s = records.where("mode is not null").select("record_id", "equipment", "mode", said_causes().alias("said"), T.sentences(F.col("repair_text")).alias("originals"))
-    s = s.withColumn("normal", F.transform("originals", lambda x: T.normalize(x))).withColumn("texts", F.transform("normal", lambda x: F.lower(x)))
-    s = s.select("record_id", "equipment", "mode", "said", "texts", F.posexplode(F.arrays_zip("originals", "normal", "texts")).alias("pos", "x"))
-    s = s.select("record_id", "equipment", "mode", "said", "pos", F.col("x.originals").alias("original"), F.col("x.normal").alias("sentence"), F.col("x.texts").alias("text"), (F.array_position("texts", F.col("x.texts")) <= F.col("pos")).alias("again"))
-    return written(s.where("sentence <> ''").withColumn("category", F.get(match_categories(F.col("sentence")), 0)), "sentences")
+    part = lambda x, i: F.struct(F.lower(T.normalize(x)).alias("text"), i.alias("pos"), x.alias("original"))
+    # in order of texts a text that was said before stands behind its like
+    marked = bound(F.sort_array(F.transform(T.sentences(F.col("repair_text")), part)), lambda p: F.transform(p, lambda x, i: x.withField("again", (i > 0) & F.coalesce(F.get(p, i - 1)["text"] == x["text"], F.lit(False)))))
+    s = records.where("mode is not null").select("record_id", "equipment", "mode", said_causes().alias("said"), F.explode(marked).alias("x"))
+    s = s.select("record_id", "equipment", "mode", "said", F.col("x.pos").cast("int").alias("pos"), "x.original", "x.text", "x.again").where("text <> ''")
+    return written(s.withColumn("category", F.get(match_categories(F.col("text")), 0)), "sentences")
 
 
-def admitted(sentences: DataFrame, records: DataFrame, trees: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def admitted(sentences: DataFrame, trees: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """The sentences that can be actions: closures are history, and a sentence under SHORT characters needs a known term.
 
     Known are the terms of the equipment's own tree, the words of the aliases,
@@ -410,16 +414,20 @@ def admitted(sentences: DataFrame, records: DataFrame, trees: DataFrame, aliases
     more in its repair texts. trees: code, t1 to t5. Only short sentences are
     shuffled; the others pass.
     """
-    s = sentences.where(~F.col("sentence").isin(CLOSURES))
-    little = F.char_length("sentence") < SHORT
+    s = sentences.where(~F.col("text").isin(CLOSURES))
+    little = F.char_length("text") < SHORT
     short = s.where(little).withColumn("term", F.explode(F.array_distinct(T.tokens(F.col("text")))))
     names = F.flatten(F.array(*[T.tokens(T.normalize(F.col(c))) for c in ("t1", "t2", "t3", "t4", "t5")]))
     tree = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"), F.explode(F.array_distinct(names)).alias("term")).distinct()
     maker = trees.select(F.col("code").alias("equipment"), F.coalesce("t4", F.lit("")).alias("maker"))
     key = short.join(maker, "equipment", "left")
-    # only a term of a short sentence that stands in its maker's trees can be induced, so only those are counted in the texts
+    # only a term of a short sentence that stands in its maker's trees can be induced, so only those are counted in the sentences
     asked = written(key.select("maker", "term").distinct().join(tree.select("maker", "term").distinct(), ["maker", "term"], "left_semi"), "asked")
-    said = records.join(maker, "equipment").select("maker", F.explode(T.tokens(T.normalize(F.col("repair_text")))).alias("term"))
+    holding = sentences
+    few = asked.select("term").distinct().limit(MOST_TERMS + 1).collect()
+    if len(few) <= MOST_TERMS:  # sentences that hold none of so few terms are not taken apart
+        holding = holding.where(F.col("text").rlike("|".join(re.escape(x["term"]) for x in few)) if few else F.lit(False))
+    said = holding.select("equipment", "text").join(maker, "equipment").select("maker", F.explode(T.tokens(F.col("text"))).alias("term"))
     induced = said.join(asked, ["maker", "term"]).groupBy("maker", "term").agg(F.count("*").alias("n")).where("n >= 2")
     words = sorted({w for kv in (aliases or {}).items() for x in kv for w in x.split()})
     by_tree = key.join(tree.select("equipment", "term"), ["equipment", "term"], "left_semi")
@@ -438,11 +446,11 @@ def with_roles(sentences: DataFrame) -> DataFrame:
     return s.where(~tests).unionByName(met.select(s.columns))
 
 
-def actions(sentences: DataFrame) -> DataFrame:
+def actions(sentences: DataFrame, with_causes: bool = True) -> DataFrame:
     """equipment, mode, text, frequency, exemplar, category, role, said (the causes of its records), n, action_id of repeated sentences; a test or measurement after a corrective sentence of the same record is a verification.
 
     sentences: admitted rows of sentence_rows. said holds a scope's causes at
-    most, each once.
+    most, each once; without with_causes it is left out.
     """
     g = with_roles(sentences).groupBy("equipment", "mode", "text").agg(
         F.count_if(~F.col("again")).alias("frequency"),
@@ -450,17 +458,17 @@ def actions(sentences: DataFrame) -> DataFrame:
         F.max("category").alias("category"),  # the text decides it
         F.count_if(F.col("role") == "verification").alias("after"),
         F.count("*").alias("every"),
-        F.array_distinct(F.flatten(F.collect_set("said"))).alias("said"),
+        *[F.array_distinct(F.flatten(F.collect_set("said"))).alias("said")] * with_causes,
     )
     role = F.when(F.col("after") * 2 > F.col("every"), "verification").otherwise(role_of(F.col("category")))
-    g = g.select("equipment", "mode", "text", "frequency", F.col("least.original").alias("exemplar"), "category", role.alias("role"), "said")
+    g = g.select("equipment", "mode", "text", "frequency", F.col("least.original").alias("exemplar"), "category", role.alias("role"), *["said"] * with_causes)
     w = Window.partitionBy("equipment", "mode").orderBy(F.desc("frequency"), "exemplar", "text")
     return g.withColumn("n", F.row_number().over(w)).withColumn("action_id", F.concat_ws("-", F.lit("action"), F.col("equipment").cast("string"), F.col("mode"), F.format_string("%03d", "n")))
 
 
 def number_marks(sentences: DataFrame, acts: DataFrame) -> DataFrame:
     """mark_id, kind, type, record_id, equipment, mode, original, action_id: verifications and events numbered per scope and kind, those that stand alone first, then linked ones with their action."""
-    m = sentences.withColumn("m", F.explode(history_marks(F.col("sentence"), F.col("category")))).select("record_id", "equipment", "mode", "pos", "original", "text", "m.*")
+    m = sentences.withColumn("m", F.explode(history_marks(F.col("text"), F.col("category")))).select("record_id", "equipment", "mode", "pos", "original", "text", "m.*")
     w = Window.partitionBy("equipment", "mode", "kind").orderBy("linked", "record_id", "pos", "type")
     m = m.withColumn("n", F.row_number().over(w)).join(acts.select("equipment", "mode", "text", F.lit(True).alias("linked"), "action_id"), ["equipment", "mode", "text", "linked"], "left")
     short = F.when(F.col("kind") == "event", "evt").otherwise("ver")

@@ -37,8 +37,8 @@ def sentences(spark, d):
     return M.sentence_rows(records(spark, d))
 
 
-def acts(spark, d, kept=None):
-    return M.actions(M.admitted(sentences(spark, d) if kept is None else kept, records(spark, d).where("mode is not null"), logical(spark, d, "equipment")))
+def acts(spark, d, kept=None, with_causes=False):
+    return M.actions(M.admitted(sentences(spark, d) if kept is None else kept, logical(spark, d, "equipment")), with_causes)
 
 
 @query("g6_consensus", with_tables("@m AS (SELECT equipment, cause, count(*) AS n FROM record WHERE trim(cause) <> '' GROUP BY ALL) SELECT e.equipment, m.cause FROM (SELECT DISTINCT equipment FROM record) e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY equipment ORDER BY n DESC, cause) AS k FROM m) m ON m.equipment = e.equipment AND k = 1"))
@@ -266,22 +266,22 @@ MARK = f"""mk AS (SELECT record_id, equipment, mode, pos, original, sentence, CA
 @query("c23_keyword_categories", with_tables(f"@{SENT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, array_to_string(kinds, ',') AS categories FROM sn WHERE len(kinds) > 0"))
 def _(spark, d):
     s = sentences(spark, d).where("category is not null")
-    return s.select("record_id", "pos", F.array_join(M.match_categories(F.col("sentence")), ",").alias("categories"))
+    return s.select("record_id", "pos", F.array_join(M.match_categories(F.col("text")), ",").alias("categories"))
 
 
 @query("c24_guide_instruction", with_tables(f"@{SENT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, '{M.INSTRUCTION[0]}' || 'تعویض بلبرینگ' || '{M.INSTRUCTION[1]}' || 'سنسور' || '{M.INSTRUCTION[2]}' || 'تنظیم' || '{M.INSTRUCTION[3]}' AS instruction FROM sn WHERE kinds[1] = 'replace' AND list_contains(kinds, 'adjust') AND contains(sentence, '{M.TEST_HANDOVER_INSIDE}') AND contains(line, ' انجام ') AND regexp_matches(line, ' نشد | نمیشد | نمی شد ')"))
 def _(spark, d):
-    return sentences(spark, d).where("category = 'replace'").select("record_id", "pos", M.guide_instruction(F.col("sentence")).alias("instruction")).where("instruction is not null")
+    return sentences(spark, d).where("category = 'replace'").select("record_id", "pos", M.guide_instruction(F.col("text")).alias("instruction")).where("instruction is not null")
 
 
 @query("c25_verification_marks", with_tables(f"@{SENT}, {MARK} SELECT record_id, CAST(pos - 1 AS INT) AS pos, split_part(m, ',', 1) AS kind, split_part(m, ',', 2) AS type, split_part(m, ',', 3) = 'true' AS linked FROM mk"))
 def _(spark, d):
-    return sentences(spark, d).select("record_id", "pos", F.explode(M.history_marks(F.col("sentence"), F.col("category"))).alias("m")).select("record_id", "pos", "m.*")
+    return sentences(spark, d).select("record_id", "pos", F.explode(M.history_marks(F.col("text"), F.col("category"))).alias("m")).select("record_id", "pos", "m.*")
 
 
 NAMES = "list_distinct(" + " || ".join(tok(f"coalesce({c}, '')") for c in ("t1", "t2", "t3", "t4", "t5")) + ")"
 ADMIT = f"""{SENT}, tr AS (SELECT code AS equipment, coalesce(t4, '') AS maker, unnest({NAMES}) AS term FROM equipment), mt AS (SELECT DISTINCT maker, term FROM tr),
-    ma AS (SELECT code AS equipment, coalesce(t4, '') AS maker FROM equipment), sd AS (SELECT maker, unnest({tok('repair_text')}) AS term FROM rec JOIN ma USING (equipment) WHERE mode IS NOT NULL),
+    ma AS (SELECT code AS equipment, coalesce(t4, '') AS maker FROM equipment), sd AS (SELECT maker, unnest(words) AS term FROM sn JOIN ma USING (equipment)),
     ind AS (SELECT maker, term FROM sd JOIN mt USING (maker, term) GROUP BY ALL HAVING count(*) >= 2),
     sh AS (SELECT record_id, equipment, pos, unnest({tok('lower(sentence)')}) AS term FROM sn WHERE length(sentence) < {M.SHORT}),
     kn AS (SELECT record_id, pos FROM sh JOIN tr USING (equipment, term) UNION SELECT record_id, pos FROM sh JOIN ma USING (equipment) JOIN ind USING (maker, term)),
@@ -293,8 +293,8 @@ LINK = f"{ACT}, ct AS (SELECT DISTINCT record_id, equipment, mode, unnest([lower
 
 @query("j4_short_sentences", with_tables(f"@{ADMIT} SELECT record_id, CAST(pos - 1 AS INT) AS pos, sentence FROM ad WHERE length(sentence) < {M.SHORT}"))
 def _(spark, d):
-    a = M.admitted(sentences(spark, d), records(spark, d).where("mode is not null"), logical(spark, d, "equipment"))
-    return a.where(F.char_length("sentence") < M.SHORT).select("record_id", "pos", "sentence")
+    a = M.admitted(sentences(spark, d), logical(spark, d, "equipment"))
+    return a.where(F.char_length("text") < M.SHORT).select("record_id", "pos", T.normalize(F.col("original")).alias("sentence"))
 
 
 @query("g19_repair_actions", with_tables(f"@{ACT} SELECT equipment, mode, text, frequency, exemplar, category FROM ac"))
@@ -319,7 +319,7 @@ def _(spark, d):
 
 @query("h3_running_flag", with_tables(f"@{ROLE} SELECT record_id, CAST(pos - 1 AS INT) AS pos, role FROM rv WHERE role = 'verification'"))
 def _(spark, d):
-    a = M.admitted(sentences(spark, d), records(spark, d).where("mode is not null"), logical(spark, d, "equipment"))
+    a = M.admitted(sentences(spark, d), logical(spark, d, "equipment"))
     return M.with_roles(a).where("role = 'verification'").select("record_id", "pos", "role")
 
 
@@ -357,7 +357,7 @@ def _(spark, d):
 def linked(spark, d, s=None):
     """Records, actions (written), and the links of causes to actions."""
     r = records(spark, d)
-    a = written(acts(spark, d, s), "actions")
+    a = written(acts(spark, d, s, True), "actions")
     return r, a, M.cause_actions(a)
 
 
