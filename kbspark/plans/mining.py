@@ -71,6 +71,9 @@ def _(spark, d):
 MODES_SQL = "md AS (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS key FROM part), tk AS (SELECT key, list_distinct(regexp_extract_all(key, '[\\p{L}\\p{N}]+')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_type) || ' ' || p_name || ' ' || lower(p_brand), '[\\p{L}\\p{N}]+')) AS q FROM part)"
 
 
+MODES_SQL_BLANKS = "WITH md AS (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS key FROM part), tk AS (SELECT key, list_distinct(string_split(key, ' ')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type) || ' ' || p_name || ' ' || lower(p_brand), ' ')) AS q FROM part) SELECT id, key, round(s, 9) AS similarity FROM (SELECT id, key, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.4) WHERE k = 1"
+
+
 def asked(spark, d):
     p = logical(spark, d, "part")
     modes = p.select(F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("key")).distinct().withColumn("text", F.col("key"))
@@ -82,11 +85,11 @@ def _(spark, d):
     return M.nearest_mode(*asked(spark, d)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("n3_tokenizer", "WITH md AS (SELECT DISTINCT p_name || ' ' || lower(p_brand) AS key FROM part), tk AS (SELECT key, list_distinct(string_split(lower(key), '')) AS m FROM md), qs AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_type) || ' ' || p_name || ' ' || lower(p_brand), '')) AS q FROM part) SELECT id, key, round(s, 9) AS similarity FROM (SELECT id, key, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, key) AS k FROM (SELECT id, key, len(list_intersect(q, m)) * 1.0 / (len(q) + len(m) - len(list_intersect(q, m))) AS s FROM qs, tk) WHERE s >= 0.6) WHERE k = 1")
+@query("n3_tokenizer", MODES_SQL_BLANKS)
 def _(spark, d):
-    """Nearest modes under another tokenizer than the library's own: single characters."""
+    """Nearest modes under another tokenizer than the library's own: whatever stands between blanks, as it is written."""
     q, modes = asked(spark, d)
-    return M.nearest_mode(q, modes, 0.6, lambda c: F.split(F.lower(c), "")).withColumn("similarity", F.round("similarity", 9))
+    return M.nearest_mode(q, modes, 0.4, lambda c: F.split(c, " ")).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("g7_document_frequency", "WITH w AS (SELECT DISTINCT p_name FROM part), t AS (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS token FROM w) SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM w) + 1) / (count(*) + 1)) + 1, 9) AS idf FROM t GROUP BY token")
