@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import WORD, materialize
 
-#: Words of a block, words of a shard, the seed of the order, and how often a document may be taken.
+#: Words of a block, words (or rows) of a shard, the seed of the order, and how often a document may be taken.
 BLOCK = 16
 SHARD = 1_000_000
 SEED = 7
@@ -45,7 +45,7 @@ def targets(sources: DataFrame) -> DataFrame:
     # the first source whose cap is not below its share at the level that is left gives the level of all behind it
     free = F.when(F.col("cap") >= level * F.col("weight"), level)
     x = x.withColumn("level", F.first(free, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return x.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    return x.select(*sources.columns, F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
 def apportion(parties: DataFrame, votes: str, seats: str, to: str, group: list[str], order: list[Column]) -> DataFrame:
@@ -83,8 +83,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     from. A null source is a source of its own, last in order. The order
     within a shard is by MD5 of doc_id and the seed, ties by doc_id and then
     size, so reruns agree; rows that repeat take blocks one after another.
-    A hot source is cut into shards of about SHARD words by the same digest,
-    so no window holds more than one shard.
+    A hot source is cut into shards of about SHARD words or rows, whichever
+    makes more, by the same digest, so no window holds more than one shard,
+    of a source of empty texts either.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     return mix_sizes(materialize(d, "mix-sizes"), seed)
@@ -92,8 +93,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mix_sizes(d: DataFrame, seed: int = SEED) -> DataFrame:
     """As mix(), from doc_id, source, size; further columns stay."""
-    per_source = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")))
-    per_source = per_source.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD), F.lit(1)).cast("long")).withColumn("seats", F.round(F.sum("source_size").over(Window.partitionBy()) / BLOCK).cast("long"))
+    per_source = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    per_source = per_source.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / SHARD), F.ceil(F.col("rows") / SHARD)).cast("long")).drop("rows").withColumn("seats", F.round(F.sum("source_size").over(Window.partitionBy()) / BLOCK).cast("long"))
     quota = apportion(per_source, "target", "seats", "quota", [], [F.col("source").asc_nulls_last()])
     drawn = F.md5(F.concat_ws(":", F.coalesce(F.col("d.doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
     x = d.alias("d").join(quota.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select("d.*", "source_size", "target", "shards", "quota", drawn.alias("drawn"))
@@ -131,7 +132,7 @@ SQL_OP10 = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS rows FROM d GROUP BY source
 ), w AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS cap FROM s
 ), r AS (
@@ -144,7 +145,7 @@ WITH d AS (
   SELECT arg_min(lv, cap / weight) FILTER (cap >= lv * weight) AS level FROM v
 ), t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), level * weight) AS target,
-         greatest(CAST(ceil(source_size / 1000000) AS BIGINT), 1) AS shards, CAST(round(total / 16) AS BIGINT) AS seats
+         greatest(CAST(ceil(source_size / 1000000) AS BIGINT), CAST(ceil(rows / 1000000) AS BIGINT)) AS shards, CAST(round(total / 16) AS BIGINT) AS seats
   FROM v, l
 ), f AS (
   SELECT *, CASE WHEN sum(target) OVER () > 0 THEN target / sum(target) OVER () * seats ELSE 0 END AS fair, count(*) OVER () AS n FROM t
