@@ -5,12 +5,15 @@ two line breaks, which is the writer's line separator. Of equal payloads of
 LEAST bytes or more the one of the smallest id is a response record and the
 others are revisits that refer to it. Read back, the archive is two tables: the
 exact record headers, and each payload once under its verified SHA-256.
-Records are put together again by a join of the two.
+Records are put together again by a join of the two. Files are dealt by bytes
+and read record by record, so neither long pages nor many make one large.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +27,12 @@ from kbspark.llm.common import shared_folder
 #: Payload bytes from which equal payloads are revisits.
 LEAST = 100
 
-#: Records of one file at most; a file is read by one task.
-RECORDS_PER_FILE = 4_000
+#: Bytes of one file before compression, about, and its records at most; a file is read by one task.
+FILE_BYTES = 32 << 20
+RECORDS_PER_FILE = 20_000
+
+#: Bytes of record that a reading task holds before it hands them on.
+HELD = 8 << 20
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n"
@@ -53,7 +60,8 @@ def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def write(classified: DataFrame, path: str) -> Archive:
-    """One WARC record per row, in gzip files of bounded length."""
+    """One WARC record per row, in gzip files of about FILE_BYTES: rows are dealt by a hash of the whole record over as many files as all bytes ask for."""
+    size = classified.agg(F.sum(F.octet_length("payload") + 1024)).first()[0] or 0
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     response = F.col("refers_to").isNull()
     block = F.concat(F.lit(HTTP), F.octet_length("payload").cast("string"), F.lit(END + END), F.when(response, F.col("payload")).otherwise(F.lit("")))
@@ -70,63 +78,98 @@ def write(classified: DataFrame, path: str) -> Archive:
         F.lit(END),
         F.col("block"),
     )
-    classified.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    dealt = classified.repartition(max(1, -(-size // FILE_BYTES)), "page_id", "url", "payload_digest")
+    dealt.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return Archive(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
-    """Exact header bytes, header fields (names in lower case) and block of each record of a WARC file, gzip or plain. Blocks are cut by Content-Length alone, whatever bytes they hold."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        stop = data.index(b"\r\n\r\n", at)
-        head = data[at : stop + 4]
-        if not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {}
-        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-            key, colon, value = line.partition(":")
+    """Exact header bytes, header fields (names in lower case) and block of each record of a WARC file, gzip or plain, one record in memory at a time. Blocks are cut by Content-Length alone, whatever bytes they hold."""
+    source = io.BytesIO(data)
+    stream = gzip.GzipFile(fileobj=source) if data[:2] == b"\x1f\x8b" else source
+    while line := stream.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record before byte {stream.tell()}")
+        lines, fields = [line], {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("the file ends within a header")
+            lines.append(line)
+            key, colon, value = line.decode("utf-8", "replace").partition(":")
             if colon:
                 fields[key.strip().lower()] = value.strip()
         size = int(fields["content-length"])
-        yield head, fields, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError("the file ends within a block")
+        yield b"".join(lines) + b"\r\n", fields, block
+
+
+def _digest(fields: dict[str, str]) -> str:
+    return fields["warc-payload-digest"].removeprefix("sha256:")
+
+
+def _rows_out(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of about HELD bytes; the last value of a row is its longest."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 512
+        if size > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for at, (head, fields, block) in enumerate(parse(content.as_py())):
+                    own = [fields.get(k, "").removeprefix("<urn:page:").removesuffix(">") or None for k in ("warc-record-id", "warc-refers-to")]
+                    yield own[0], fields["warc-type"], own[1], _digest(fields), path.as_py(), at, block[: block.index(b"\r\n\r\n") + 4], head
+
+    yield from _rows_out(pa.schema([(c, pa.string()) for c in ("page_id", "record_type", "refers_to", "payload_digest", "file")] + [("at", pa.int64()), ("http", pa.binary()), ("headers", pa.binary())]), rows())
+
 
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for at, (_, fields, block) in enumerate(parse(content.as_py())):
+                    if fields["warc-type"] != "response":
+                        continue
+                    payload = block[block.index(b"\r\n\r\n") + 4 :]
+                    if hashlib.sha256(payload).hexdigest() != _digest(fields):
+                        raise ValueError(f"payload of record {at} does not match its digest {_digest(fields)}")
+                    yield path.as_py(), at, _digest(fields), payload
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "record_type", "refers_to", "payload_digest", "headers", "http", "payload"]
-    kinds = [pa.string()] * 4 + [pa.binary()] * 3
-    for batch in batches:
-        for content in batch.column("content"):
-            rows: list[tuple] = []
-            for head, fields, block in parse(content.as_py()):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                own = [fields.get(k, "").removeprefix("<urn:page:").removesuffix(">") or None for k in ("warc-record-id", "warc-refers-to")]
-                kind = fields["warc-type"]
-                rows.append((own[0], kind, own[1], fields["warc-payload-digest"].removeprefix("sha256:"), head, http + b"\r\n\r\n", payload if kind == "response" else None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    yield from _rows_out(pa.schema([("file", pa.string()), ("at", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]), rows())
 
 
 def store(spark: SparkSession, archive: Archive, path: str) -> tuple[DataFrame, DataFrame]:
-    """Read an archive's files into two tables under path: headers (one row per record) and payloads (one row per response record, the bytes checked against its digest)."""
-    files = spark.read.format("binaryFile").load(archive.path).select("content")
-    files.mapInArrow(_records, "page_id string, record_type string, refers_to string, payload_digest string, headers binary, http binary, payload binary").write.option("compression", "zstd").parquet(f"{path}/records")
-    records = spark.read.parquet(f"{path}/records")
-    # payloads below LEAST bytes can repeat here; reconstruct takes each digest once
-    bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), F.col("payload_digest")))
-    checked = records.where("record_type = 'response'").select("payload_digest", F.when(F.sha2("payload", 256) == F.col("payload_digest"), F.col("payload")).otherwise(bad.cast("binary")).alias("payload"))
-    return records.drop("payload"), checked
+    """Read an archive's files into two tables under path: headers (one row per record) and payloads (payload_digest, payload: each digest once; every response's bytes are checked against its digest)."""
+    files = spark.read.format("binaryFile").load(archive.path).select("path", "content")
+    files.mapInArrow(_headers, "page_id string, record_type string, refers_to string, payload_digest string, file string, at bigint, http binary, headers binary").write.option("compression", "zstd").parquet(f"{path}/headers")
+    headers = spark.read.parquet(f"{path}/headers")
+    # responses that repeat a digest (short payloads mostly) are told by place alone, so that no payload is shuffled
+    place = F.struct("file", "at")
+    responses = headers.where("record_type = 'response'").select("payload_digest", "file", "at")
+    first = responses.groupBy("payload_digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = responses.join(first, "payload_digest").where(place != F.col("first")).select("file", "at")
+    payloads = files.mapInArrow(_payloads, "file string, at bigint, payload_digest string, payload binary")
+    payloads.join(again, ["file", "at"], "left_anti").select("payload_digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    return headers.drop("file", "at"), spark.read.parquet(f"{path}/payloads")
 
 
 def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Every record with its whole payload: headers joined to the payload of their digest."""
-    return headers.join(payloads.dropDuplicates(["payload_digest"]), "payload_digest", "left")
+    """Every record with its whole payload, a revisit's too, and `record`, its exact bytes as they stand in the archive: headers joined to the payload of their digest."""
+    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return headers.join(payloads, "payload_digest", "left").withColumn("record", F.concat("headers", "http", block))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
@@ -134,9 +177,9 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     headers, payloads = store(spark, write(classify(pages), f"{folder}/warc"), f"{folder}/store")
-    lengths = payloads.groupBy("payload_digest").agg(F.max(F.octet_length("payload")).cast("long").alias("payload_bytes"))
+    whole = reconstruct(headers, payloads).withColumn("payload_digest", F.sha2("payload", 256))
     kind = pages.schema["page_id"].dataType
-    return headers.join(lengths, "payload_digest", "left").select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
+    return whole.select(F.col("page_id").cast(kind), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(kind))
 
 
 SQL_OP8 = """

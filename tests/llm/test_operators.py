@@ -383,7 +383,8 @@ def test_pivots(spark):
 # --- 8
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
     big = "<p>WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n</p>" * 5
     rows = [(3, "http://a/\r\nx", big), (1, "http://b", big), (7, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", ""), (8, "u", "é" * 100), (8, "u", "é" * 100)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -395,9 +396,30 @@ def test_warc(spark, tmp_path):
         assert bytes(got[i].payload) == data and got[i].payload_digest == hashlib.sha256(data).hexdigest()
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 3: ("revisit", "1"), 7: ("revisit", "1"), **{i: ("response", None) for i in (2, 4, 5, 6, 8)}}
     files = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
+    records = [h + b for h, _, b in warc.parse(files)]
+    assert sorted(records) == sorted(bytes(r.record) for r in warc.reconstruct(headers, payloads).collect()) and len(list((tmp_path / "w").glob("*.gz"))) > 1
     heads = [h for h, _, _ in warc.parse(files)]
     assert sorted(heads) == sorted(bytes(r.headers) for r in headers.collect()) and len(heads) == len(rows)
-    assert warc.write(warc.classify(pages.limit(0)), f"{tmp_path}/e")
+    digests = [r.payload_digest for r in payloads.collect()]
+    assert len(digests) == len(set(digests)) == len({h or "" for _, _, h in rows})
+    none = warc.store(spark, warc.write(warc.classify(pages.limit(0)), f"{tmp_path}/e"), f"{tmp_path}/es")
+    assert warc.reconstruct(*none).count() == 0
+
+
+def test_warc_of_null_ids_clashing_columns_and_a_long_page(spark, tmp_path):
+    long = "<p>" + "long page " * 1_200_000 + "</p>"
+    rows = [(None, "u", long, "own", 1), (4, "u", long, "own", 1), (9, None, long, None, None), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string, first bigint")
+    got = warc.reconstruct(*warc.store(spark, warc.write(warc.classify(pages), f"{tmp_path}/w"), f"{tmp_path}/s")).select("page_id", "record_type", "refers_to", F.octet_length("payload").alias("n"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, "revisit", "4", len(long)), ("4", "response", None, len(long)), ("9", "revisit", "4", len(long)), (None, "response", None, 0)], key=repr)
+
+
+def test_warc_that_is_damaged_is_an_error():
+    good = b"WARC/1.1\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    assert [b for _, _, b in warc.parse(good + good)] == [b"abcd", b"abcd"]
+    for bad in (good[:-6], good[:20], b"x" + good):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
 
 
 # --- 9
@@ -414,6 +436,75 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def html_by_hand(rows):
+    """The rule in plain loops: windows on over half of a host's distinct pages go word by word; within articles short whole blocks of hosts of LARGE pages."""
+    hosts = {}
+    for _, url, page in rows:
+        hosts.setdefault((url or "").split("/")[2] if "://" in (url or "") else "", set()).add(page)
+    read = {page: html.blocks_of(page or "") for _, _, page in rows}
+
+    def words(page):
+        blocks, marks = read[page]
+        found = [[m.group().lower() for m in re.finditer(r"\w+", line)] for _, line in blocks]
+        for piece in html.pieces_of(blocks, [len(w) for w in found]):
+            if not (marks and blocks[piece[0]][0] and any(len(found[no]) > html.SHORT for no in piece)):
+                yield [(no, k, w) for no in piece for k, w in enumerate(found[no])]
+
+    out = []
+    for page_id, url, page in rows:
+        peers = hosts[(url or "").split("/")[2] if "://" in (url or "") else ""]
+        held = collections.Counter(w for p in peers for w in {tuple(x[2] for x in s[a : a + 6]) for s in words(p) for a in range(len(s) - 5)})
+        common = {w for w, n in held.items() if n > 1 and n * 2 > len(peers)}
+        blocks, marks = read[page]
+        gone = {x[:2] for s in words(page) for a in range(len(s) - 5) if tuple(x[2] for x in s[a : a + 6]) in common for x in s[a : a + 6]}
+        lines = []
+        for no, (within, line) in enumerate(blocks):
+            at = list(re.finditer(r"\w+", line))
+            if marks:
+                if within and not (at and len(peers) >= html.LARGE and all((no, k) in gone for k in range(len(at)))):
+                    lines.append(line)
+                continue
+            runs, open_ = [], None
+            for k, m in enumerate(at):
+                if (no, k) in gone:
+                    if open_ is not None:
+                        runs.append(line[open_ : m.start()].strip())
+                    open_ = None
+                elif open_ is None:
+                    open_ = m.start()
+            if open_ is not None:
+                runs.append(line[open_:].strip())
+            left = " ".join(r for r in runs if r) if any((no, k) in gone for k in range(len(at))) else line
+            if left:
+                lines.append(left)
+        out.append((page_id, "\n".join(lines)))
+    return sorted(out)
+
+
+def test_html_by_brute_force(spark):
+    random.seed(9)
+    menu = "<ul><li>Home page</li><li>About us</li><li>All news</li><li>Contact</li></ul>"
+    rows = []
+    for host, n, marked in (("a", 8, False), ("b", 25, True), ("c", 25, False), ("d", 2, False)):
+        shared = [" ".join(random.choice("red blue green stone river cloud".split()) for _ in range(12)) for _ in range(3)]
+        for i in range(n):
+            own = " ".join(f"w{random.randrange(5000)}" for _ in range(40))
+            body = f"<p>{shared[0]} unique{i} ending{i}</p><p>{own}</p>" + (f"<p>{shared[1]}</p>" if i % 3 else "") + (f"<div>{shared[2]}</div>" if i % 5 == 0 else "") + "<p>tail</p>"
+            rows.append((len(rows), f"http://{host}.example/{i}", menu + (f"<article>{body}</article>" if marked else body)))
+    rows += [(len(rows), rows[0][1], rows[0][2]), (len(rows) + 1, None, None)]
+    table = spark.createDataFrame([(*r, "own", 1, True) for r in rows], "page_id bigint, url string, html string, host string, page bigint, marked boolean")
+    got = sorted((r.page_id, r.text) for r in html.extract(table).collect())
+    assert got == html_by_hand(rows)
+    first = dict(got)[0]
+    assert "unique0 ending0" in first and "Home page" not in first and "About us" not in first and "Contact" not in first and first.endswith("tail")
+
+
+def test_html_of_a_very_long_page(spark):
+    text = " ".join(f"word{i}" for i in range(300_000))
+    got = html.extract(spark.createDataFrame([(1, "http://h.example/1", f"<article><p>{text}</p></article>"), (2, "http://h.example/2", f"<p>{text}</p>")], "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got}[1] == text
+
+
 def test_suffix_array():
     t = np.array([3, 1, 2, 3, 1, 2, 9])
     order, kind = html.suffix_array(t, 3)
@@ -483,3 +574,14 @@ def test_pages_without_article_keep_copies_and_phrases(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     want = {i: b.replace("</p><p>", "\n")[3:-4] for i, b in enumerate(bodies)} | {100 + i: own[i // 2] for i in range(6)} | {200: own[0], 201: own[0]}
     assert got == want
+
+
+def test_mixing_deals_empty_texts_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 50)
+    rows = [(i, None if i % 2 else "", "hollow") for i in range(300)] + [(1000 + i, "a b c", "full") for i in range(100)] + [(5000, "word " * 100_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(got) == len(rows) and all(got[i].size == got[i].taken == 0 for i in range(300)) and got[5000].size == 100_000
+    assert all(r.taken <= 3 * r.size for r in got.values())
+    d = spark.createDataFrame([("hollow", 0, 300), ("full", 300, 100)], "source string, source_size bigint, rows bigint")
+    assert {r.source: r.rows for r in mixing.targets(d).collect()} == {"hollow": 300, "full": 100}
