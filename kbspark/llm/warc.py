@@ -5,8 +5,8 @@ two line breaks, which is the writer's line separator. Of equal payloads of
 LEAST bytes or more the one of the smallest id is a response record and the
 others are revisits that refer to it. Read back, the archive is two tables: the
 exact record headers, and each payload once under its verified SHA-256.
-Records are put together again by a join of the two. Files are dealt by bytes
-and read record by record, so neither long pages nor many make one large.
+Records are put together again by a join of the two. Files are bounded in bytes,
+as long records have files of their own, and are read record by record.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import shared_folder
+from kbspark.llm.common import materialize, shared_folder
 
 #: Payload bytes from which equal payloads are revisits.
 LEAST = 100
 
-#: Bytes of one file before compression, about, and its records at most; a file is read by one task.
-FILE_BYTES = 32 << 20
-RECORDS_PER_FILE = 20_000
+#: Bytes of one file before compression, at most (a longer record has a file of its own); a file is read by one task.
+FILE_BYTES = 256 << 20
+
+#: Payload bytes up to which records share files; longer ones are written with longer ones.
+SIZES = (64 << 10, 4 << 20, 256 << 20)
 
 #: Bytes of record that a reading task holds before it hands them on.
 HELD = 8 << 20
@@ -60,8 +62,9 @@ def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def write(classified: DataFrame, path: str) -> Archive:
-    """One WARC record per row, in gzip files of about FILE_BYTES: rows are dealt by a hash of the whole record over as many files as all bytes ask for."""
-    size = classified.agg(F.sum(F.octet_length("payload") + 1024)).first()[0] or 0
+    """One WARC record per row, in gzip files of at most FILE_BYTES: records of one range of SIZES are written together, as many to a file as would fit if all were the longest. No row is shuffled for it."""
+    length = F.octet_length("payload")
+    longest = classified.agg(F.max(length)).first()[0] or 0
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     response = F.col("refers_to").isNull()
     block = F.concat(F.lit(HTTP), F.octet_length("payload").cast("string"), F.lit(END + END), F.when(response, F.col("payload")).otherwise(F.lit("")))
@@ -78,8 +81,12 @@ def write(classified: DataFrame, path: str) -> Archive:
         F.lit(END),
         F.col("block"),
     )
-    dealt = classified.repartition(max(1, -(-size // FILE_BYTES)), "page_id", "url", "payload_digest")
-    dealt.withColumn("block", block).select(record.alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    whole = classified.withColumn("block", block)
+    for over, upto in zip((-1, *SIZES), (*SIZES, None)):
+        if over < longest:
+            some = whole.where((length > over) if upto is None else (length > over) & (length <= upto))
+            each = 1 if upto is None else max(1, FILE_BYTES // upto)
+            some.select(record.alias("value")).write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
     return Archive(path)
 
 
@@ -160,7 +167,7 @@ def store(spark: SparkSession, archive: Archive, path: str) -> tuple[DataFrame,
     place = F.struct("file", "at")
     responses = headers.where("record_type = 'response'").select("payload_digest", "file", "at")
     first = responses.groupBy("payload_digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = responses.join(first, "payload_digest").where(place != F.col("first")).select("file", "at")
+    again = materialize(responses.join(first, "payload_digest").where(place != F.col("first")).select("file", "at"), "warc-again")  # its size is known before the join is planned
     payloads = files.mapInArrow(_payloads, "file string, at bigint, payload_digest string, payload binary")
     payloads.join(again, ["file", "at"], "left_anti").select("payload_digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return headers.drop("file", "at"), spark.read.parquet(f"{path}/payloads")

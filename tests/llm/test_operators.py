@@ -384,7 +384,8 @@ def test_pivots(spark):
 
 
 def test_warc(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 300)
+    monkeypatch.setattr(warc, "SIZES", (10, 150, 190))
     big = "<p>WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n</p>" * 5
     rows = [(3, "http://a/\r\nx", big), (1, "http://b", big), (7, None, big), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", ""), (8, "u", "é" * 100), (8, "u", "é" * 100)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
