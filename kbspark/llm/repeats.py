@@ -18,12 +18,17 @@ finds what is:
    statistic); matches of LENGTH bytes or more are marked.
 4. A core with more than MANY different cells is not indexed in one task: its
    windows are compared one by one, dealt by their digests.
+
+The same works on words: a text is then its words with one space before,
+between and behind them, windows begin and end at those spaces, and lengths,
+starts and distances count words. So a window is equal to another if its words
+are, whatever white space stands between them, and never begins within a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,11 @@ GRAM = 128
 CELL = 64
 MANY = 2000
 
+#: The same where units are words: strings of over 50 words.
+WORDS = 51
+WORD_GRAM = 16
+WORD_CELL = 16
+
 #: Bytes of cells that one index holds, and characters of text that go from Spark to a worker at once.
 CHUNK = 1_000_000
 
@@ -82,9 +92,44 @@ class Hashes:
         return _mixed((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
 
 
-def anchors(h: Hashes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(data: bytes, words: bool) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """What is compared of a text and where its units stand: units i to j - 1 are the bytes from begin[i] to end[j]."""
+    if not words:
+        every = np.arange(len(data) + 1)
+        return data, every, every
+    spaced = b" ".join([b"", *data.split(), b""])
+    begin = np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32)
+    return spaced, begin, begin + 1
+
+
+def _word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text as it stands begins and ends."""
+    a = np.frombuffer(data, np.uint8)
+    word = (a != 32) & ((a < 9) | (a > 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
+    return edge[::2], edge[1::2]
+
+
+class Units:
+    """A text as bytes or as words, with the hashes of all strings of them."""
+
+    def __init__(self, data: bytes, words: bool, powers: _Powers):
+        self.data, self.begin, self.end = bounds(data, words)
+        self.hashes, self.words = Hashes(self.data, powers), words
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def of(self, start, stop):
+        return self.hashes.of(self.begin[start], self.end[stop])
+
+    def grams(self, n: int) -> np.ndarray:
+        return self.hashes.of(self.begin[:-n], self.end[n:]) if self.words else self.hashes.grams(n)
+
+
+def anchors(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor position of each run of window starts that share one, and the run's first start and length. The least hash wins (by its upper half), of equal ones the leftmost."""
-    g = h.grams(gram)
+    g = units.grams(gram)
     at = np.arange(len(g), dtype=np.uint64)
     m = (g & np.uint64(0xFFFFFFFF00000000)) | at
     width, k = length - gram + 1, 1
@@ -196,19 +241,18 @@ def _runs(mask: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist())
 
 
-def _find_anchors(length: int, gram: int):
+def _find_anchors(length: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for k1, k2, uid, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "uid")), batch.column("text")):
-                data = (text.as_py() or "").encode("utf-8", "replace")
-                if len(data) < length:
+                units = Units((text.as_py() or "").encode("utf-8", "replace"), words, powers)
+                if len(units) < length:
                     continue
-                h = Hashes(data, powers)
-                at, _, _ = anchors(h, length, gram)
+                at, _, _ = anchors(units, length, gram)
                 at = np.unique(at)
-                cols[0].append(h.of(at, at + gram).view(np.int64))
+                cols[0].append(units.of(at, at + gram).view(np.int64))
                 cols[1].append(np.full(len(at), k1, np.int64))
                 cols[2].append(np.full(len(at), k2, np.int64))
                 cols[3].append(at.astype(np.int32))
@@ -222,25 +266,24 @@ def _find_anchors(length: int, gram: int):
     return run
 
 
-def _cells_of(data: bytes, wanted: np.ndarray, powers: _Powers, length: int, gram: int) -> list[dict]:
+def _cells_of(units: Units, wanted: np.ndarray, length: int, gram: int, cell: int) -> list[dict]:
     """Cells of the windows whose anchors stand at the wanted positions."""
-    h = Hashes(data, powers)
-    at, first, n = anchors(h, length, gram)
+    at, first, n = anchors(units, length, gram)
     keep = np.isin(at, wanted)
     at, first, n = at[keep], first[keep], n[keep]
-    # distance to the anchor falls from at - first to at - first - n + 1; cut where it passes a multiple of CELL
-    far, near = (at - first) // CELL, (at - first - n + 1) // CELL
+    # distance to the anchor falls from at - first to at - first - n + 1; cut where it passes a multiple of cell
+    far, near = (at - first) // cell, (at - first - n + 1) // cell
     pieces = far - near + 1
     run = np.repeat(np.arange(len(at)), pieces)
     part = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     block = far[run] - part
-    a = np.maximum(first[run], at[run] - (block * CELL + CELL - 1))
-    b = np.minimum(first[run] + n[run] - 1, at[run] - block * CELL)
-    core_start, core_stop = at[run] - block * CELL, at[run] - (block * CELL + CELL - 1) + length
-    core = (h.of(core_start, core_stop) + block.astype(np.uint64) * _BASE).view(np.int64)
+    a = np.maximum(first[run], at[run] - (block * cell + cell - 1))
+    b = np.minimum(first[run] + n[run] - 1, at[run] - block * cell)
+    core_start, core_stop = at[run] - block * cell, at[run] - (block * cell + cell - 1) + length
+    core = (units.of(core_start, core_stop) + block.astype(np.uint64) * _BASE).view(np.int64)
     out = []
     for c, x, y in zip(core.tolist(), a.tolist(), b.tolist()):
-        whole = xxhash.xxh3_64_intdigest(data[x : y + length])
+        whole = xxhash.xxh3_64_intdigest(units.data[units.begin[x] : units.end[y + length]])
         out.append({"core": c, "whole": whole - (1 << 64) if whole >> 63 else whole, "start": x, "n": y - x + 1})
     return out
 
@@ -248,16 +291,17 @@ def _cells_of(data: bytes, wanted: np.ndarray, powers: _Powers, length: int, gra
 _CELL = pa.list_(pa.struct([("core", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
 
-def _removed(data: bytes, spans: list[dict] | None, counts: Callable[[bytes], bool] | None = None) -> tuple[int, int, bytes]:
-    """Bytes removed, their maximal runs, and what is left; a run that does not count stays."""
+def _removed(data: bytes, spans: list[dict] | None, words: bool = False) -> tuple[int, int, bytes]:
+    """Bytes removed, their maximal runs, and what is left. A run of words goes with the white space between them."""
     merged: list[list[int]] = []
     for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    if counts is not None:
-        merged = [[a, b] for a, b in merged if counts(data[a:b])]
+    if words and merged:
+        begin, end = _word_places(data)
+        merged = [[int(begin[a]), int(end[b - 1])] for a, b in merged]
     kept, at = [], 0
     for a, b in merged:
         kept.append(data[at:a])
@@ -266,12 +310,16 @@ def _removed(data: bytes, spans: list[dict] | None, counts: Callable[[bytes], bo
     return sum(b - a for a, b in merged), len(merged), b"".join(kept)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY, keep_bytes: bool = False, counts: Callable[[bytes], bool] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, cell: int = CELL, many: int = MANY, words: bool = False, keep_bytes: bool = False) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes kept (binary), to all columns of docs.
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross texts and
     are judged on the input. A text that occurs twice goes as a whole if it
     has `length` bytes. Columns of the added names are replaced. Texts under 4 GB.
+
+    With words, length, gram and cell count words (WORDS, WORD_GRAM and
+    WORD_CELL suit each other): a string of `length` words that occurs twice
+    goes, with any white space between them; that before and behind it stays.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
     names = [c for c in docs.columns if c not in added]
@@ -279,7 +327,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row") if len(names) > 1 else F.struct(F.lit(None).cast("int").alias("none")).alias("row"), F.col(f"`{text}`").alias("text"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"))
 
     # 1. anchors that occur at two places or more
-    found = keyed.select("k1", "k2", "text", F.monotonically_increasing_id().alias("uid")).where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram), "anchor bigint, k1 bigint, k2 bigint, at int, place bigint")
+    found = keyed.select("k1", "k2", "text", F.monotonically_increasing_id().alias("uid")).where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram, words), "anchor bigint, k1 bigint, k2 bigint, at int, place bigint")
     found = materialize(found, "repeats-anchors")
     # a written table, so that both sides of the join are plain shuffles: Spark can then split the rows of a hot anchor
     twice = materialize(found.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("anchor"), "repeats-twice")
@@ -292,7 +340,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             made, shas, kept = [], [], []
             for x, want in zip(batch.column("text"), batch.column("wanted")):
                 data = (x.as_py() or "").encode("utf-8", "replace")
-                made.append(_cells_of(data, np.array(want.as_py()), powers, length, gram) if want.is_valid else None)
+                made.append(_cells_of(Units(data, words, powers), np.array(want.as_py()), length, gram, cell) if want.is_valid else None)
                 shas.append(None if want.is_valid else hashlib.sha256(data).hexdigest())
                 kept.append(len(data))
             i = {c: batch.schema.get_field_index(c) for c in ("row", "text", "k1", "k2")}
@@ -302,12 +350,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     whole = materialize(keyed.join(wanted, ["k1", "k2"], "left").mapInArrow(cells, f"row {row_type}, text string, k1 bigint, k2 bigint, cells array<struct<core: bigint, whole: bigint, start: int, n: int>>, sha string, n_bytes bigint").withColumn("uid", F.monotonically_increasing_id()), "repeats-texts")
 
     # 3. cells with the same bytes are one entry
-    cell = whole.where("cells is not null").select("k1", "k2", "uid", F.explode("cells").alias("c")).select("k1", "k2", "c.*", F.xxhash64("uid", "c.start").alias("place"))
-    entries = cell.groupBy("core", "whole").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min(F.struct("k1", "k2", "start", "n")).alias("e")).select("core", "whole", (F.col("p") != F.col("q")).alias("again"), "e.*")
+    single_cells = whole.where("cells is not null").select("k1", "k2", "uid", F.explode("cells").alias("c")).select("k1", "k2", "c.*", F.xxhash64("uid", "c.start").alias("place"))
+    entries = single_cells.groupBy("core", "whole").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.min(F.struct("k1", "k2", "start", "n")).alias("e")).select("core", "whole", (F.col("p") != F.col("q")).alias("again"), "e.*")
     entries = materialize(entries, "repeats-entries")
     cores = entries.groupBy("core").agg(F.count("*").alias("entries"), F.max("again").alias("any")).where("entries > 1 or any")
     entries = materialize(entries.join(cores, "core"), "repeats-open")
-    repeated = cell.select("core", "whole", "k1", "k2", "start", "n").join(entries.where("again").select("core", "whole"), ["core", "whole"]).select("k1", "k2", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("stop"))
+    repeated = single_cells.select("core", "whole", "k1", "k2", "start", "n").join(entries.where("again").select("core", "whole"), ["core", "whole"]).select("k1", "k2", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).alias("stop"))
 
     # 4. the bytes of different cells with one core, and their matches
     texts = whole.where("cells is not null").groupBy("k1", "k2").agg(F.min("uid").alias("uid"))
@@ -318,9 +366,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("core", "again", "start", "k1", "k2", "bytes")}
             for k1, k2, x, cs in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("cells")):
-                data = x.as_py().encode("utf-8", "replace")
+                data, begin, end = bounds(x.as_py().encode("utf-8", "replace"), words)
                 for c in cs.as_py():
-                    for k, v in (("core", c["core"]), ("again", c["again"]), ("start", c["start"]), ("k1", k1), ("k2", k2), ("bytes", data[c["start"] : c["start"] + c["n"] + length - 1])):
+                    for k, v in (("core", c["core"]), ("again", c["again"]), ("start", c["start"]), ("k1", k1), ("k2", k2), ("bytes", data[begin[c["start"]] : end[c["start"] + c["n"] + length - 1]])):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["core"], pa.int64()), pa.array(out["again"], pa.bool_()), pa.array(out["start"], pa.int32()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["bytes"], pa.binary())], names=list(out))
 
@@ -333,7 +381,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             longest, spans = index.matching_statistics(), []
             for (_, again, start, k1, k2, data), at in zip(rows, index.begins.tolist()):
                 if not again:  # those that occur twice are marked as a whole already
-                    spans += [(k1, k2, start + a, start + a + n + length - 1) for a, n in _runs(longest[at : at + len(data)] >= length)]
+                    _, begin, end = bounds(data, words)
+                    spans += [(k1, k2, start + a, start + a + n + length - 1) for a, n in _runs(longest[at + begin[:-length]] >= end[length:] - begin[:-length])]
             cols = list(zip(*spans)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["k1", "k2", "start", "stop"])
 
@@ -357,10 +406,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("core", "digest", "again", "k1", "k2", "start")}
             for k1, k2, x, cs in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("cells")):
-                data = x.as_py().encode("utf-8", "replace")
+                data, begin, end = bounds(x.as_py().encode("utf-8", "replace"), words)
                 for c in cs.as_py():
                     for s in range(c["start"], c["start"] + c["n"]):
-                        for k, v in (("core", c["core"]), ("digest", xxhash.xxh3_128_digest(data[s : s + length])), ("again", c["again"]), ("k1", k1), ("k2", k2), ("start", s)):
+                        for k, v in (("core", c["core"]), ("digest", xxhash.xxh3_128_digest(data[begin[s] : end[s + length]])), ("again", c["again"]), ("k1", k1), ("k2", k2), ("start", s)):
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["core"], pa.int64()), pa.array(out["digest"], pa.binary()), pa.array(out["again"], pa.bool_()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()), pa.array(out["start"], pa.int32())], names=list(out))
 
@@ -376,7 +425,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
             removed, runs, shas, kept = [], [], [], []
             for x, sha, spans in zip(batch.column("text"), batch.column("sha").to_pylist(), batch.column("spans")):
                 data = (x.as_py() or "").encode("utf-8", "replace")
-                n, k, rest = _removed(data, spans.as_py(), counts)
+                n, k, rest = _removed(data, spans.as_py(), words)
                 removed.append(n)
                 runs.append(k)
                 shas.append(sha or hashlib.sha256(rest).hexdigest())

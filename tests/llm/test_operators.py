@@ -338,6 +338,22 @@ def test_repeats(spark, many):
     assert sum(w[1] for w in want) > 0 and repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_of_words(spark):
+    """Window by window as by the index, and long hot passages with different surroundings."""
+    random.seed(17)
+    parts = [" ".join(random.choice(["ab", "c", "é", "def"]) for _ in range(n)) for n in (55, 30, 51, 90)]
+    texts = TEXTS + ["\n".join(random.choice(parts) for _ in range(random.randrange(5))) for _ in range(40)] + [f"{i} {parts[3]} {-i}" for i in range(40)]
+    docs = table(spark, texts)
+    args = {"length": repeats.WORDS, "gram": repeats.WORD_GRAM, "cell": repeats.WORD_CELL, "words": True}
+    one, other = ([sorted(map(str, repeats.remove_repeats(docs, many=many, **args).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()))] for many in (2000, 1))
+    assert one == other
+    words = [(r.text or "").encode().split() for r in docs.collect()]
+    c = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    touched = {i for i, w in enumerate(words) if any(c[tuple(w[j : j + 51])] > 1 for j in range(len(w) - 50))}
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(b" ".join(w).decode() for w in words)), "n int, text string"), **args)
+    assert {r.n for r in got.where("n_removed > 0").collect()} == touched and touched
+
+
 def test_run_length_index():
     random.seed(8)
     for _ in range(20):
