@@ -12,15 +12,6 @@ from kbspark.llm.common import materialize
 #: Fitted scores, XXH64, byte-wise repeats and BPE are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
-#: Bytes of the repeated strings that the dedup stage looks for: 50 words have more, at three letters and a space each.
-PASSAGE = 200
-GRAM = 64
-
-
-def is_passage(run: bytes) -> bool:
-    """What the dedup stage takes out: repeated runs of over 50 words, or of 400 bytes in any number of words."""
-    return len(run) >= repeats.LENGTH or len(run.split()) > 50
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier takes for toxic go; it is fitted on these documents' labels outside the held-out fold."""
@@ -34,13 +25,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words (or 400 bytes) made of strings of PASSAGE bytes that occur twice go from the texts, every copy of them; a character cut in two goes too, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts stay as they are."""
+    """Strings of over 50 words that occur twice, whatever white space stands between the words, go from the texts, every copy of them, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts, null and blank ones among them, stay as they are."""
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # names that no added column has
     text, old = F.col(own["text"]), F.col(own["n_chars"])
-    left = repeats.remove_repeats(docs.toDF(*own.values()), text=own["text"], length=PASSAGE, gram=GRAM, keep_bytes=True, counts=is_passage)
+    left = repeats.remove_repeats(docs.toDF(*own.values()), text=own["text"], length=repeats.WORDS, gram=repeats.WORD_GRAM, cell=repeats.WORD_CELL, words=True, keep_bytes=True)
     cut = F.col("n_removed") > 0
-    kept = F.when(cut, F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", "")).otherwise(text)
-    left = left.withColumn("kept_text", kept).where(~cut | (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) != ""))
+    left = left.withColumn("kept_text", F.when(cut, F.col("kept").cast("string")).otherwise(text)).where(~cut | (F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " ")) != ""))
     n_chars = F.when(cut, F.char_length("kept_text")).otherwise(old).cast(docs.schema["n_chars"].dataType)
     new = {"text": F.col("kept_text"), "n_chars": n_chars}
     return left.select(*[new.get(c, F.col(x)).alias(c) for c, x in own.items()])
