@@ -13,22 +13,35 @@ from kbspark.llm.common import materialize
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under column names that no operator adds, and the new name of each column."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*own.values()), own
+
+
+def back(left: DataFrame, own: dict[str, str]) -> DataFrame:
+    """The columns that apart() renamed, under their first names."""
+    return left.select(*[F.col(x).alias(c) for c, x in own.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier takes for toxic go; it is fitted on these documents' labels outside the held-out fold."""
+    """Documents that the weakly supervised classifier takes for toxic go; it is fitted on these documents' labels outside the held-out fold. Null and empty texts get the score of no words; columns named like the classifier's stay the documents' own."""
     model = toxicity.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, model).where("predicted = 0").select(*docs.columns)
+    renamed, own = apart(docs)
+    return back(toxicity.with_score(renamed, model, text=own["text"]).where("predicted = 0"), own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one of smallest doc_id."""
-    return simhash.keep_one_of_each(docs).select(*docs.columns)
+    """One document of each SimHash component stays, the one of smallest doc_id (nulls last), of repeated rows the first; texts without words are copies of each other."""
+    renamed, own = apart(docs)
+    return back(simhash.keep_one_of_each(renamed, text=own["text"], doc_id=own["doc_id"]), own)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of over 50 words that occur twice, whatever white space stands between the words, go from the texts, every copy of them, and n_chars follows. A text of which nothing but white space is left goes as a whole; untouched texts, null and blank ones among them, stay as they are."""
-    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}  # names that no added column has
+    renamed, own = apart(docs)
     text, old = F.col(own["text"]), F.col(own["n_chars"])
-    left = repeats.remove_repeats(docs.toDF(*own.values()), text=own["text"], length=repeats.WORDS, gram=repeats.WORD_GRAM, cell=repeats.WORD_CELL, words=True, keep_bytes=True)
+    left = repeats.remove_repeats(renamed, text=own["text"], length=repeats.WORDS, gram=repeats.WORD_GRAM, cell=repeats.WORD_CELL, words=True, keep_bytes=True)
     cut = F.col("n_removed") > 0
     left = left.withColumn("kept_text", F.when(cut, F.col("kept").cast("string")).otherwise(text)).where(~cut | (F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " ")) != ""))
     n_chars = F.when(cut, F.char_length("kept_text")).otherwise(old).cast(docs.schema["n_chars"].dataType)
@@ -37,7 +50,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to target weights takes it, from not at all to three times."""
+    """Each document as often as the mix to target weights takes it, from not at all to three times; a text without words never."""
     return mixing.mixed(docs).select(*docs.columns)
 
 
