@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,18 +145,31 @@ def split_html(text: str) -> list[str]:
     return ["  \n".join(x) for x in out if x]
 
 
+#: Texts that a worker takes apart before it passes on what it made.
+TEXTS = 64
+
+
+def _pieces(it: Iterator[pa.RecordBatch], split: Callable[[dict], list[str]], number: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """The kept columns, the number and the content of each piece of every row's text: a few texts at a time, so that an Arrow batch never stands beside all of its pieces."""
+    for batch in it:
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            rows = [(i, n, c) for i, row in enumerate(some.to_pylist()) for n, c in enumerate(split(row))]
+            place, numbers, contents = zip(*rows) if rows else ((), (), ())
+            kept = [some.column(k).take(pa.array(place, pa.int64())) for k in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(contents, pa.string())], names=[*keep, number, "content"])
+
+
 def sections(docs: DataFrame, key: str, text: str, kind: str) -> DataFrame:
     """key, section, content: the sections of every document's whole text, of kind markdown or html."""
     split = {"markdown": split_markdown, "html": split_html}[kind]
     key_type = docs.schema[key].dataType.simpleString()
 
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(k, i, c) for k, t in zip(pdf["key"], pdf["text"]) for i, c in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=["key", "section", "content"])
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(it, lambda row: split(row["text"]), "section", ["key"])
 
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    return d.mapInPandas(cut, f"key {key_type}, section int, content string").withColumnRenamed("key", key)
+    return d.mapInArrow(cut, f"key {key_type}, section int, content string").withColumnRenamed("key", key)
 
 
 def secondary(found: DataFrame, key: str, size: int = SIZE) -> DataFrame:
@@ -164,12 +178,10 @@ def secondary(found: DataFrame, key: str, size: int = SIZE) -> DataFrame:
     large = word_estimate(F.col("content")) > size
     x = found.select(F.col(key).alias("key"), "section", "content")
 
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [(k, s, i, c) for k, s, t in zip(pdf["key"], pdf["section"], pdf["content"]) for i, c in enumerate(split_plain(t, size))]
-            yield pd.DataFrame(rows, columns=["key", "section", "part", "content"])
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(it, lambda row: split_plain(row["content"], size), "part", ["key", "section"])
 
-    again = x.where(large).mapInPandas(cut, f"key {key_type}, section int, part int, content string")
+    again = x.where(large).mapInArrow(cut, f"key {key_type}, section int, part int, content string")
     return x.where(~large).select("key", "section", F.lit(0).alias("part"), "content").unionByName(again).withColumnRenamed("key", key)
 
 
@@ -180,22 +192,21 @@ def chunk(docs: DataFrame, key: str, text: str, size: int = SIZE, path: str | No
     content type, sections over the size again as plain text. Pieces under
     LEAST tokens go if another one stays.
     """
-    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), content_type(F.col(text), F.col(path) if path else None).alias("kind")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), content_type(F.col(text), F.col(path) if path else None).alias("kind")).where(F.col("text").rlike(r"[^\t\n\f\r ]"))
     small = d.where(word_estimate(F.col("text")) <= size).select("key", F.lit(0).alias("ord"), F.trim("text").alias("content"))
     kind = d.schema["key"].dataType.simpleString()
 
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for k, t, how in zip(pdf["key"], pdf["text"], pdf["kind"]):
-                parts = split_markdown(t) if how == "markdown" else split_html(t) if how == "html" else [t]
-                pieces = [c.strip() for p in parts for c in (split_plain(p, size) if estimate(p) > size else [p])]
-                pieces = [c for c in pieces if c]
-                kept = [c for c in pieces if estimate(c) >= LEAST] or pieces
-                rows += [(k, i, c) for i, c in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["key", "ord", "content"])
-
-    large = d.where(word_estimate(F.col("text")) > size).mapInPandas(cut, f"key {kind}, ord int, content string")
+    def pieces(row: dict) -> list[str]:
+        t, how = row["text"], row["kind"]
+        parts = split_markdown(t) if how == "markdown" else split_html(t) if how == "html" else [t]
+        found = [c.strip() for p in parts for c in (split_plain(p, size) if estimate(p) > size else [p])]
+        found = [c for c in found if c]
+        return [c for c in found if estimate(c) >= LEAST] or found
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pieces(it, pieces, "ord", ["key"])
+
+    large = d.where(word_estimate(F.col("text")) > size).mapInArrow(cut, f"key {kind}, ord int, content string")
     return small.unionByName(large).withColumnRenamed("key", key)
 
 
@@ -238,10 +249,10 @@ def embed(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[flo
 
 
 def mean_pool(rows: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """key, embedding: unit vectors averaged by position and scaled to unit length. Vectors of a key have one length."""
+    """key, embedding: unit vectors averaged by position and scaled to unit length; a key whose vectors are all zero keeps a zero vector. Vectors of a key have one length."""
     e = F.transform(embedding, lambda x: x.cast("double"))
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    unit = rows.where(F.col(embedding).isNotNull()).select(key, e.alias("e")).withColumn("n", norm("e")).where("n > 0").select(key, F.posexplode(F.transform("e", lambda x: x / F.col("n"))))
+    unit = rows.where(F.col(embedding).isNotNull()).select(key, e.alias("e")).withColumn("n", norm("e")).where("n >= 0").select(key, F.posexplode(F.transform("e", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(x))))
     mean = unit.groupBy(key, "pos").agg(F.avg("col").alias("v")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
     vec = mean.select(key, F.transform("p", lambda s: s["v"]).alias("e")).withColumn("n", norm("e"))
     return vec.select(key, F.when(F.col("n") > 0, F.transform("e", lambda x: x / F.col("n"))).otherwise(F.col("e")).alias("embedding"))
