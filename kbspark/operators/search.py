@@ -90,10 +90,26 @@ class TextIndex:
     normal: Callable[[Column], Column] | None = None
 
 
-#: Files of one bucket, so that a term in every text is not one task's work.
+#: Least number of files of one bucket, so that a term in every text is not one task's work; a session with more partitions than files has more of them.
 SPLITS = 4
 
 
+def term_counts(found: Column) -> Column:
+    """term, tf of each different word of an array. A text's words are counted in its own row: sorted, the places where they change say how often each stands there."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("bigint").alias("tf")))
+    both = F.transform(F.array(F.sort_array(found)), lambda s: F.struct(s.alias("s"), starts(s).alias("at")))
+    return F.when(F.size(found) > 0, F.get(F.transform(both, lambda x: runs(x["s"], x["at"])), 0))
+
+
+def postings(rows: DataFrame, buckets: int) -> DataFrame:
+    """kind, doc, len, term, tf, bucket of texts (kind, doc, terms), dealt by bucket and document and in order of terms: each posting is shuffled once."""
+    splits = max(SPLITS, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    counted = rows.select("kind", "doc", F.size("terms").alias("len"), F.explode(term_counts(F.col("terms"))).alias("c")).select("kind", "doc", "len", "c.*")
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    return counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(splits))).sortWithinPartitions("bucket", "term", "kind")
+
+
 def write_index(kinds: dict[str, tuple[DataFrame, str]], folder: str, buckets: int = 16, normal: Callable[[Column], Column] | None = None) -> TextIndex:
     """Index the texts of each kind: rows with doc (their own key), id, parent_id, title, scope, and the column to search. Null texts are no documents. A bucket's files hold its terms in order, so a query reads the row groups of its own terms."""
     rows = None
@@ -103,9 +119,7 @@ def write_index(kinds: dict[str, tuple[DataFrame, str]], folder: str, buckets: i
     found = terms(F.col("text"))
     rows = rows.withColumn("terms", F.transform(found, lambda t: normal(t)) if normal else found)
     spark = rows.sparkSession
-    counted = rows.select("kind", "doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("kind", "doc", "len", "term").agg(F.count("*").alias("tf"))
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-    dealt = counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "term", "kind")
+    dealt = postings(rows, buckets)
     dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     rows.select("kind", "doc", "id", "parent_id", "title", "scope", F.size("terms").alias("len")).write.option("compression", "zstd").parquet(f"{folder}/docs")
     docs = spark.read.parquet(f"{folder}/docs")
