@@ -252,3 +252,31 @@ def test_manifest_of_few_rows(spark):
         got = merkle.manifest(docs, F.lit(False)).collect()
         assert sorted((tuple(r)[:5] for r in got), key=repr) == [x[:5] for x in plain_manifest(docs.collect())] and all(r.verified for r in got)
     assert merkle.manifest(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_bm25_index_keeps_little():
+    """op3: what an index is made of goes while it is built, which takes at most 65 bytes for a posting (87 before), and the impacts are those of the formula."""
+    import tracemalloc
+
+    import numpy as np
+
+    from kbspark.llm import bm25
+
+    rng = np.random.default_rng(0)
+    terms = [np.unique(rng.integers(0, 20_000, 300).astype(np.uint64)) for _ in range(2000)]
+    counts = [rng.integers(1, 9, len(t)).astype("<i4") for t in terms]
+    kept_terms, kept_counts = list(terms), list(counts)
+    tracemalloc.start()
+    index = bm25.ShardIndex(terms, counts, 1500.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(index.own_term)
+    assert not terms and not counts and most < 65 * n
+    for d in (0, 7, 1999):
+        own = slice(index.own_start[d], index.own_start[d] + index.own_size[d])
+        tf = kept_counts[d].astype(float)
+        assert (index.terms[index.own_term[own]] == kept_terms[d]).all()
+        assert (index.own_impact[own] == tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * tf.sum() / 1500.0))).all()
+    for t in (0, 5, 19_000):
+        at = slice(index.start[t], index.start[t + 1])
+        assert index.doc[at].tolist() == [d for d, x in enumerate(kept_terms) if index.terms[t] in x]
