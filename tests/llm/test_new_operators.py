@@ -280,3 +280,25 @@ def test_bm25_index_keeps_little():
     for t in (0, 5, 19_000):
         at = slice(index.start[t], index.start[t + 1])
         assert index.doc[at].tolist() == [d for d, x in enumerate(kept_terms) if index.terms[t] in x]
+
+
+def test_bm25_adds_postings_in_steps(monkeypatch):
+    """op3: scores come from few postings at once, and the hits are those of a plain sum."""
+    import numpy as np
+
+    from kbspark.llm import bm25
+
+    rng = np.random.default_rng(1)
+    terms = [np.unique(rng.integers(0, 60, 25).astype(np.uint64)) for _ in range(300)]
+    counts = [rng.integers(1, 9, len(t)).astype("<i4") for t in terms]
+    own = list(terms)
+    monkeypatch.setattr(bm25, "STEP", 50)
+    index = bm25.ShardIndex(terms, counts, 90.0)
+    most, ranges = [], bm25.ShardIndex._ranges
+    asked, idf = np.arange(0, 60, 2).astype(np.uint64), np.linspace(0.1, 3, 30)
+    score = np.array([sum(idf[int(t) // 2] * index.own_impact[index.own_start[d] + i] for i, t in enumerate(own[d]) if t % 2 == 0) for d in range(300)])
+    monkeypatch.setattr(bm25.ShardIndex, "_ranges", staticmethod(lambda start, size: most.append(size.sum()) or ranges(start, size)))
+    part = index._partial(np.searchsorted(index.terms, asked), idf)
+    assert np.allclose(part, score) and max(most) <= 50 + 300
+    hits, scores, _ = index.search(asked, idf, 5)
+    assert set(np.argsort(-score, kind="stable")[:5]) <= set(hits.tolist()) and np.allclose(scores, score[hits])
