@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.text import digest_id, word_estimate
+from kbspark.functions.text import digest_id, word_estimate, words_estimate
 
 RECORDS, TOKENS = 12, 6000
 LARGE = 105_000
@@ -17,16 +17,17 @@ LARGE = 105_000
 MOST_TRANSFORMATIONS = 1_000
 
 
-def plan_batches(records: DataFrame, records_most: int = RECORDS, tokens_most: int = TOKENS) -> DataFrame:
+def plan_batches(records: DataFrame, records_most: int = RECORDS, tokens_most: int = TOKENS, words: Column | None = None) -> DataFrame:
     """Add batch_index, batch_id, oversized: records of one (equipment, failure_mode) packed in order of source_record_id until a batch is full.
 
-    A record that is too large alone is a batch of its own. Only ids and token
+    A record that is too large alone is a batch of its own. words: the number of
+    words of source_text where it is known (null: none), else it is counted. Only ids and token
     counts travel, not the texts: sorted by group and id they pass each task in
     a stream that carries the open batch from one Arrow batch to the next, so a
     group of any size needs no more memory than a small one.
     """
     keys = ["equipment", "failure_mode"]
-    lean = records.select(*keys, "source_record_id", word_estimate(F.col("source_text")).alias("tokens"))
+    lean = records.select(*keys, "source_record_id", (word_estimate(F.col("source_text")) if words is None else words_estimate(F.coalesce(words, F.lit(0)))).alias("tokens"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, index, n, total = object(), 0, 0, 0
