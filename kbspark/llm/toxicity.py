@@ -56,6 +56,9 @@ SKETCH = 8
 #: Near copies are joined to the sizes of their groups in this many portions, so that a large group is not one task.
 SALTS = 16
 
+#: Bits by which texts without a label are told before their rows are shuffled; 8 MB whatever the number of labels. Where most are set little is told, and the join decides alone.
+MARK_BITS = 1 << 26
+
 #: Penalty on squared weights.
 RIDGE = 1e-4
 
@@ -234,6 +237,16 @@ def _weighed(seen: DataFrame) -> DataFrame:
     return salted.join(alike, ["toxic", "sketch", "salt"], "left").withColumn("weight", 1 / F.coalesce("alike", F.lit(1)))
 
 
+def _perhaps_labelled(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be among those of marks: no row that is goes, and of the others most do, so that their texts are not shuffled to a join that ends them."""
+    place = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(MARK_BITS))
+    bits = marks.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place()) == F.col("_bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def _voters(entries: DataFrame) -> dict[int, int]:
     """Each entry of a lexicon or pattern and its voter, from the entries that stand out most; dealt by rank, so that voters are alike in strength."""
     out = {}
@@ -335,7 +348,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     marks = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     learn = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(~in_fold(F.col("doc_id"), 3, 1))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    known = learn.join(marks, "doc_id").select("text", "toxic", draw.alias("draw"))
+    known = _perhaps_labelled(learn, marks).join(marks, "doc_id").select("text", "toxic", draw.alias("draw"))
     seen = materialize(known.mapInArrow(_extract, "features array<int>, sketch bigint, toxic int, loud boolean, capitals boolean, draw double"), "toxic-features")
     size = {r.toxic: r for r in seen.groupBy("toxic", "sketch").count().groupBy("toxic").agg(F.count("*").alias("different"), F.sum("count").alias("rows")).collect()}
     n_pos, n_neg = (size[x].different if x in size else 0 for x in (1, 0))

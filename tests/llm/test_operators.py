@@ -602,3 +602,11 @@ def test_mixing_deals_empty_texts_over_shards(spark, monkeypatch):
     assert all(r.taken <= 3 * r.size for r in got.values())
     d = spark.createDataFrame([("hollow", 0, 300), ("full", 300, 100)], "source string, source_size bigint, rows bigint")
     assert {r.source: r.rows for r in mixing.targets(d).collect()} == {"hollow": 300, "full": 100}
+
+
+def test_toxicity_shuffles_texts_that_may_be_labelled_alone(spark):
+    docs = spark.range(20_000).select((F.col("id") * 7 - 3000).alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame([(None, "t")], "doc_id long, text string"))
+    marks = spark.range(5000).select((F.col("id") * 21 - 3000).alias("doc_id"), F.lit(1).alias("toxic"))
+    got = toxicity._perhaps_labelled(docs, marks)
+    assert got.join(marks, "doc_id").count() == docs.join(marks, "doc_id").count() == 5000
+    assert got.count() < 5100
