@@ -610,3 +610,10 @@ def test_toxicity_shuffles_texts_that_may_be_labelled_alone(spark):
     got = toxicity._perhaps_labelled(docs, marks)
     assert got.join(marks, "doc_id").count() == docs.join(marks, "doc_id").count() == 5000
     assert got.count() < 5100
+
+
+def test_html_token_lists_are_views():
+    column = pa.array([[1, 2], [], [3], [4, 5, -6]], pa.list_(pa.int32()))
+    assert [x.tolist() for x in html._lists(column)] == column.to_pylist()
+    assert [x.tolist() for x in html._lists(column.slice(1, 3))] == column.to_pylist()[1:]
+    assert html._lists(column.slice(0, 0)) == []
