@@ -302,3 +302,25 @@ def test_bm25_adds_postings_in_steps(monkeypatch):
     assert np.allclose(part, score) and max(most) <= 50 + 300
     hits, scores, _ = index.search(asked, idf, 5)
     assert set(np.argsort(-score, kind="stable")[:5]) <= set(hits.tolist()) and np.allclose(scores, score[hits])
+
+
+def test_bm25_entries_are_small():
+    """op3: block entries take few bytes, so an index is built with at most 45 bytes for a posting (52 before); rounded maxima stay bounds."""
+    import tracemalloc
+
+    import numpy as np
+
+    from kbspark.llm import bm25
+
+    rng = np.random.default_rng(0)
+    terms = [np.unique((rng.zipf(1.3, 500) % 300_000).astype(np.uint64)) for _ in range(3000)]
+    tracemalloc.start()
+    index = bm25.ShardIndex(list(terms), [rng.integers(1, 9, len(t)).astype("<i4") for t in terms], 1500.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 45 * len(index.own_term)
+    for t in range(0, len(index.terms), 997):
+        entries = range(index.block_start[t], index.block_start[t + 1])
+        lists = [slice(int(index.first[e]), int(index.first[e]) + int(index.size[e])) for e in entries]
+        assert [d for x in lists for d in index.doc[x]] == list(index.doc[index.start[t] : index.start[t + 1]])
+        assert all((index.doc[x] // bm25.BLOCK == index.block[e]).all() and index.impact[x].max() <= index.block_most[e] for e, x in zip(entries, lists))
