@@ -354,6 +354,27 @@ def test_repeats_of_words(spark):
     assert {r.n for r in got.where("n_removed > 0").collect()} == touched and touched
 
 
+def test_repeats_of_cells_index_little(monkeypatch):
+    """pipeline: cores of much text have no index (one of all their bytes before), and the hits are those of the index and of a plain count."""
+    random.seed(3)
+    cells = [" ".join(["", *(random.choice(["ab", "c", "longer"]) for _ in range(8)), ""]).encode() for _ in range(200)]
+    by_index = repeats._hits(cells, 5, True)
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    monkeypatch.setattr(repeats, "RunLengthIndex", None)
+    one_by_one = repeats._hits(cells, 5, True)
+    every = [x.split() for x in cells]
+    count = collections.Counter(tuple(x[i : i + 5]) for x in every for i in range(len(x) - 4))
+    want = [[count[tuple(x[i : i + 5])] > 1 for i in range(len(x) - 4)] for x in every]
+    assert [x.tolist() for x in by_index] == [x.tolist() for x in one_by_one] == want
+
+
+@pytest.mark.parametrize("group", [1, 3000])
+def test_repeats_in_small_groups(spark, monkeypatch, group):
+    """pipeline: however many cores share an index, the rows are the same."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    test_repeats(spark, 2000)
+
+
 def test_run_length_index():
     random.seed(8)
     for _ in range(20):
