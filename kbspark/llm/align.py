@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
-from kbspark.llm.common import materialize
+from kbspark.llm.common import materialize, parts
 
 #: Characters of the texts of one block; the document that passes it ends the block.
 BLOCK_LENGTH = 8_000_000
@@ -326,13 +326,15 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, key
             yield pa.RecordBatch.from_arrays([*arrays, *packed], names=["docs", "pairs", "n", "place", "links", "n_links"])
 
     made = lean.mapInArrow(gather, f"docs array<struct<{rows}>>, pairs array<bigint>, n array<bigint>, place binary, links binary, n_links binary")
-    blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "aligned")
+    # a block is a row of many MB, and readers and batches take rows by the thousand: a file holds one, and blocks are dealt to as many tasks as there are
+    blocks = materialize(made.withColumn("block", F.monotonically_increasing_id()), "aligned", rows=1)
+    spread_over = parts(docs.sparkSession, blocks.count(), 1)
     asked = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("pos", "x")).select("block", "pos", "x.*").withColumnRenamed("pairs", "pair")
     totals = materialize(asked.groupBy("pair").agg(F.sum("n").alias("count")), "pairs")
     second = F.col("pair").bitwiseAND(MASK)
     best = totals.groupBy(second.alias("b")).agg(F.max("count").alias("top"))  # a row per id of the second vocabulary at most
     known = totals.withColumn("b", second).join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
-    answers = asked.select("block", "pos", "pair").join(known, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "count", "best"))).alias("told"))
+    answers = asked.select("block", "pos", "pair").join(known, "pair").repartition(spread_over, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "count", "best"))).alias("told"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +348,7 @@ def align_documents(docs: DataFrame, path_a: str, pattern: str, path_b: str, key
                     sums.append(pa.array(_sums(_sums(value[links], n_links.astype(np.int64))[place], size.to_numpy())))
                 yield pa.RecordBatch.from_arrays([*own, *sums], names=["_key", *_OWN, "n_best", "count_sum"])
 
-    out = blocks.select("block", "docs", "place", "links", "n_links").join(answers, "block", "left")
+    out = blocks.select("block", "docs", "place", "links", "n_links").repartition(spread_over, "block").join(answers.hint("merge"), "block", "left")
     return out.mapInArrow(spread, f"_key {kind.simpleString()}, {own}, n_best bigint, count_sum bigint").withColumnRenamed("_key", key)
 
 
